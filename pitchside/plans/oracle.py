@@ -69,14 +69,18 @@ def oracle(key: str):
 
 # --- team form (W-*, J-01, P-09..P-14, F-02..F-04) ---------------------------
 
-SIDES_CTE = """
+ROLL_VALUES = ["scored", "conceded", "shots", "shots_ot", "corners", "over25", "btts"]
+
+
+def sides_cte(src: str = "m") -> str:
+    return f"""
 sides AS (
   SELECT match_id, match_date, home_team AS team, 1 AS is_home, home_score AS scored,
          away_score AS conceded, h_shots AS shots, h_shots_ot AS shots_ot, h_corners AS corners
-  FROM m
+  FROM {src}
   UNION ALL
   SELECT match_id, match_date, away_team, 0, away_score, home_score, a_shots, a_shots_ot, a_corners
-  FROM m
+  FROM {src}
 ),
 ind AS (
   SELECT *, CASE WHEN scored + conceded > 2.5 THEN 1 ELSE 0 END AS over25,
@@ -90,9 +94,6 @@ def _roll(v: str, w: int = 10, mp: int = 3) -> str:
             f"THEN avg({v}) OVER w END AS roll_{v}")
 
 
-ROLL_VALUES = ["scored", "conceded", "shots", "shots_ot", "corners", "over25", "btts"]
-
-
 def rolled_cte(w: int = 10, mp: int = 3, src: str = "ind") -> str:
     cols = ",\n    ".join(_roll(v, w, mp) for v in ROLL_VALUES)
     return f"""
@@ -110,15 +111,24 @@ WIDE_CTE = "wide AS (SELECT match_id,\n    " + ",\n    ".join(
     + [f"max(CASE WHEN is_home = 0 THEN roll_{v} END) AS a_roll_{v}" for v in ROLL_VALUES]
 ) + "\n  FROM rolled GROUP BY match_id)"
 
-LEAGUES_CTE = """
+
+def leagues_cte(src: str = "m") -> str:
+    return f"""
 leagues AS (
   SELECT competition, CAST(row_number() OVER (ORDER BY competition) - 1 AS INTEGER) AS league_enc
-  FROM (SELECT DISTINCT competition FROM m WHERE competition IS NOT NULL)
+  FROM (SELECT DISTINCT competition FROM {src} WHERE competition IS NOT NULL)
 )"""
 
-FEATS_CTE = """
+
+def _ip(h: str, d: str, a: str, leg: str) -> str:
+    inv = lambda c: f"(1 / nullif({c}, 0))"
+    return f"{inv(leg)} / ({inv(h)} + {inv(d)} + {inv(a)})"
+
+
+def feats_cte(src: str = "m") -> str:
+    return f"""
 feats AS (
-  SELECT m.*, wide.* EXCLUDE (match_id),
+  SELECT {src}.*, wide.* EXCLUDE (match_id),
     h_roll_scored + a_roll_scored AS comb_scoring,
     h_roll_conceded + a_roll_conceded AS comb_conceded,
     h_roll_scored - a_roll_scored AS home_adv_score,
@@ -128,22 +138,38 @@ feats AS (
     coalesce(leagues.league_enc, -1) AS league_enc,
     1 / nullif(odds_avg_over25, 0) AS ip_avg_over25,
     1 / nullif(odds_b365_over25, 0) AS ip_b365_over25,
-    (1 / nullif(odds_home, 0)) / (1 / nullif(odds_home, 0) + 1 / nullif(odds_draw, 0) + 1 / nullif(odds_away, 0)) AS ip_avg_home,
-    (1 / nullif(odds_draw, 0)) / (1 / nullif(odds_home, 0) + 1 / nullif(odds_draw, 0) + 1 / nullif(odds_away, 0)) AS ip_avg_draw,
-    (1 / nullif(b365_home, 0)) / (1 / nullif(b365_home, 0) + 1 / nullif(b365_draw, 0) + 1 / nullif(b365_away, 0)) AS ip_b365_home,
-    (1 / nullif(b365_draw, 0)) / (1 / nullif(b365_home, 0) + 1 / nullif(b365_draw, 0) + 1 / nullif(b365_away, 0)) AS ip_b365_draw
-  FROM m LEFT JOIN wide USING (match_id) LEFT JOIN leagues USING (competition)
+    {_ip("odds_home", "odds_draw", "odds_away", "odds_home")} AS ip_avg_home,
+    {_ip("odds_home", "odds_draw", "odds_away", "odds_draw")} AS ip_avg_draw,
+    {_ip("b365_home", "b365_draw", "b365_away", "b365_home")} AS ip_b365_home,
+    {_ip("b365_home", "b365_draw", "b365_away", "b365_draw")} AS ip_b365_draw
+  FROM {src} LEFT JOIN wide USING (match_id) LEFT JOIN leagues USING (competition)
 )"""
 
+
 W09_COLS = (["match_id", "match_date", "competition", "home_team", "away_team", "status"]
             + [f"h_roll_{v}" for v in ROLL_VALUES] + [f"a_roll_{v}" for v in ROLL_VALUES]
             + ["comb_scoring", "comb_conceded", "home_adv_score", "comb_shots_ot", "shot_ratio",
                "comb_over25", "league_enc", "ip_avg_over25", "ip_b365_over25", "ip_avg_home",
                "ip_avg_draw", "ip_b365_home", "ip_b365_draw"])
-
-
-def features_sql(body: str, *more: str) -> str:
-    return with_m(body, SIDES_CTE, rolled_cte(), WIDE_CTE, LEAGUES_CTE, FEATS_CTE, *more)
-
-
-ORACLE["team_form_features"] = features_sql(f"SELECT {', '.join(W09_COLS)} FROM feats")
+FEATURE_COLS = [
+    "h_roll_scored", "h_roll_conceded", "a_roll_scored", "a_roll_conceded",
+    "comb_scoring", "comb_conceded", "h_roll_shots_ot", "a_roll_shots_ot", "comb_shots_ot",
+    "h_roll_corners", "a_roll_corners", "h_roll_over25", "a_roll_over25", "comb_over25",
+    "h_roll_btts", "a_roll_btts", "home_adv_score", "shot_ratio", "league_enc",
+    "ip_avg_over25", "ip_b365_over25", "ip_avg_home", "ip_avg_draw",
+]
+TARGETS_SQL = """
+    home_score + away_score AS total_goals,
+    CASE WHEN home_score + away_score > 2.5 THEN 1 ELSE 0 END AS target_over25,
+    CASE WHEN home_score > 0 AND away_score > 0 THEN 1 ELSE 0 END AS target_btts,
+    CASE WHEN home_score > away_score THEN 1 ELSE 0 END AS target_home_win,
+    CASE WHEN home_score = away_score THEN 1 ELSE 0 END AS target_draw,
+    CASE WHEN home_score < away_score THEN 1 ELSE 0 END AS target_away_win"""
+TARGET_COLS = ["target_over25", "target_btts", "target_home_win", "target_draw", "target_away_win"]
+
+
+def features_sql(body: str, *more: str, src: str = "m", pre: tuple[str, ...] = (),
+                 window: int = 10, min_periods: int = 3) -> str:
+    """M (+ ``pre`` ctes defining ``src``) → sides → rolled → wide → feats, then ``body``."""
+    return with_m(body, *pre, sides_cte(src), rolled_cte(window, min_periods), WIDE_CTE,
+                  leagues_cte(src), feats_cte(src), *more)

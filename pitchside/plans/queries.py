@@ -1,29 +1,3 @@
-"""Registered query keys (Spark side) — SQL twins live next to each in ``oracle_*`` modules."""
+"""Imports every query family so their keys register (Spark callables + SQL twins)."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..operators import features as feat
-from ..sources.tables import run_date_for
-from . import views as V
-from .registry import query
-
-ROLL_COLS = ["roll_scored", "roll_conceded", "roll_shots", "roll_shots_ot",
-             "roll_corners", "roll_over25", "roll_btts"]
-W09_COLS = (["match_id", "match_date", "competition", "home_team", "away_team", "status"]
-            + [f"h_{c}" for c in ROLL_COLS] + [f"a_{c}" for c in ROLL_COLS]
-            + ["comb_scoring", "comb_conceded", "home_adv_score", "comb_shots_ot", "shot_ratio",
-               "comb_over25", "league_enc", "ip_avg_over25", "ip_b365_over25", "ip_avg_home",
-               "ip_avg_draw", "ip_b365_home", "ip_b365_draw"])
-
-
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``M`` in the feature input contract (pre-match odds under canonical names)."""
-    return V.training_frame(V.match_view(spark, sf_dir))
-
-
-@query("team_form_features")
-def q_team_form_features(spark, sf_dir):
-    return feat.team_form_features(matches(spark, sf_dir)).select(*W09_COLS)
+from . import q_features  # noqa: F401
