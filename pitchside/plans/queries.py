@@ -1,3 +1,4 @@
 """Imports every query family so their keys register (Spark callables + SQL twins)."""
 
 from . import q_features  # noqa: F401
+from . import q_ingest  # noqa: F401
