@@ -2,3 +2,4 @@
 
 from . import q_features  # noqa: F401
 from . import q_ingest  # noqa: F401
+from . import q_store  # noqa: F401

@@ -217,3 +217,52 @@ def training_frame(m: DataFrame) -> DataFrame:
         "avg_draw": F.col("odds_draw"),
         "avg_away": F.col("odds_away"),
     })
+
+
+# --- season CSV files written from M (two header layouts, mixed date formats) ------------
+
+FULL_LAYOUT_LEAGUES = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+FULL_LAYOUT = ["Div", "Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "HS", "AS", "HST", "AST",
+               "HC", "AC", "B365H", "B365D", "B365A", "AvgH", "AvgD", "AvgA", "B365>2.5", "Avg>2.5"]
+SHORT_LAYOUT = ["Date", "Div", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "Avg>2.5", "AvgH", "AvgD", "AvgA"]
+
+
+def _odds_text(c: str) -> Column:
+    return F.when(F.col(c).isNotNull(), F.format_string("%.2f", F.col(c)))
+
+
+def _int_text(c: str) -> Column:
+    return F.col(c).cast("int").cast("string")
+
+
+def season_cells(m: DataFrame) -> DataFrame:
+    """``M`` as the text cells of a season file (``season``/``league`` for the folders)."""
+    mid = F.col("match_id")
+    date_text = (F.when(mid % 97 == 0, F.lit("not a date"))
+                 .when(mid % 7 == 0, F.date_format("match_date", "dd/MM/yy"))
+                 .otherwise(F.date_format("match_date", "dd/MM/yyyy")))
+    return m.select(
+        F.year("match_date").cast("string").alias("season"), F.col("competition").alias("league"),
+        F.col("competition").alias("Div"), date_text.alias("Date"),
+        F.col("home_team").alias("HomeTeam"), F.col("away_team").alias("AwayTeam"),
+        _int_text("home_score").alias("FTHG"), _int_text("away_score").alias("FTAG"),
+        _int_text("h_shots").alias("HS"), _int_text("a_shots").alias("AS"),
+        _int_text("h_shots_ot").alias("HST"), _int_text("a_shots_ot").alias("AST"),
+        _int_text("h_corners").alias("HC"), _int_text("a_corners").alias("AC"),
+        _odds_text("b365_home").alias("B365H"), _odds_text("b365_draw").alias("B365D"),
+        _odds_text("b365_away").alias("B365A"),
+        _odds_text("odds_home").alias("AvgH"), _odds_text("odds_draw").alias("AvgD"),
+        _odds_text("odds_away").alias("AvgA"),
+        _odds_text("odds_b365_over25").alias("B365>2.5"), _odds_text("odds_avg_over25").alias("Avg>2.5"),
+    )
+
+
+def write_season_csvs(m: DataFrame, root: str) -> None:
+    """One folder per season and league; leagues in FULL_LAYOUT_LEAGUES get the long header."""
+    cells = season_cells(m)
+    full = cells.filter(F.col("league").isin(*FULL_LAYOUT_LEAGUES))
+    short = cells.filter(~F.col("league").isin(*FULL_LAYOUT_LEAGUES))
+    for i, (part, layout) in enumerate(((full, FULL_LAYOUT), (short, SHORT_LAYOUT))):
+        (part.select("season", "league", *[F.col(f"`{c}`") for c in layout])
+         .write.mode("overwrite" if i == 0 else "append").option("header", True)
+         .partitionBy("season", "league").csv(root))
