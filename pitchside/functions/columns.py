@@ -32,7 +32,16 @@ def num_text(x: Column, decimals: int) -> Column:
 
 
 def json_ascii(s: Column) -> Column:
-    """Escape non-ASCII characters as ``\\uXXXX`` (Python ``json.dumps`` default output)."""
-    chars = F.split(s, "")
-    return F.array_join(F.transform(chars, lambda ch: F.when(
-        F.ascii(ch) < 128, ch).otherwise(F.format_string("\\\\u%04x", F.ascii(ch)))), "")
+    """Escape non-ASCII characters as ``\\uXXXX`` (Python ``json.dumps`` default output).
+
+    Each character's UTF-16BE code units are hex-encoded, so characters
+    outside the BMP become surrogate pairs exactly like ``json.dumps``.
+    """
+    chars = F.regexp_extract_all(s, F.lit("(?s)."), 0)
+
+    def esc(ch: Column) -> Column:
+        units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
+        return F.when(F.octet_length(ch) <= 1, ch).otherwise(
+            F.regexp_replace(units, "(.{4})", "\\\\u$1"))
+
+    return F.array_join(F.transform(chars, esc), "")

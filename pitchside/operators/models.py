@@ -13,3 +13,28 @@ def outcome_label(df: DataFrame) -> DataFrame:
                .when(F.col("target_away_win") == 1, 3)
                .otherwise(2))
     return df.withColumn("outcome", outcome).withColumn("outcome_label", F.col("outcome") - 1)
+
+
+def medians_row(train: DataFrame, cols, digits: int = 10) -> DataFrame:
+    """One row of training medians (A-05), rounded so the value does not depend on
+    how the aggregation was partitioned."""
+    return train.agg(*[F.bround(F.median(c).cast("double"), digits).alias(c) for c in cols])
+
+
+def impute_features(df: DataFrame, cols, medians: DataFrame | None) -> DataFrame:
+    """P-15: every model column present; NULL or missing → training median, else 0.0.
+
+    ``medians`` is a one-row frame (a global aggregate), joined as a broadcast.
+    """
+    if medians is None:
+        return df.withColumns({c: F.coalesce(F.col(c).cast("double") if c in df.columns
+                                             else F.lit(None).cast("double"), F.lit(0.0)) for c in cols})
+    med_cols = set(medians.columns)
+    m = medians.select(*[F.col(c).alias(f"__med_{c}") for c in cols if c in med_cols])
+    joined = df.crossJoin(F.broadcast(m))
+    out = {}
+    for c in cols:
+        val = F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")
+        med = F.col(f"__med_{c}") if c in med_cols else F.lit(None).cast("double")
+        out[c] = F.coalesce(val, med, F.lit(0.0))
+    return joined.withColumns(out).drop(*[f"__med_{c}" for c in cols if c in med_cols])
