@@ -38,3 +38,150 @@ def impute_features(df: DataFrame, cols, medians: DataFrame | None) -> DataFrame
         med = F.col(f"__med_{c}") if c in med_cols else F.lit(None).cast("double")
         out[c] = F.coalesce(val, med, F.lit(0.0))
     return joined.withColumns(out).drop(*[f"__med_{c}" for c in cols if c in med_cols])
+
+
+# --- markets: soft vote of a weighted forest and a standardised logistic regression --------
+
+from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier  # noqa: E402
+from pyspark.ml.feature import StandardScaler, VectorAssembler  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from .. import constants as C  # noqa: E402
+
+MARKETS = {"over25": "target_over25", "btts": "target_btts", "outcome": "outcome_label"}
+N_CLASSES = {"over25": 2, "btts": 2, "outcome": 3}
+
+
+def balanced_weights(df: DataFrame, label: str, weight: str = "w") -> DataFrame:
+    """A-07 as a column: ``n / (k · n_class)`` (sklearn "balanced"); the class table has k rows."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
+    tot = counts.agg(F.sum("__nc").alias("__n"), F.count(F.lit(1)).alias("__k"))
+    table = counts.crossJoin(tot).select(
+        label, (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(weight))
+    return df.join(F.broadcast(table), label)
+
+
+def market_pipelines(cols, label: str, n_rows: int, num_trees: int = C.FOREST_PARAMS["num_trees"],
+                     seed: int = C.SEED) -> tuple[Pipeline, Pipeline]:
+    """L-01 / L-02: the two members of the soft vote as Spark ML pipelines."""
+    assemble = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep")
+    forest = RandomForestClassifier(
+        labelCol=label, featuresCol="features", weightCol="w", numTrees=num_trees,
+        maxDepth=C.FOREST_PARAMS["max_depth"], minInstancesPerNode=C.FOREST_PARAMS["min_leaf"],
+        featureSubsetStrategy="sqrt", seed=seed, probabilityCol="rf_prob",
+        rawPredictionCol="rf_raw", predictionCol="rf_pred")
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
+    # sklearn's C·Σ w·loss + ½‖β‖² equals Spark's mean loss + λ/2‖β‖² with λ = 1/(C·Σw); balanced Σw = n
+    logit = LogisticRegression(
+        labelCol=label, featuresCol="scaled", weightCol="w", regParam=1.0 / (C.LOGIT_C * max(n_rows, 1)),
+        elasticNetParam=0.0, standardization=False, maxIter=C.LOGIT_MAX_ITER,
+        probabilityCol="lr_prob", rawPredictionCol="lr_raw", predictionCol="lr_pred")
+    return Pipeline(stages=[assemble, forest]), Pipeline(stages=[assemble, scaler, logit])
+
+
+class SoftVote:
+    """L-03: a fitted pair whose class probabilities are averaged (no Spark voter exists)."""
+
+    def __init__(self, forest: PipelineModel, logit: PipelineModel, n_classes: int):
+        self.forest, self.logit, self.n_classes = forest, logit, n_classes
+
+    def transform(self, df: DataFrame, prefix: str = "p") -> DataFrame:
+        a = self.forest.transform(df).drop("features", "rf_raw", "rf_pred")
+        both = self.logit.transform(a).drop("features", "scaled", "lr_raw", "lr_pred")
+        rf, lr = vector_to_array("rf_prob"), vector_to_array("lr_prob")
+        out = both.withColumns({f"{prefix}{k}": (rf[k] + lr[k]) / 2 for k in range(self.n_classes)})
+        return out.drop("rf_prob", "lr_prob")
+
+    def save(self, path: str) -> None:
+        self.forest.write().overwrite().save(f"{path}/forest")
+        self.logit.write().overwrite().save(f"{path}/logit")
+
+    @classmethod
+    def load(cls, path: str, n_classes: int) -> "SoftVote":
+        return cls(PipelineModel.load(f"{path}/forest"), PipelineModel.load(f"{path}/logit"), n_classes)
+
+    def importances(self, spark, cols) -> DataFrame:
+        """L-10: forest importances with names (one value per feature: a model-sized table)."""
+        imp = self.forest.stages[-1].featureImportances.toArray().tolist()
+        return spark.createDataFrame([(c, float(v)) for c, v in zip(cols, imp)], "feature string, importance double")
+
+
+def fit_market(train: DataFrame, cols, market: str, num_trees: int = C.FOREST_PARAMS["num_trees"],
+               seed: int = C.SEED, n_rows: int | None = None) -> SoftVote:
+    label = MARKETS[market]
+    weighted = balanced_weights(train, label)
+    n = n_rows if n_rows is not None else weighted.count()
+    fp, lp = market_pipelines(cols, label, n, num_trees, seed)
+    return SoftVote(fp.fit(weighted), lp.fit(weighted), N_CLASSES[market])
+
+
+def prepare_training(train: DataFrame, cols, medians: DataFrame | None = None) -> DataFrame:
+    """Training matrix: imputed features (deviation N10: Spark ML cannot take NULL) + labels,
+    checkpointed to the shared folder — it feeds 3 markets × (5 folds + 1) fits."""
+    from .features import with_targets  # noqa: F401
+    m = medians if medians is not None else medians_row(train, cols)
+    x = outcome_label(impute_features(train, cols, m))
+    # persisted so the reliable checkpoint does not recompute the feature lineage
+    return x.persist().checkpoint()
+
+
+def out_of_fold(x: DataFrame, cols, market: str, folds: DataFrame, k: int = C.CV_FOLDS,
+                num_trees: int = C.FOREST_PARAMS["num_trees"], seed: int = C.SEED) -> DataFrame:
+    """L-07: every row scored by the model fitted on the other folds (each row once)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    xf = x.join(folds, "match_id")
+
+    def one(f: int) -> DataFrame:
+        model = fit_market(xf.filter(F.col("fold") != f), cols, market, num_trees, seed)
+        return model.transform(xf.filter(F.col("fold") == f))
+
+    # the k fits are independent Spark jobs: submit them concurrently (as CrossValidator's parallelism)
+    with ThreadPoolExecutor(max_workers=k) as pool:
+        parts = list(pool.map(one, range(k)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def cv_accuracy(oof: DataFrame, market: str) -> DataFrame:
+    """L-06: per-fold accuracy of the out-of-fold predictions (argmax class)."""
+    label = MARKETS[market]
+    n = N_CLASSES[market]
+    probs = F.array(*[F.col(f"p{k}") for k in range(n)])
+    pred = F.array_position(probs, F.array_max(probs)) - 1
+    return oof.groupBy("fold").agg(F.avg(F.when(pred == F.col(label), 1).otherwise(0)).alias("accuracy"))
+
+
+def score_matches(rows: DataFrame, models: dict[str, SoftVote], cols, medians: DataFrame | None) -> DataFrame:
+    """L-08 core: impute → the three markets chained as projections (no joins) → prediction columns."""
+    x = impute_features(rows, cols, medians)
+    x = models["over25"].transform(x, "o_")
+    x = models["btts"].transform(x, "b_")
+    x = models["outcome"].transform(x, "r_")
+    return x.select("match_id", "match_date", "home_team", "away_team",
+                    F.col("o_1").alias("over_2_5_probability"), F.col("b_1").alias("btts_probability"),
+                    F.col("r_0").alias("prob_home_win"), F.col("r_1").alias("prob_draw"),
+                    F.col("r_2").alias("prob_away_win"))
+
+
+def save_model_store(spark, path: str, models: dict[str, SoftVote], cols, medians: DataFrame) -> None:
+    """K-04: three model pairs + feature lists + medians as one small parquet table."""
+    for name, mdl in models.items():
+        mdl.save(f"{path}/{name}")
+    meds = medians.unpivot([], list(cols), "feature", "median")
+    rows = [(mk, c, i) for mk in models for i, c in enumerate(cols)]
+    lists = spark.createDataFrame(rows, "market string, feature string, ord int")
+    lists.join(meds, "feature", "left").write.mode("overwrite").parquet(f"{path}/features")
+
+
+def load_model_store(spark, path: str):
+    """K-04: refuse to score when a model is missing; lists/medians may be absent."""
+    models = {mk: SoftVote.load(f"{path}/{mk}", N_CLASSES[mk]) for mk in MARKETS}
+    try:
+        table = spark.read.parquet(f"{path}/features")
+    except Exception:  # noqa: BLE001  (tolerated like the reference)
+        table = None
+    return models, table

@@ -5,3 +5,4 @@ from . import q_ingest  # noqa: F401
 from . import q_store  # noqa: F401
 from . import q_report  # noqa: F401
 from . import q_metrics  # noqa: F401
+from . import q_models  # noqa: F401
