@@ -6,3 +6,4 @@ from . import q_store  # noqa: F401
 from . import q_report  # noqa: F401
 from . import q_metrics  # noqa: F401
 from . import q_models  # noqa: F401
+from . import q_stream  # noqa: F401

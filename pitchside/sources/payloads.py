@@ -52,12 +52,13 @@ def errors_empty(c: Column) -> Column:
     return c.isNull() | t.isin("", "[]", "{}", "null")
 
 
-def fixture_items(docs: DataFrame, body: str = "body", request_date: str = "request_date") -> DataFrame:
+def fixture_items(docs: DataFrame, body: str = "body", request_date: str = "request_date",
+                  keep=()) -> DataFrame:
     """One row per fixture item of every response without errors (an empty response gives none)."""
-    parsed = docs.select(F.col(request_date).alias("request_date"),
+    parsed = docs.select(F.col(request_date).alias("request_date"), *keep,
                          F.from_json(F.col(body), FIXTURES_SCHEMA).alias("p"))
     return (parsed.filter(F.col("p").isNotNull() & errors_empty(F.col("p.errors")))
-            .select("request_date", F.explode("p.response").alias("it")))
+            .select("request_date", *keep, F.explode("p.response").alias("it")))
 
 
 def status_of(short: Column) -> Column:
@@ -65,7 +66,8 @@ def status_of(short: Column) -> Column:
     return F.when(short.isin(*C.FINISHED_SHORT_CODES), "FINISHED").otherwise("SCHEDULED")
 
 
-def parse_fixtures(docs: DataFrame, body: str = "body", request_date: str = "request_date") -> DataFrame:
+def parse_fixtures(docs: DataFrame, body: str = "body", request_date: str = "request_date",
+                   keep=()) -> DataFrame:
     """S-03 / P-06 / P-07: fixture payloads → store rows (without odds).
 
     JSON null and an absent key are both treated as missing (documented deviation).
@@ -73,7 +75,7 @@ def parse_fixtures(docs: DataFrame, body: str = "body", request_date: str = "req
     it = F.col("it")
     fdate = F.coalesce(it["fixture"]["date"], F.lit(""))
     short = F.coalesce(it["fixture"]["status"]["short"], F.lit("NS"))
-    return fixture_items(docs, body, request_date).select(
+    return fixture_items(docs, body, request_date, keep).select(
         it["fixture"]["id"].alias("match_id"),
         F.try_to_date(F.when(F.length(fdate) > 0, F.substring(fdate, 1, 10))
                       .otherwise(F.col("request_date"))).alias("match_date"),
@@ -86,6 +88,7 @@ def parse_fixtures(docs: DataFrame, body: str = "body", request_date: str = "req
         it["goals"]["away"].alias("away_score"),
         short.alias("status_short"),
         status_of(short).alias("status"),
+        *keep,
     )
 
 
