@@ -33,8 +33,8 @@ FEED_CTES = ("""
 fm AS (SELECT match_id, match_date, home_team, away_team FROM m WHERE match_id % 5 = 0)""", """
 fl AS (
   SELECT l_orderkey AS match_id, l_partkey AS pk, l_suppkey AS sk,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
-                       l_quantity, l_extendedprice, l_shipdate) - 1 AS book_pos
+    CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+                            l_quantity, l_extendedprice, l_shipdate) - 1 AS INTEGER) AS book_pos
   FROM lineitem WHERE l_orderkey IN (SELECT match_id FROM fm)
 )""", """
 fb AS (

@@ -205,7 +205,8 @@ def q_first_picks(spark, sf_dir):
 
 ORACLE["first_picks"] = slate_sql("""
 SELECT * FROM (SELECT match_date, match_id,
-  row_number() OVER (PARTITION BY match_date ORDER BY over_2_5_probability DESC, match_id) AS pick_no
+  CAST(row_number() OVER (PARTITION BY match_date ORDER BY over_2_5_probability DESC, match_id) AS INTEGER)
+    AS pick_no
   FROM picks) WHERE pick_no <= 3""")
 
 
