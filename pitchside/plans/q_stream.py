@@ -32,7 +32,9 @@ def q_match_upsert_stream(spark, sf_dir):
         "away_score": F.coalesce("away_score", F.lit(1.0)),
         "status": F.lit("FINISHED")})
     land_payloads(V.fixture_payloads(refetch).repartition(2), landing, "")
-    version = run_upsert_stream(spark, landing, store, ckpt, odds=odds_map(spark, sf_dir), files_per_batch=2)
+    # the odds snapshot is materialised once (reliable checkpoint), not re-derived per micro-batch
+    snapshot = odds_map(spark, sf_dir).checkpoint()
+    version = run_upsert_stream(spark, landing, store, ckpt, odds=snapshot, files_per_batch=2)
     return U.read_version(spark, store, version)
 
 

@@ -264,5 +264,6 @@ def write_season_csvs(m: DataFrame, root: str) -> None:
     short = cells.filter(~F.col("league").isin(*FULL_LAYOUT_LEAGUES))
     for i, (part, layout) in enumerate(((full, FULL_LAYOUT), (short, SHORT_LAYOUT))):
         (part.select("season", "league", *[F.col(f"`{c}`") for c in layout])
+         .repartition("season", "league")           # one file per season/league folder
          .write.mode("overwrite" if i == 0 else "append").option("header", True)
          .partitionBy("season", "league").csv(root))

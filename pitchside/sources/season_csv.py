@@ -12,11 +12,12 @@ That is the outer column union of the reference, without a driver loop.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.features import with_targets
+from ..operators.ranking import sequence_number
 
 MAX_COLS = 40
 
@@ -64,7 +65,9 @@ def raw_season_rows(spark: SparkSession, root: str) -> DataFrame:
            .option("recursiveFileLookup", True)
            .option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
            .csv(root))
+    # physical position of each line (evaluated in the scan stage): orders identical copies
     return raw.select(F.col("_metadata.file_path").alias("file_path"),
+                      F.spark_partition_id().alias("__pid"), F.monotonically_increasing_id().alias("__pos"),
                       F.array(*[F.col(f"c{i}") for i in range(MAX_COLS)]).alias("cells"))
 
 
@@ -95,6 +98,7 @@ def read_season_csv(spark: SparkSession, root: str, dedupe_ids: bool = True) ->
     # identity of a line for the surrogate key: season + the raw cells in a fixed order
     base = F.concat_ws("|", F.col("season"), *[F.coalesce(F.col(f"__t_{k}"), F.lit("")) for k in cols])
     out = rows.select(
+        "file_path", "__pid", "__pos",
         F.regexp_extract("file_path", r"season=([^/]+)", 1).alias("season"),
         *[v.alias(f"__t_{k}") for k, v in cols.items()])
     out = out.select(
@@ -104,10 +108,14 @@ def read_season_csv(spark: SparkSession, root: str, dedupe_ids: bool = True) ->
     out = out.withColumns({"match_date": parse_match_date(F.col("date_text")),
                            "status": F.lit("FINISHED")})
     if dedupe_ids:
-        # identical lines get distinct ordinals (the set of output rows is the same either way)
-        rn = F.row_number().over(Window.partitionBy(base).orderBy(base))
-        out = out.withColumn("__rn", rn)
-        out = out.withColumn("match_id", surrogate_match_id(base, F.col("__rn"))).drop("__rn")
+        # Identical lines get ordinals 1..n in file order (the output rows are the same whichever
+        # copy gets which ordinal).  Numbered per (line, file, input split) and offset by the
+        # counts of earlier splits, so a line repeated millions of times is not one task.
+        out = sequence_number(out.withColumn("__base", base),
+                              order=[F.col("file_path"), F.col("__pos")],
+                              buckets=[F.col("file_path"), F.col("__pid")],
+                              partition=["__base"], name="__rn")
+        out = out.withColumn("match_id", surrogate_match_id(F.col("__base"), F.col("__rn")))
     else:
         out = out.withColumn("match_id", surrogate_match_id(base))
-    return with_targets(out.drop(*[f"__t_{k}" for k in cols]))
+    return with_targets(out.drop(*[f"__t_{k}" for k in cols], "__base", "__rn", "__pid", "__pos", "file_path"))
