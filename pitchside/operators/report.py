@@ -103,21 +103,36 @@ def digest_line(brand_free: bool = True) -> Column:
         F.lit("  ·  BTTS: *"), num_text(btts * 100, 1), F.lit("%*\n\n"))
 
 
-def daily_digest(picks: DataFrame, brand: str = C.DIGEST_BRAND, day: str = "match_date") -> DataFrame:
-    """A-13: one free-form message per day: header, one block per pick (slate order), footer.
+DIGEST_PART_PICKS = 40   # picks per message part (a chat message holds a few thousand characters)
 
-    A day's message holds that day's picks (a message, bounded by the
-    fixtures of one day); the ordering key travels inside the collected
-    struct and is sorted in the array, not by a global sort.
+
+def daily_digest(picks: DataFrame, brand: str = C.DIGEST_BRAND, day: str = "match_date",
+                 part_picks: int = DIGEST_PART_PICKS) -> DataFrame:
+    """A-13: the free-form digest per day, as ordered message parts.
+
+    Picks are ranked in slate order per day without a per-day window
+    (:func:`sequence_number` over probability bands), dealt into parts of at
+    most ``part_picks`` lines, and each part is assembled from its own bounded
+    group.  The header opens part 0 and the footer closes the last part, so the
+    parts of a day concatenated in ``part`` order are exactly the single
+    message of the reference.
     """
-    rows = picks.select(day, F.struct(
-        (-F.col("over_2_5_probability")).alias("k1"), F.col("match_id").alias("k2"),
-        digest_line().alias("line")).alias("x"))
-    return rows.groupBy(day).agg(F.array_sort(F.collect_list("x")).alias("xs")).select(
-        day,
-        F.concat(F.lit(C.DIGEST_HEADER.format(brand=brand)),
+    from .ranking import sequence_number
+
+    p = F.col("over_2_5_probability")
+    ranked = sequence_number(picks, order=slate_order(), buckets=[F.floor((1 - p) * 1000)],
+                             partition=[day], name="__rank")
+    parts = ranked.select(day, ((F.col("__rank") - 1) / part_picks).cast("long").alias("part"),
+                          F.struct(F.col("__rank").alias("k"), digest_line().alias("line")).alias("x"))
+    n_parts = picks.groupBy(day).agg(
+        ((F.count(F.lit(1)) + part_picks - 1) / part_picks).cast("long").alias("__parts"))
+    body = parts.groupBy(day, "part").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return body.join(n_parts, day).select(
+        day, "part",
+        F.concat(F.when(F.col("part") == 0, F.lit(C.DIGEST_HEADER.format(brand=brand))).otherwise(F.lit("")),
                  F.array_join(F.transform("xs", lambda x: x["line"]), ""),
-                 F.lit(C.DIGEST_FOOTER.format(brand=brand))).alias("message"))
+                 F.when(F.col("part") == F.col("__parts") - 1, F.lit(C.DIGEST_FOOTER.format(brand=brand)))
+                 .otherwise(F.lit(""))).alias("message"))
 
 
 def slot_line() -> Column:

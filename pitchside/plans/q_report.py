@@ -231,14 +231,17 @@ def q_daily_digest(spark, sf_dir):
 _HEAD = C.DIGEST_HEADER.format(brand=C.DIGEST_BRAND).replace("\n", "")
 _FOOT = C.DIGEST_FOOTER.format(brand=C.DIGEST_BRAND)
 ORACLE["daily_digest"] = slate_sql(f"""
-SELECT match_date,
-  '{_HEAD}' || chr(10) || chr(10) || string_agg(
+SELECT match_date, part,
+  CASE WHEN part = 0 THEN '{_HEAD}' || chr(10) || chr(10) ELSE '' END || string_agg(
     '🔥 *' || home_team || ' vs ' || away_team || '*'
     || CASE WHEN coalesce(match_time, '') <> '' THEN '  ⏰ ' || match_time ELSE '' END
     || chr(10) || '   Over 2.5: *' || {_p('over_2_5_probability * 100', 1)} || '%*'
     || '  ·  BTTS: *' || {_p('coalesce(btts_probability, 0) * 100', 1)} || '%*' || chr(10) || chr(10),
-    '' ORDER BY over_2_5_probability DESC, match_id) || '{_FOOT}' AS message
-FROM picks GROUP BY match_date""")
+    '' ORDER BY rn) || CASE WHEN part = n_parts - 1 THEN '{_FOOT}' ELSE '' END AS message
+FROM (SELECT *, CAST((rn - 1) // 40 AS BIGINT) AS part, CAST((count(*) OVER (PARTITION BY match_date) + 39) // 40 AS BIGINT) AS n_parts
+      FROM (SELECT *, row_number() OVER (PARTITION BY match_date ORDER BY over_2_5_probability DESC, match_id) AS rn
+            FROM picks))
+GROUP BY match_date, part, n_parts""")
 
 SLOTS_SQL = f"""
 slots AS (

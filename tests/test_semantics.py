@@ -257,3 +257,17 @@ def test_no_python_udf_in_flagship_plan(spark):
     import __spark_entry__ as E
     plan = E.entry(spark)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_daily_digest_parts_concatenate_to_one_message(spark):
+    from pitchside import constants as C
+    rows = [(i, D0, f"H{i}", f"A{i}", "19:00", 0.63 + (i % 30) / 100, 0.5) for i in range(95)]
+    picks = spark.createDataFrame(rows, "match_id long, match_date date, home_team string, away_team string, "
+                                        "match_time string, over_2_5_probability double, btts_probability double")
+    parts = sorted((r.part, r.message) for r in R.daily_digest(picks, part_picks=40).collect())
+    assert [p for p, _ in parts] == [0, 1, 2]
+    order = sorted(rows, key=lambda r: (-r[5], r[0]))
+    body = "".join(f"🔥 *{h} vs {a}*  ⏰ {t}\n   Over 2.5: *{p * 100:.1f}%*  ·  BTTS: *{b * 100:.1f}%*\n\n"
+                   for _, _, h, a, t, p, b in order)
+    want = C.DIGEST_HEADER.format(brand="Pitchside") + body + C.DIGEST_FOOTER.format(brand="Pitchside")
+    assert "".join(m for _, m in parts) == want
