@@ -27,6 +27,30 @@ def build_session(master: str = "local[*]", partitions: int = 8, app: str = "pit
     )
 
 
+# Settings for a large cluster (≈1000 executors, ~100 TB input): many shuffle partitions that AQE
+# coalesces to ~256 MB, skew-join splitting on, runtime broadcast only of measured small sides.
+CLUSTER_PROFILE = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
+    "spark.ui.enabled": "false",
+}
+
+
+def apply_profile(spark: SparkSession, profile: dict[str, str] = CLUSTER_PROFILE) -> None:
+    """Apply runtime SQL settings (session-scoped ones only) of a profile to a session."""
+    for k, v in profile.items():
+        if k.startswith("spark.sql."):
+            spark.conf.set(k, v)
+
+
 def scratch_dir(spark: SparkSession, *parts: str) -> str:
     """A folder under the cluster's shared checkpoint directory.
 

@@ -4,8 +4,9 @@ Files of one folder tree may carry different headers (columns added,
 removed or reordered between seasons).  A multi-file ``read.csv(header=True)``
 applies one header to every file, so values land in wrong columns.  Here
 every file is read header-less as positional text, each file's header row
-is recognised by its column names, broadcast (one row per file — bounded by
-the file listing the driver already holds) and joined back by file path;
+is recognised by its column names and joined back by file path (broadcast
+when the driver's file listing shows at most 50,000 files, else a shuffle
+join left to AQE);
 each canonical column is then picked by *name* from its own file's header.
 That is the outer column union of the reference, without a driver loop.
 """
@@ -20,6 +21,7 @@ from ..operators.features import with_targets
 from ..operators.ranking import sequence_number
 
 MAX_COLS = 40
+MAX_BROADCAST_FILES = 50_000     # header rows (≈ one short row per file) broadcast only below this
 
 # --- fixed values: source column names of the season files → canonical names ----
 COLUMN_MAP = {
@@ -86,9 +88,12 @@ def read_season_csv(spark: SparkSession, root: str, dedupe_ids: bool = True) ->
     """
     raw = raw_season_rows(spark, root)
     headers = raw.filter(_is_header(F.col("cells"))).select("file_path", F.col("cells").alias("hdr"))
+    # one header row per file: the driver's file listing bounds it, so check that count first
+    n_files = len(raw.inputFiles())
     present = [r[0] for r in headers.select(F.explode("hdr").alias("h")).where(F.col("h").isNotNull())
                .distinct().collect()]                      # the header vocabulary: tiny
-    rows = raw.filter(~_is_header(F.col("cells"))).join(F.broadcast(headers), "file_path")
+    side = F.broadcast(headers) if n_files <= MAX_BROADCAST_FILES else headers
+    rows = raw.filter(~_is_header(F.col("cells"))).join(side, "file_path")
 
     def pick(src: str) -> Column:
         pos = F.array_position(F.col("hdr"), F.lit(src)).cast("int")
