@@ -67,6 +67,8 @@ def enrich_odds(fixtures: DataFrame, odds: DataFrame, date_col: str = "match_dat
 
     ``odds`` is the per-day map from :func:`pitchside.sources.payloads.odds_map`
     (``feed_date, pos, norm_key, odds_*``).  ``match_col`` must be unique.
+    Both inputs are read by more than one branch: pass stored tables (or
+    checkpoints), not long lineages.
     """
     ex = exact_odds(fixtures, odds, date_col)
     unmatched = ex.filter(F.col("__xh").isNull())

@@ -27,6 +27,14 @@ def odds_map(spark, sf_dir):
     return P.parse_odds(odds_docs(spark, sf_dir))
 
 
+def odds_snapshot(spark, sf_dir):
+    """The parsed odds map, materialised once (a reliable checkpoint in the shared folder): the
+    enrichment reads it three times (exact lookup, substring index, fuzzy odds)."""
+    from ..session import scratch_dir
+    scratch_dir(spark)
+    return odds_map(spark, sf_dir).checkpoint()
+
+
 # --- SQL twins of the landed payloads (computed from M, no JSON) -------------------
 
 FEED_CTES = ("""
@@ -210,7 +218,7 @@ FROM ({FEED_BOOKS_SQL}) WHERE pk % 4 <> 0""")
 
 @query("odds_exact")
 def q_odds_exact(spark, sf_dir):
-    ex = O.exact_odds(parsed_fixtures(spark, sf_dir), odds_map(spark, sf_dir))
+    ex = O.exact_odds(parsed_fixtures(spark, sf_dir), odds_snapshot(spark, sf_dir))
     return ex.filter(F.col("__xh").isNotNull()).select(
         "match_id", F.col("__key").alias("norm_key"), F.col("__xh").alias("odds_home"),
         F.col("__xd").alias("odds_draw"), F.col("__xa").alias("odds_away"))
@@ -221,9 +229,9 @@ ORACLE["odds_exact"] = ingest_sql("SELECT * FROM ex")
 
 @query("odds_fuzzy")
 def q_odds_fuzzy(spark, sf_dir):
-    ex = O.exact_odds(parsed_fixtures(spark, sf_dir), odds_map(spark, sf_dir))
-    return O.fuzzy_positions(ex.filter(F.col("__xh").isNull()), odds_map(spark, sf_dir)) \
-        .select("match_id", "pos")
+    snap = odds_snapshot(spark, sf_dir)
+    ex = O.exact_odds(parsed_fixtures(spark, sf_dir), snap)
+    return O.fuzzy_positions(ex.filter(F.col("__xh").isNull()), snap).select("match_id", "pos")
 
 
 ORACLE["odds_fuzzy"] = ingest_sql("SELECT match_id, pos FROM fz")
@@ -231,7 +239,9 @@ ORACLE["odds_fuzzy"] = ingest_sql("SELECT match_id, pos FROM fz")
 
 @query("odds_enrich")
 def q_odds_enrich(spark, sf_dir):
-    return O.enrich_odds(parsed_fixtures(spark, sf_dir), odds_map(spark, sf_dir))
+    # like the stored output of the ingest job, the parsed fixtures are materialised once
+    # (the enrichment reads them in its exact and fuzzy branches)
+    return O.enrich_odds(parsed_fixtures(spark, sf_dir).checkpoint(), odds_snapshot(spark, sf_dir))
 
 
 ORACLE["odds_enrich"] = ingest_sql(f"""

@@ -11,7 +11,7 @@ from ..session import scratch_dir
 from ..streaming.upsert_stream import land_payloads, run_upsert_stream
 from . import views as V
 from .oracle import ORACLE
-from .q_ingest import ingest_sql, odds_map
+from .q_ingest import ingest_sql, odds_snapshot
 from .registry import query
 
 
@@ -33,7 +33,7 @@ def q_match_upsert_stream(spark, sf_dir):
         "status": F.lit("FINISHED")})
     land_payloads(V.fixture_payloads(refetch).repartition(2), landing, "")
     # the odds snapshot is materialised once (reliable checkpoint), not re-derived per micro-batch
-    snapshot = odds_map(spark, sf_dir).checkpoint()
+    snapshot = odds_snapshot(spark, sf_dir)
     version = run_upsert_stream(spark, landing, store, ckpt, odds=snapshot, files_per_batch=2)
     return U.read_version(spark, store, version)
 
