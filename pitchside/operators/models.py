@@ -90,7 +90,9 @@ class SoftVote:
         a = self.forest.transform(df).drop("features", "rf_raw", "rf_pred")
         both = self.logit.transform(a).drop("features", "scaled", "lr_raw", "lr_pred")
         rf, lr = vector_to_array("rf_prob"), vector_to_array("lr_prob")
-        out = both.withColumns({f"{prefix}{k}": (rf[k] + lr[k]) / 2 for k in range(self.n_classes)})
+        # a class absent from the training labels has no slot in the vectors: probability 0
+        cls = lambda v, k: F.coalesce(F.get(v, k), F.lit(0.0))
+        out = both.withColumns({f"{prefix}{k}": (cls(rf, k) + cls(lr, k)) / 2 for k in range(self.n_classes)})
         return out.drop("rf_prob", "lr_prob")
 
     def save(self, path: str) -> None:
