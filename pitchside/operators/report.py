@@ -92,7 +92,7 @@ def _pct0(c: str) -> Column:
     return num_text(F.col(c) * 100, 0)
 
 
-def digest_line(brand_free: bool = True) -> Column:
+def digest_line() -> Column:
     """A-13 per-pick block: teams, optional kickoff, Over 2.5 and BTTS percentages."""
     t = F.coalesce(F.col("match_time"), F.lit(""))
     btts = F.coalesce(F.col("btts_probability"), F.lit(0.0))

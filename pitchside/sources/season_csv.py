@@ -79,19 +79,25 @@ def _is_header(cells: Column) -> Column:
     return hits >= 4
 
 
-def read_season_csv(spark: SparkSession, root: str, dedupe_ids: bool = True) -> DataFrame:
+def read_season_csv(spark: SparkSession, root: str, dedupe_ids: bool = True,
+                    columns: list[str] | None = None) -> DataFrame:
     """S-01: all season files → canonical columns, ``season`` from the path, rows without
     both final scores dropped, targets added, negative surrogate ``match_id``.
 
     Columns absent from every file are absent from the result (so the
     feature set adapts, P-13); columns absent from some files are NULL there.
+    Discovering which source columns occur costs one pass over the files;
+    pass ``columns`` (source header names) when the layout is known to skip it.
     """
     raw = raw_season_rows(spark, root)
     headers = raw.filter(_is_header(F.col("cells"))).select("file_path", F.col("cells").alias("hdr"))
     # one header row per file: the driver's file listing bounds it, so check that count first
     n_files = len(raw.inputFiles())
-    present = [r[0] for r in headers.select(F.explode("hdr").alias("h")).where(F.col("h").isNotNull())
-               .distinct().collect()]                      # the header vocabulary: tiny
+    if columns is None:
+        present = [r[0] for r in headers.select(F.explode("hdr").alias("h")).where(F.col("h").isNotNull())
+                   .distinct().collect()]                  # the header vocabulary: tiny
+    else:
+        present = list(columns)
     side = F.broadcast(headers) if n_files <= MAX_BROADCAST_FILES else headers
     rows = raw.filter(~_is_header(F.col("cells"))).join(side, "file_path")
 
