@@ -6,9 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def nan_to_null(c: Column) -> Column:
+    """N1: NaN means "missing" in the reference; in Spark ``NaN > 2.5`` is true, so make it NULL."""
+    d = c.cast("double")
+    return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
+
+
 def inverse_or_null(c: Column) -> Column:
     """``1/x`` with zero (and NULL) odds giving NULL (ANSI-safe)."""
-    return F.lit(1.0) / F.nullif(c.cast("double"), F.lit(0.0))
+    return F.lit(1.0) / F.nullif(nan_to_null(c), F.lit(0.0))
 
 
 def norm_match_key(home: Column, away: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.columns import inverse_or_null
+from ..functions.columns import inverse_or_null, nan_to_null
 from .rolling import prior_rolling_means
 
 SIDE_STATS = {
@@ -32,8 +32,8 @@ def available_stats(df: DataFrame) -> list[str]:
 
 
 def with_targets(df: DataFrame) -> DataFrame:
-    """P-04: goal total and five 0/1 targets; a missing score gives 0 (never NULL)."""
-    h, a = F.col("home_score"), F.col("away_score")
+    """P-04: goal total and five 0/1 targets; a missing (NULL or NaN) score gives 0 (never NULL)."""
+    h, a = nan_to_null(F.col("home_score")), nan_to_null(F.col("away_score"))
     total = h + a
     return df.withColumns({
         "total_goals": total,
@@ -51,9 +51,9 @@ def team_sides(matches: DataFrame) -> DataFrame:
 
     def side(team: str, is_home: int, scored: str, conceded: str, pick: int) -> Column:
         cols = [F.col(team).alias("team"), F.lit(is_home).alias("is_home"),
-                F.col(scored).cast("double").alias("scored"),
-                F.col(conceded).cast("double").alias("conceded")]
-        cols += [F.col(SIDE_STATS[s][pick]).cast("double").alias(s) for s in stats]
+                nan_to_null(F.col(scored)).alias("scored"),
+                nan_to_null(F.col(conceded)).alias("conceded")]
+        cols += [nan_to_null(F.col(SIDE_STATS[s][pick])).alias(s) for s in stats]
         return F.struct(*cols)
 
     sides = matches.select(

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import nan_to_null
 from ..operators.features import with_targets
 from ..operators.ranking import sequence_number
 
@@ -113,8 +114,8 @@ def read_season_csv(spark: SparkSession, root: str, dedupe_ids: bool = True,
         F.regexp_extract("file_path", r"season=([^/]+)", 1).alias("season"),
         *[v.alias(f"__t_{k}") for k, v in cols.items()])
     out = out.select(
-        "*", *[(F.col(f"__t_{k}") if k in TEXT_COLS else F.trim(F.col(f"__t_{k}")).try_cast("double")).alias(k)
-               for k in cols])
+        "*", *[(F.col(f"__t_{k}") if k in TEXT_COLS
+                else nan_to_null(F.trim(F.col(f"__t_{k}")).try_cast("double"))).alias(k) for k in cols])
     out = out.dropna(subset=["home_score", "away_score"])
     out = out.withColumns({"match_date": parse_match_date(F.col("date_text")),
                            "status": F.lit("FINISHED")})

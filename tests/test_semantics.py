@@ -271,3 +271,14 @@ def test_daily_digest_parts_concatenate_to_one_message(spark):
                    for _, _, h, a, t, p, b in order)
     want = C.DIGEST_HEADER.format(brand="Pitchside") + body + C.DIGEST_FOOTER.format(brand="Pitchside")
     assert "".join(m for _, m in parts) == want
+
+
+def test_nan_is_missing_like_null(spark):
+    nan = float("nan")
+    rows = [(i, D0 + dt.timedelta(days=i), "L", "A", f"X{i}", 2.0, 2.0, "FINISHED") for i in range(3)]
+    rows.append((3, D0 + dt.timedelta(days=3), "L", "A", "X3", nan, nan, "FINISHED"))
+    rows.append((4, D0 + dt.timedelta(days=4), "L", "A", "X4", 1.0, 0.0, "FINISHED"))
+    f = {r.match_id: r for r in feat.team_form_features(_matches(spark, rows)).collect()}
+    t = {r.match_id: r for r in feat.with_targets(_matches(spark, rows)).collect()}
+    assert f[4].h_roll_scored == 2.0 and f[4].h_roll_over25 == 0.75
+    assert t[3].target_over25 == 0 and t[3].target_draw == 0
