@@ -76,10 +76,10 @@ def classification_metrics(preds: DataFrame, y: str = "y", p: str = "p", cut: fl
         F.bround(safe("tp", "ap"), DIGITS).alias("recall"))
 
 
-AUC_BUCKETS = 1024
+AUC_BUCKETS = 1 << 16     # score bands for the running count (the band totals are one small window)
 
 
-def auc_roc(preds: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+def auc_roc(preds: DataFrame, y: str = "y", p: str = "p", buckets: int = AUC_BUCKETS) -> DataFrame:
     """A-09: ROC AUC with ties counted half (mid-rank formula), exact.
 
     Scores are first reduced to distinct values with positive/negative
@@ -89,7 +89,7 @@ def auc_roc(preds: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     per = preds.groupBy(F.col(p).alias("score")).agg(
         F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).cast("long").alias("neg"))
-    bucket = F.least(F.greatest(F.floor(F.col("score") * AUC_BUCKETS), F.lit(-1)), F.lit(AUC_BUCKETS))
+    bucket = F.least(F.greatest(F.floor(F.col("score") * buckets), F.lit(-1)), F.lit(buckets))
     below = count_before(per, key="score", weight="neg", bucket=bucket, name="neg_below")
     num = F.sum(F.col("pos") * (2 * F.col("neg_below") + F.col("neg")))
     agg = below.agg(num.alias("num2"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
@@ -125,7 +125,8 @@ def confidence_tiers(preds: DataFrame, tiers: DataFrame, y: str = "y", p: str =
         F.bround(F.col("n_games") / F.col("__all") * 100, DIGITS).alias("pct_of_all"))
 
 
-FOLD_HASH_MOD = 10007
+FOLD_HASH_MUL, FOLD_HASH_MOD = 40503, 1_000_000_007   # ~1e9 distinct keys; id * mul fits in 64 bits
+FOLD_BUCKET = 1 << 16                                  # ~15k numbering buckets per class
 
 
 def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = C.CV_FOLDS,
@@ -135,10 +136,10 @@ def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = C.CV_FOLDS
     fold differ by at most one).  The in-class position is a bucketed row number,
     so a dominant class is not numbered in one task.
     """
-    h = (F.col(id_col) * 7919 + seed) % FOLD_HASH_MOD
+    h = F.pmod(F.col(id_col) * FOLD_HASH_MUL + seed, F.lit(FOLD_HASH_MOD))
     staged = df.withColumn("__h", h)
     numbered = sequence_number(staged, order=[F.col("__h"), F.col(id_col)],
-                               buckets=[F.floor(F.col("__h") / 64)], partition=[label], name="__rank")
+                               buckets=[F.floor(F.col("__h") / FOLD_BUCKET)], partition=[label], name="__rank")
     return numbered.withColumn("fold", ((F.col("__rank") - 1) % k).cast("int")).drop("__h", "__rank")
 
 

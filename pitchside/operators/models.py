@@ -124,8 +124,11 @@ def prepare_training(train: DataFrame, cols, medians: DataFrame | None = None) -
     from .features import with_targets  # noqa: F401
     m = medians if medians is not None else medians_row(train, cols)
     x = outcome_label(impute_features(train, cols, m))
-    # persisted so the reliable checkpoint does not recompute the feature lineage
-    return x.persist().checkpoint()
+    # persisted only while the reliable checkpoint is written (so the lineage is computed once)
+    x.persist()
+    ck = x.checkpoint()
+    x.unpersist()
+    return ck
 
 
 def out_of_fold(x: DataFrame, cols, market: str, folds: DataFrame, k: int = C.CV_FOLDS,

@@ -180,8 +180,9 @@ GROUP BY tier HAVING count(*) >= 30""", TIERS_CTE)
 
 FOLDS_CTE = """
 folds AS (
-  SELECT doc_id, y, p, p2, CAST((row_number() OVER (PARTITION BY y ORDER BY (doc_id * 7919 + 42) % 10007, doc_id)
-                                 - 1) % 5 AS INTEGER) AS fold
+  SELECT doc_id, y, p, p2,
+    CAST((row_number() OVER (PARTITION BY y ORDER BY ((doc_id * 40503 + 42) % 1000000007 + 1000000007) % 1000000007,
+                                                      doc_id) - 1) % 5 AS INTEGER) AS fold
   FROM preds
 )"""
 
