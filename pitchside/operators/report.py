@@ -120,7 +120,7 @@ def daily_digest(picks: DataFrame, brand: str = C.DIGEST_BRAND, day: str = "matc
     from .ranking import sequence_number
 
     p = F.col("over_2_5_probability")
-    ranked = sequence_number(picks, order=slate_order(), buckets=[F.floor((1 - p) * 1000)],
+    ranked = sequence_number(picks, order=slate_order(), buckets=[F.floor((1 - p) * 1_000_000)],
                              partition=[day], name="__rank")
     parts = ranked.select(day, ((F.col("__rank") - 1) / part_picks).cast("long").alias("part"),
                           F.struct(F.col("__rank").alias("k"), digest_line().alias("line")).alias("x"))

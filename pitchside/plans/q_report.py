@@ -145,7 +145,7 @@ ORACLE["high_conf_picks"] = slate_sql("SELECT match_id, over_2_5_probability, hi
 def q_rank_by_probability(spark, sf_dir):
     p = F.col("over_2_5_probability")
     return sequence_number(post(spark, sf_dir), order=R.slate_order(),
-                           buckets=[F.floor((1 - p) * 1000)], partition=["match_date"],
+                           buckets=[F.floor((1 - p) * 1_000_000)], partition=["match_date"],
                            name="rank").select("match_date", "match_id", "rank")
 
 
@@ -158,7 +158,8 @@ FROM post""")
 @query("order_by_kickoff")
 def q_order_by_kickoff(spark, sf_dir):
     return sequence_number(post(spark, sf_dir), order=[F.col("match_time"), F.col("match_id")],
-                           buckets=[F.coalesce(F.col("match_time"), F.lit(""))], partition=["match_date"],
+                           buckets=[F.coalesce(F.col("match_time"), F.lit("")),
+                                    F.floor(F.col("match_id") / 65536)], partition=["match_date"],
                            name="kickoff_rank").select("match_date", "match_id", "match_time", "kickoff_rank")
 
 
@@ -188,7 +189,8 @@ def q_order_by_team_date(spark, sf_dir):
     d = F.col("match_date")
     sides = feat.team_sides(V.match_view(spark, sf_dir)).select("match_id", "match_date", "team", "is_home")
     return sequence_number(sides, order=feat.form_order(),
-                           buckets=[d.isNull(), F.coalesce(d, F.to_date(F.lit("1970-01-01")))],
+                           buckets=[d.isNull(), F.coalesce(d, F.to_date(F.lit("1970-01-01"))),
+                                    F.floor(F.col("match_id") / 65536)],
                            partition=["team"], name="game_no").select("match_id", "team", "is_home", "game_no")
 
 
