@@ -38,7 +38,7 @@ def odds_snapshot(spark, sf_dir):
 # --- SQL twins of the landed payloads (computed from M, no JSON) -------------------
 
 FEED_CTES = ("""
-fm AS (SELECT match_id, match_date, home_team, away_team FROM m WHERE match_id % 5 = 0)""", """
+fm AS (SELECT match_id, match_date, home_team, away_team FROM m WHERE competition IN ('1-URGENT', '2-HIGH'))""", """
 fl AS (
   SELECT l_orderkey AS match_id, l_partkey AS pk, l_suppkey AS sk,
     CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,

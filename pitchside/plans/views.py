@@ -14,7 +14,7 @@ from ..sources.tables import read_table
 
 N_TEAMS = 40
 PAGE_SPAN = 2000            # match ids per landed payload page (bounds a document's size)
-FEED_EVERY = 5              # the odds feed covers match_id % 5 = 0
+FEED_LEAGUES = ["1-URGENT", "2-HIGH"]   # competitions the odds provider covers
 ERROR_DAY = 13              # fixture payloads of this day-of-month carry an API error
 EMPTY_DAY = 29              # ... and of this day an empty response
 BOOKMAKER_KEYS = ["sportybet", "onexbet", "bet365", "betway", "other1", "other2"]
@@ -155,8 +155,8 @@ def fixture_payloads(m: DataFrame) -> DataFrame:
 
 
 def odds_payloads(spark: SparkSession, sf_dir: str, m: DataFrame) -> DataFrame:
-    """``FEED``: one odds-API response per (date, page) covering every fifth match."""
-    feed = m.filter(F.col("match_id") % FEED_EVERY == 0).select(
+    """``FEED``: one odds-API response per (date, page) for the covered competitions."""
+    feed = m.filter(F.col("competition").isin(*FEED_LEAGUES)).select(
         "match_id", "match_date", "home_team", "away_team")
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
