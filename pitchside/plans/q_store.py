@@ -239,14 +239,20 @@ ORACLE["distinct_competitions"] = with_m(
 
 # --- K-01, K-02, U-03 ---------------------------------------------------------------------
 
+STORE_CUT, BATCH_FROM, RESENT_TO = "1999-01-01", "1998-12-01", "1999-01-01"
+
+
 def store_batches(spark, sf_dir):
-    """STORE_V1 (every match but match_id % 4 = 0) and one upsert batch with changed scores."""
+    """The store as of ``STORE_CUT`` and one re-fetch batch from ``BATCH_FROM`` on (overlapping
+    days are updates, later days inserts) with final scores; the overlap days were sent twice
+    in the batch (the later ordinal wins)."""
     store = store_df(spark, sf_dir)
-    mid = F.col("match_id")
-    v1 = store.filter(mid % 4 != 0)
-    changed = store.filter(mid % 3 == 0).withColumns({
+    d = F.col("match_date")
+    v1 = store.filter(d < F.to_date(F.lit(STORE_CUT)))
+    fetched = store.filter(d >= F.to_date(F.lit(BATCH_FROM)))
+    changed = fetched.withColumns({
         "home_score": F.coalesce("home_score", F.lit(0)) + 1, "status": F.lit("FINISHED")})
-    again = store.filter(mid % 6 == 0).withColumns({
+    again = fetched.filter(d < F.to_date(F.lit(RESENT_TO))).withColumns({
         "home_score": F.coalesce("home_score", F.lit(0)) + 1,
         "away_score": F.coalesce("away_score", F.lit(0)) + 1, "status": F.lit("FINISHED")})
     batch = U.stamp(changed, 1).unionByName(U.stamp(again.withColumn("o", F.lit(1)), 1, "o").drop("o"))
@@ -254,17 +260,17 @@ def store_batches(spark, sf_dir):
 
 
 BATCH_CTES = (f"""
-v1 AS (SELECT {STORE_SQL_COLS} FROM m WHERE match_id % 4 <> 0)""", f"""
-sb0 AS (SELECT {STORE_SQL_COLS} FROM m)""", """
+v1 AS (SELECT {STORE_SQL_COLS} FROM m WHERE match_date < DATE '{STORE_CUT}')""", f"""
+sb0 AS (SELECT {STORE_SQL_COLS} FROM m WHERE match_date >= DATE '{BATCH_FROM}')""", f"""
 batch AS (
   SELECT * REPLACE (coalesce(home_score, 0) + 1 AS home_score, 'FINISHED' AS status),
     CAST(1 AS BIGINT) AS batch_seq, CAST(0 AS BIGINT) AS batch_ord
-  FROM sb0 WHERE match_id % 3 = 0
+  FROM sb0
   UNION ALL
   SELECT * REPLACE (coalesce(home_score, 0) + 1 AS home_score, coalesce(away_score, 0) + 1 AS away_score,
                     'FINISHED' AS status),
     CAST(1 AS BIGINT), CAST(1 AS BIGINT)
-  FROM sb0 WHERE match_id % 6 = 0
+  FROM sb0 WHERE match_date < DATE '{RESENT_TO}'
 )""", """
 hist AS (
   SELECT *, CAST(-1 AS BIGINT) AS batch_seq, CAST(0 AS BIGINT) AS batch_ord FROM v1
