@@ -121,7 +121,6 @@ def fit_market(train: DataFrame, cols, market: str, num_trees: int = C.FOREST_PA
 def prepare_training(train: DataFrame, cols, medians: DataFrame | None = None) -> DataFrame:
     """Training matrix: imputed features (deviation N10: Spark ML cannot take NULL) + labels,
     checkpointed to the shared folder — it feeds 3 markets × (5 folds + 1) fits."""
-    from .features import with_targets  # noqa: F401
     m = medians if medians is not None else medians_row(train, cols)
     x = outcome_label(impute_features(train, cols, m))
     # persisted only while the reliable checkpoint is written (so the lineage is computed once)

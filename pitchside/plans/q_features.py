@@ -11,8 +11,8 @@ from ..session import scratch_dir
 from ..sources import store as S
 from ..sources.tables import RUN_DATE, run_date_for
 from . import views as V
-from .oracle import (FEATURE_COLS, ORACLE, ROLL_VALUES, TARGET_COLS, TARGETS_SQL, W09_COLS,
-                     features_sql, sides_cte, with_m)
+from .oracle import (FEATURE_COLS, ORACLE, TARGET_COLS, TARGETS_SQL, W09_COLS, features_sql,
+                     sides_cte, with_m)
 from .registry import query
 
 

@@ -10,7 +10,7 @@ from ..operators import metrics as MT
 from ..operators.models import impute_features, medians_row, outcome_label
 from ..sources import store as S
 from . import views as V
-from .oracle import FEATURE_COLS, ORACLE, TARGET_COLS, TARGETS_SQL, features_sql, with_m
+from .oracle import FEATURE_COLS, ORACLE, TARGET_COLS, features_sql, with_m
 from .q_features import TRAINING_SQL, matches
 from .registry import query
 
