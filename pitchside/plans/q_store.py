@@ -58,12 +58,15 @@ SEASON_TEXT = [  # (canonical, text expression) in the reader's fixed column ord
 ]
 SEASON_CTES = ("""
 sc AS (
-  SELECT *, CAST(year(match_date) AS VARCHAR) AS season,
-    competition IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS full_layout
-  FROM m WHERE home_score IS NOT NULL AND away_score IS NOT NULL
+  SELECT * FROM (
+    SELECT *, CAST(year(match_date) AS VARCHAR) AS season,
+      competition IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS full_layout,
+      row_number() OVER (ORDER BY CAST(year(match_date) AS VARCHAR), competition, match_date, match_id) AS line
+    FROM m)
+  WHERE home_score IS NOT NULL AND away_score IS NOT NULL
 )""", """
 st AS (
-  SELECT match_id AS src_id, match_date AS src_date, season, """ + ",\n    ".join(
+  SELECT match_id AS src_id, match_date AS src_date, line, season, """ + ",\n    ".join(
     f"{e} AS t_{k}" for k, e in SEASON_TEXT) + """
   FROM sc
 )""", """
@@ -77,7 +80,7 @@ sv AS (
     f"CAST(t_{k} AS DOUBLE) AS {k}" for k, _ in SEASON_TEXT[4:]) + """,
     CASE WHEN src_id % 97 = 0 THEN NULL ELSE src_date END AS match_date,
     'FINISHED' AS status,
-    -(CAST('0x' || substr(md5(base || '|' || CAST(row_number() OVER (PARTITION BY base ORDER BY base) AS VARCHAR)), 1, 15) AS BIGINT) + 1) AS match_id
+    -line AS match_id
   FROM sb
 )""")
 

@@ -242,6 +242,7 @@ def season_cells(m: DataFrame) -> DataFrame:
                  .when(mid % 7 == 0, F.date_format("match_date", "dd/MM/yy"))
                  .otherwise(F.date_format("match_date", "dd/MM/yyyy")))
     return m.select(
+        "match_date", "match_id",
         F.year("match_date").cast("string").alias("season"), F.col("competition").alias("league"),
         F.col("competition").alias("Div"), date_text.alias("Date"),
         F.col("home_team").alias("HomeTeam"), F.col("away_team").alias("AwayTeam"),
@@ -258,12 +259,14 @@ def season_cells(m: DataFrame) -> DataFrame:
 
 
 def write_season_csvs(m: DataFrame, root: str) -> None:
-    """One folder per season and league; leagues in FULL_LAYOUT_LEAGUES get the long header."""
+    """One file per season/league folder, lines in (date, match id) order; leagues in
+    FULL_LAYOUT_LEAGUES get the long header."""
     cells = season_cells(m)
     full = cells.filter(F.col("league").isin(*FULL_LAYOUT_LEAGUES))
     short = cells.filter(~F.col("league").isin(*FULL_LAYOUT_LEAGUES))
     for i, (part, layout) in enumerate(((full, FULL_LAYOUT), (short, SHORT_LAYOUT))):
-        (part.select("season", "league", *[F.col(f"`{c}`") for c in layout])
-         .repartition("season", "league")           # one file per season/league folder
+        (part.repartition("season", "league")                     # one file per folder
+         .sortWithinPartitions("season", "league", "match_date", "match_id")
+         .select("season", "league", *[F.col(f"`{c}`") for c in layout])
          .write.mode("overwrite" if i == 0 else "append").option("header", True)
          .partitionBy("season", "league").csv(root))

@@ -13,13 +13,12 @@ That is the outer column union of the reference, without a driver loop.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import nan_to_null
 from ..operators.features import with_targets
-from ..operators.ranking import sequence_number
 
 MAX_COLS = 40
 MAX_BROADCAST_FILES = 50_000     # header rows (≈ one short row per file) broadcast only below this
@@ -54,10 +53,21 @@ def parse_match_date(text: Column, pivot: int = TWO_DIGIT_PIVOT) -> Column:
     return F.coalesce(four, two)
 
 
-def surrogate_match_id(*parts: Column) -> Column:
-    """P-03: a negative 60-bit id from the md5 of the row's identity (never collides with API ids)."""
-    h = F.substring(F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 1, 15)
-    return -(F.conv(h, 16, 10).cast("long") + 1)
+def line_numbers(rows: DataFrame, broadcast_ok: bool = True) -> DataFrame:
+    """P-03 helper: ``__line`` = 1-based position of each data line in the concatenation of all
+    files (path order, then line order) — without sorting or shuffling the rows.
+
+    Lines of one input split are consecutive in ``monotonically_increasing_id``; a small
+    aggregate (one row per split: first id, line count) gives each split its offset by a
+    window over that small table, which is then broadcast back (its size is the number of
+    splits, bounded by the file listing).
+    """
+    per = rows.groupBy("file_path", "__blk").agg(F.min("__pos").alias("__p0"), F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("file_path", "__blk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = per.select("file_path", "__blk", "__p0", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    side = F.broadcast(offs) if broadcast_ok else offs
+    return rows.join(side, ["file_path", "__blk"]).withColumn(
+        "__line", F.col("__off") + (F.col("__pos") - F.col("__p0")) + 1).drop("__p0", "__off")
 
 
 def raw_season_rows(spark: SparkSession, root: str) -> DataFrame:
@@ -68,22 +78,23 @@ def raw_season_rows(spark: SparkSession, root: str) -> DataFrame:
            .option("recursiveFileLookup", True)
            .option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
            .csv(root))
-    # physical position of each line (evaluated in the scan stage): orders identical copies
+    # physical position of each line, evaluated in the scan stage: the split it was read from
+    # (file, block start) and a per-partition increasing id (consecutive within a split)
     return raw.select(F.col("_metadata.file_path").alias("file_path"),
-                      F.spark_partition_id().alias("__pid"), F.monotonically_increasing_id().alias("__pos"),
+                      F.col("_metadata.file_block_start").alias("__blk"),
+                      F.monotonically_increasing_id().alias("__pos"),
                       F.array(*[F.col(f"c{i}") for i in range(MAX_COLS)]).alias("cells"))
 
 
 def _is_header(cells: Column) -> Column:
-    known = F.array(*[F.lit(k) for k in COLUMN_MAP])
-    hits = F.size(F.filter(cells, lambda c: F.array_contains(known, c)))
-    return hits >= 4
+    """A header line starts with two known column names (data lines never do)."""
+    known = list(COLUMN_MAP)
+    return F.element_at(cells, 1).isin(*known) & F.element_at(cells, 2).isin(*known)
 
 
-def read_season_csv(spark: SparkSession, root: str, dedupe_ids: bool = True,
-                    columns: list[str] | None = None) -> DataFrame:
+def read_season_csv(spark: SparkSession, root: str, columns: list[str] | None = None) -> DataFrame:
     """S-01: all season files → canonical columns, ``season`` from the path, rows without
-    both final scores dropped, targets added, negative surrogate ``match_id``.
+    both final scores dropped, targets added, ``match_id`` = -(line position).
 
     Columns absent from every file are absent from the result (so the
     feature set adapts, P-13); columns absent from some files are NULL there.
@@ -91,43 +102,32 @@ def read_season_csv(spark: SparkSession, root: str, dedupe_ids: bool = True,
     pass ``columns`` (source header names) when the layout is known to skip it.
     """
     raw = raw_season_rows(spark, root)
-    headers = raw.filter(_is_header(F.col("cells"))).select("file_path", F.col("cells").alias("hdr"))
-    # one header row per file: the driver's file listing bounds it, so check that count first
+    # one row per file: where each known column sits in that file's own header (0 = absent)
+    headers = raw.filter(_is_header(F.col("cells"))).select(
+        "file_path", *[F.array_position(F.col("cells"), F.lit(src)).cast("int").alias(f"__p_{canon}")
+                       for src, canon in COLUMN_MAP.items()])
+    # header rows are bounded by the driver's file listing: check that count before broadcasting
     n_files = len(raw.inputFiles())
     if columns is None:
-        present = [r[0] for r in headers.select(F.explode("hdr").alias("h")).where(F.col("h").isNotNull())
-                   .distinct().collect()]                  # the header vocabulary: tiny
+        seen = headers.agg(*[F.max(f"__p_{canon}").alias(canon) for canon in COLUMN_MAP.values()]).first()
+        present = [src for src, canon in COLUMN_MAP.items() if seen is not None and (seen[canon] or 0) > 0]
     else:
         present = list(columns)
     side = F.broadcast(headers) if n_files <= MAX_BROADCAST_FILES else headers
     rows = raw.filter(~_is_header(F.col("cells"))).join(side, "file_path")
 
-    def pick(src: str) -> Column:
-        pos = F.array_position(F.col("hdr"), F.lit(src)).cast("int")
+    def pick(canon: str) -> Column:
+        pos = F.col(f"__p_{canon}")
         return F.when(pos > 0, F.element_at(F.col("cells"), pos))
 
-    cols = {canon: pick(src) for src, canon in COLUMN_MAP.items() if src in present}
-    # identity of a line for the surrogate key: season + the raw cells in a fixed order
-    base = F.concat_ws("|", F.col("season"), *[F.coalesce(F.col(f"__t_{k}"), F.lit("")) for k in cols])
+    cols = {canon: pick(canon) for src, canon in COLUMN_MAP.items() if src in present}
     out = rows.select(
-        "file_path", "__pid", "__pos",
+        "file_path", "__blk", "__pos",
         F.regexp_extract("file_path", r"season=([^/]+)", 1).alias("season"),
-        *[v.alias(f"__t_{k}") for k, v in cols.items()])
-    out = out.select(
-        "*", *[(F.col(f"__t_{k}") if k in TEXT_COLS
-                else nan_to_null(F.trim(F.col(f"__t_{k}")).try_cast("double"))).alias(k) for k in cols])
+        *[(v if k in TEXT_COLS else nan_to_null(F.trim(v).try_cast("double"))).alias(k) for k, v in cols.items()])
+    # P-03: -(line position); numbered before rows are dropped, so dropped lines leave gaps
+    out = line_numbers(out, n_files <= MAX_BROADCAST_FILES).withColumn("match_id", -F.col("__line"))
     out = out.dropna(subset=["home_score", "away_score"])
     out = out.withColumns({"match_date": parse_match_date(F.col("date_text")),
                            "status": F.lit("FINISHED")})
-    if dedupe_ids:
-        # Identical lines get ordinals 1..n in file order (the output rows are the same whichever
-        # copy gets which ordinal).  Numbered per (line, file, input split) and offset by the
-        # counts of earlier splits, so a line repeated millions of times is not one task.
-        out = sequence_number(out.withColumn("__base", base),
-                              order=[F.col("file_path"), F.col("__pos")],
-                              buckets=[F.col("file_path"), F.col("__pid")],
-                              partition=["__base"], name="__rn")
-        out = out.withColumn("match_id", surrogate_match_id(F.col("__base"), F.col("__rn")))
-    else:
-        out = out.withColumn("match_id", surrogate_match_id(base))
-    return with_targets(out.drop(*[f"__t_{k}" for k in cols], "__base", "__rn", "__pid", "__pos", "file_path"))
+    return with_targets(out.drop("__line", "__pos", "__blk", "file_path"))
