@@ -282,3 +282,29 @@ def test_nan_is_missing_like_null(spark):
     t = {r.match_id: r for r in feat.with_targets(_matches(spark, rows)).collect()}
     assert f[4].h_roll_scored == 2.0 and f[4].h_roll_over25 == 0.75
     assert t[3].target_over25 == 0 and t[3].target_draw == 0
+
+
+def test_season_csv_mixed_headers_by_name(spark, tmp_path):
+    from pitchside.sources.season_csv import read_season_csv
+    a = tmp_path / "season=2324" / "E0"
+    b = tmp_path / "season=2425" / "D1"
+    a.mkdir(parents=True)
+    b.mkdir(parents=True)
+    (a / "E0.csv").write_text(
+        "Div,Date,HomeTeam,AwayTeam,FTHG,FTAG,HS,AS,Avg>2.5\n"
+        "E0,12/08/2023,Arsenal,Forest,2,1,15,6,1.72\n"
+        "E0,12/08/2023,Arsenal,Forest,2,1,15,6,1.72\n"          # identical copy: still its own id
+        "E0,13/08/23,Brentford,Spurs,,,9,12,1.60\n")             # no score: dropped
+    (b / "D1.csv").write_text(
+        "Date,Div,AwayTeam,HomeTeam,FTAG,FTHG,Avg>2.5\n"         # reordered, no shots
+        "18/08/2024,D1,Bayern,Wolfsburg,3,0,0\n"
+        "not a date,D1,Mainz,Koln,1,1,2.05\n")
+    df = read_season_csv(spark, str(tmp_path))
+    rows = sorted(df.collect(), key=lambda r: r.match_id, reverse=True)
+    assert len(rows) == 4 and len({r.match_id for r in rows}) == 4 and all(r.match_id < 0 for r in rows)
+    wolf = [r for r in rows if r.home_team == "Wolfsburg"][0]
+    assert (wolf.away_team, wolf.home_score, wolf.away_score, wolf.season) == ("Bayern", 0.0, 3.0, "2425")
+    assert wolf.h_shots is None and wolf.avg_over25 == 0.0 and wolf.target_away_win == 1
+    assert [r.match_date for r in rows if r.home_team == "Koln"] == [None]
+    ars = [r for r in rows if r.home_team == "Arsenal"]
+    assert len(ars) == 2 and ars[0].h_shots == 15.0 and str(ars[0].match_date) == "2023-08-12"
