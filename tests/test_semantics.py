@@ -308,3 +308,14 @@ def test_season_csv_mixed_headers_by_name(spark, tmp_path):
     assert [r.match_date for r in rows if r.home_team == "Koln"] == [None]
     ars = [r for r in rows if r.home_team == "Arsenal"]
     assert len(ars) == 2 and ars[0].h_shots == 15.0 and str(ars[0].match_date) == "2023-08-12"
+
+
+def test_undated_games_last_and_null_team_has_no_form(spark):
+    rows = [(i, D0 + dt.timedelta(days=i), "L", "A", f"X{i}", 1.0, 0.0, "FINISHED") for i in range(1, 4)]
+    rows.append((0, None, "L", "A", "X0", 5.0, 5.0, "FINISHED"))     # undated, smallest id: still last
+    rows.append((9, D0 + dt.timedelta(days=9), "L", "A", "X9", 0.0, 0.0, "FINISHED"))
+    rows += [(20 + i, D0 + dt.timedelta(days=i), "L", None, f"Y{i}", 1.0, 1.0, "FINISHED") for i in range(5)]
+    f = {r.match_id: r for r in feat.team_form_features(_matches(spark, rows)).collect()}
+    assert f[9].h_roll_scored == 1.0                 # the undated 5-goal game is not before it
+    assert f[0].h_roll_scored == 0.75                # it comes after all dated games: (1+1+1+0)/4
+    assert all(f[20 + i].h_roll_scored is None for i in range(5))
