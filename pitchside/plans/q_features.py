@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators import features as feat
 from ..operators.rolling import lag_one
-from ..session import scratch_dir
+from ..session import run_dir
 from ..sources import store as S
 from ..sources.tables import RUN_DATE, run_date_for
 from . import views as V
@@ -304,7 +304,7 @@ WHERE team IN (SELECT home_team FROM m WHERE match_date = DATE '{RUN_DATE}'
 def q_fixture_list_features(spark, sf_dir):
     m = matches(spark, sf_dir)
     run = run_date_for(sf_dir)
-    path = scratch_dir(spark, "fixture_list", _slug(sf_dir))
+    path = run_dir(spark, "fixture_list", _slug(sf_dir))
     upcoming = m.filter((F.col("status") == "SCHEDULED") & (F.col("match_date") >= F.to_date(F.lit(run))))
     S.write_fixture_list(upcoming, path)
     listed = S.read_fixture_list(spark, path).withColumn("status", F.lit("SCHEDULED"))

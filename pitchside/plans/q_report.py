@@ -8,7 +8,7 @@ from .. import constants as C
 from ..operators import features as feat
 from ..operators import report as R
 from ..operators.ranking import sequence_number
-from ..session import scratch_dir
+from ..session import run_dir
 from ..sources import store as S
 from . import views as V
 from .oracle import ORACLE, sides_cte, with_m
@@ -318,7 +318,7 @@ ORACLE["attach_metadata"] = ATTACH_SQL
 @query("predictions_csv")
 def q_predictions_csv(spark, sf_dir):
     df = attached(spark, sf_dir)
-    path = scratch_dir(spark, "predictions_csv", _slug(sf_dir))
+    path = run_dir(spark, "predictions_csv", _slug(sf_dir))
     df.write.mode("overwrite").option("header", True).csv(path)
     return spark.read.option("header", True).schema(df.schema).csv(path)
 

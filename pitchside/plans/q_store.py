@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import upsert as U
-from ..session import scratch_dir
+from ..session import run_dir
 from ..sources import season_csv as SC
 from ..sources import store as S
 from ..sources.tables import RUN_DATE
@@ -19,7 +19,7 @@ def _slug(sf_dir: str) -> str:
 
 
 def season_frame(spark, sf_dir):
-    root = scratch_dir(spark, "season_csv", _slug(sf_dir))
+    root = run_dir(spark, "season_csv", _slug(sf_dir))
     V.write_season_csvs(V.match_view(spark, sf_dir), root)
     return SC.read_season_csv(spark, root)
 
@@ -163,7 +163,7 @@ ORACLE["match_store_scan"] = with_m(
 
 @query("fixture_list_scan")
 def q_fixture_list_scan(spark, sf_dir):
-    path = scratch_dir(spark, "fixture_list_all", _slug(sf_dir))
+    path = run_dir(spark, "fixture_list_all", _slug(sf_dir))
     m = V.match_view(spark, sf_dir).filter(F.col("status") == "SCHEDULED")
     S.write_fixture_list(m, path)
     return S.read_fixture_list(spark, path)
@@ -176,7 +176,7 @@ ORACLE["fixture_list_scan"] = with_m(
 @query("fixture_date_pick")
 def q_fixture_date_pick(spark, sf_dir):
     """F-10 / T-08 input: the listed fixtures of the first listed date on/after the run date."""
-    path = scratch_dir(spark, "fixture_list_all", _slug(sf_dir))
+    path = run_dir(spark, "fixture_list_all", _slug(sf_dir))
     m = V.match_view(spark, sf_dir).filter(F.col("status") == "SCHEDULED")
     S.write_fixture_list(m, path)
     listed = S.read_fixture_list(spark, path).filter(F.col("match_date") >= F.to_date(F.lit(RUN_DATE)))
@@ -292,7 +292,7 @@ ORACLE["union_history_and_upsert"] = with_m("SELECT * FROM hist", *BATCH_CTES)
 
 @query("match_upsert")
 def q_match_upsert(spark, sf_dir):
-    base = scratch_dir(spark, "store", _slug(sf_dir))
+    base = run_dir(spark, "store", _slug(sf_dir))
     v1, batch = store_batches(spark, sf_dir)
     U.write_version(v1, base, 1)
     current = U.read_version(spark, base, 1)
@@ -308,7 +308,7 @@ SELECT * EXCLUDE (batch_seq, batch_ord, rn) FROM (
 
 @query("match_store_init")
 def q_match_store_init(spark, sf_dir):
-    base = scratch_dir(spark, "store_init", _slug(sf_dir))
+    base = run_dir(spark, "store_init", _slug(sf_dir))
     U.init_store(spark, f"{base}/v=000000")
     empty = U.read_version(spark, base, 0)
     U.write_version(U.upsert_matches(empty, U.stamp(store_df(spark, sf_dir), 1)), base, 1)

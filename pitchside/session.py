@@ -69,3 +69,9 @@ def scratch_dir(spark: SparkSession, *parts: str) -> str:
     for p in parts:
         path = f"{path}/{p}"
     return path
+
+
+def run_dir(spark: SparkSession, *parts: str) -> str:
+    """A fresh folder for one run under the shared scratch folder (concurrent runs never collide)."""
+    import uuid
+    return scratch_dir(spark, *parts, uuid.uuid4().hex[:12])
