@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm import decontam, quality
+from pitchside.llm import decontam, quality, warc
+from pitchside.llm.textops import shared_folder
 from pitchside.sources.tables import read_table
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    warc.write_archive(read_table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path).select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        "record_type", "refers_to")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -21,11 +30,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc": op3_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc": warc.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
     "op10_decontamination": decontam.ORACLE_SQL,
 }
