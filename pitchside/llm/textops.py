@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,7 +155,7 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[
     n = batch.num_rows
     if not n:
         return
-    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     edge = np.cumsum(size) // max_bytes
     cuts = np.concatenate((run_starts(edge), [n]))
     for a, b in zip(cuts[:-1], cuts[1:]):
