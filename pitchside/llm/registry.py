@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm import decontam, packing, quality, warc
+from pitchside.llm import decontam, langid, packing, quality, warc
 from pitchside.llm.textops import shared_folder
 from pitchside.sources.tables import read_table
 
@@ -17,6 +17,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.predict(docs.select("doc_id", "text", langid.held_out(F.col("doc_id")).alias("held_out")), model).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     warc.write_archive(read_table(spark, sf_dir, "pages"), path)
@@ -36,6 +43,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_language": op2_language,
     "op3_warc": op3_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
