@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm import decontam, langid, packing, quality, warc
+from pitchside.llm import decontam, langid, packing, quality, setjoin, warc
 from pitchside.llm.textops import shared_folder
 from pitchside.sources.tables import read_table
 
@@ -32,6 +32,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", "refers_to")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.linked_components(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -45,12 +49,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
     "op3_warc": op3_warc,
+    "op4_jaccard_join": op4_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op3_warc": warc.ORACLE_SQL,
+    "op4_jaccard_join": setjoin.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
     "op10_decontamination": decontam.ORACLE_SQL,
 }

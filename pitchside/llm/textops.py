@@ -1,8 +1,7 @@
 """Vectorised text helpers used inside Arrow tasks, and the shared-folder helper.
 
-Hashes are 64-bit polynomial sums over random byte values, taken from
-prefix sums, so that the hash of any slice costs one subtraction and one
-multiplication; a final mixer spreads the bits.
+Hashes are 64-bit sums of random byte values weighted by powers of an odd
+base, passed through a mixer that spreads the bits.
 """
 
 from __future__ import annotations
@@ -47,37 +46,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inv = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    up = np.full(n, _BASE, dtype=np.uint64)
-    down = np.full(n, inv, dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
-    return _powers(1 << max(12, int(n).bit_length()))
-
-
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Weighted prefix sums of 64-bit values: entry i covers ``values[:i]``."""
-    up, _ = powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
-    return out
-
+def odd_powers(n: int) -> np.ndarray:
+    """Powers 0..n-1 of the odd base modulo 2**64."""
+    return _powers(1 << max(8, int(n - 1).bit_length()))[:n] if n > 0 else np.zeros(0, dtype=np.uint64)
 
-def slice_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of every slice ``[start, end)`` of the sequence behind ``sums``."""
-    _, down = powers(len(sums))
-    raw = (sums[end] - sums[start]) * down[start]
-    return mix64(raw ^ (np.asarray(end - start, dtype=np.uint64) << np.uint64(40)))
 
-
-def byte_sums(data: np.ndarray) -> np.ndarray:
-    return prefix_sums(_BYTE_VALUE[data])
+@functools.lru_cache(maxsize=2)
+def _powers(n: int) -> np.ndarray:
+    up = np.full(n, _BASE, dtype=np.uint64)
+    up[0] = 1
+    return np.multiply.accumulate(up)
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +66,29 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of every word given by its byte span: byte values weighted by the place in the word."""
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64)
+    size = end - start
+    first = np.cumsum(size) - size
+    at = ranges(start, size)
+    place = np.arange(len(at)) - np.repeat(first, size)
+    sums = np.add.reduceat(_BYTE_VALUE[data[at]] * odd_powers(int(size.max()))[place], first)
+    return mix64(sums ^ (size.astype(np.uint64) << np.uint64(48)))
+
+
+def gram_hashes(items: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every ``k`` consecutive items (the caller drops those that cross a boundary)."""
+    n = len(items) - k + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    out = np.zeros(n, dtype=np.uint64)
+    for j, p in enumerate(odd_powers(k)):
+        out += items[j:j + n] * p
+    return mix64(out)
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z, every other byte as it is."""
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
@@ -183,6 +184,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def text_key(column) -> object:
-    """A 128-bit text identity for grouping exact copies (with the length, two independent hashes)."""
+    """A text identity for grouping exact copies: the length and two differently seeded hashes."""
     return F.struct(F.octet_length(column).alias("n"), F.xxhash64(column).alias("a"),
                     F.xxhash64(F.lit(7), column, F.lit(11)).alias("b"))
