@@ -2,11 +2,12 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 
-from pitchside.llm import suffix_dedup, superkmers
+from pitchside.llm import suffix_dedup, superkmers, window_dedup
 
 
 def brute_bytes(docs, width, keep_first):
@@ -94,3 +95,47 @@ def test_repeated_rows_nulls_and_extra_columns(spark):
     assert out[(4, None)].text == "éè" * 20 and out[(4, None)].n_chars == 40
     assert suffix_dedup.dedup(docs.limit(0)).columns == docs.columns
     assert suffix_dedup.removals(docs.limit(0)).count() == 0
+
+
+def brute_words(docs, width):
+    """doc_id -> (words, removed positions) where the window also starts earlier."""
+    seen, words = {}, {d: [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w] for d, t in docs}
+    gone = {d: set() for d in words}
+    for d in sorted(words):
+        for i in range(len(words[d]) - width + 1):
+            key = tuple(words[d][i:i + width])
+            if seen.setdefault(key, (d, i)) != (d, i):
+                gone[d] |= set(range(i, i + width))
+    return words, gone
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_words_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    vocab = ["a", "B", "cé", "dd", "e,", "\u00a0f", "G."]
+    passages = [[rng.choice(vocab) for _ in range(rng.randint(10, 70))] for _ in range(5)]
+    data = []
+    for d in range(50):
+        out = []
+        for _ in range(rng.randint(0, 5)):
+            p = rng.choice(passages) if rng.random() < 0.6 else [rng.choice(vocab) for _ in range(rng.randint(0, 40))]
+            a = rng.randint(0, len(p) // 2)
+            out += p[a:a + rng.randint(0, len(p))] * rng.choice([1, 1, 1, 2])
+        data.append((d * 2, rng.choice(["", " "]) + rng.choice([" ", "\n", "\t \x0b"]).join(out)))
+    data += [(500, data[7][1]), (501, None), (502, ""), (503, " \n "), (504, "w " * 300)]
+    got = {r.doc_id: r for r in window_dedup.removals(
+        spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
+    words, gone = brute_words(data, 20)
+    for d, _ in data:
+        kept = " ".join(w for i, w in enumerate(words[d]) if i not in gone[d])
+        assert (got[d].n_words, got[d].n_removed) == (len(words[d]), len(gone[d])), d
+        assert got[d].kept == kept and got[d].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+
+
+def test_words_of_repeated_rows_and_empty_tables(spark):
+    rng = random.Random(3)
+    text = " ".join(rng.choice("abcdefg") for _ in range(60))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
+    got = sorted((r.doc_id or 9, r.n_removed) for r in window_dedup.removals(docs).collect())
+    assert got == [(1, 0), (1, 0), (2, 60), (9, 60)]
+    assert window_dedup.removals(docs.limit(0)).count() == 0
