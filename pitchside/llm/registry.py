@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm import decontam, langid, packing, quality, setjoin, suffix_dedup, warc, window_dedup
+from pitchside.llm import decontam, langid, packing, quality, setjoin, suffix_dedup, toxicity, warc, window_dedup
 from pitchside.llm.textops import shared_folder
 from pitchside.sources.tables import read_table
 
@@ -36,6 +36,15 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.linked_components(read_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = toxicity.held_out(F.col("doc_id"))
+    labels = read_table(spark, sf_dir, "labels").where(~held_out)
+    score = toxicity.train(docs, labels)
+    return score(docs.select("doc_id", "text", held_out.alias("held_out"))).select(
+        "doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removals(read_table(spark, sf_dir, "documents"), keep_first=False).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -60,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_warc": op3_warc,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_toxicity": op5_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_window_dedup": op8_window_dedup,
     "op9_quality_rules": op9_quality_rules,
