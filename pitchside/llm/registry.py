@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm import decontam, langid, packing, quality, setjoin, suffix_dedup, toxicity, warc, window_dedup
+from pitchside.llm import decontam, html_main, langid, packing, quality, setjoin, suffix_dedup, toxicity, warc, window_dedup
 from pitchside.llm.textops import shared_folder
 from pitchside.sources.tables import read_table
 
@@ -45,6 +45,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removals(read_table(spark, sf_dir, "documents"), keep_first=False).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
+    "op6_html_main_text": op6_html_main_text,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_window_dedup": op8_window_dedup,
     "op9_quality_rules": op9_quality_rules,
