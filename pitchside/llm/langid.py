@@ -98,10 +98,16 @@ def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
 
 
 def parse_table(symbols: np.ndarray, size: int) -> np.ndarray:
-    """Automaton completed for greedy parsing: entry = next state * 2 + (a phrase ended before the symbol)."""
+    """Automaton completed for greedy parsing: entry = next state * 2 + (a phrase ended before the symbol).
+
+    A symbol unknown to the language is a phrase of its own: it leads to one more state, the last.
+    """
     table = suffix_automaton(symbols.tolist(), size)
-    root = np.where(table[0] >= 0, table[0], 0)      # a symbol unknown to the language is a phrase of its own
-    return np.where(table >= 0, table * 2, root * 2 + 1).astype(np.int32)
+    alone = len(table)
+    restart = np.where(table[0] >= 0, table[0], alone) * 2
+    out = np.where(table >= 0, table * 2, restart + 1)
+    out[0] = restart
+    return np.vstack([out, restart + 1]).astype(np.int32)
 
 
 class Model:
