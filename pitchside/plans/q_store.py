@@ -8,7 +8,6 @@ from ..operators import upsert as U
 from ..session import run_dir
 from ..sources import season_csv as SC
 from ..sources import store as S
-from ..sources.tables import RUN_DATE
 from . import views as V
 from .oracle import ORACLE, TARGETS_SQL, with_m
 from .registry import query
@@ -62,8 +61,7 @@ sc AS (
     SELECT *, CAST(year(match_date) AS VARCHAR) AS season,
       competition IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS full_layout,
       row_number() OVER (ORDER BY CAST(year(match_date) AS VARCHAR), competition, match_date, match_id) AS line
-    FROM m)
-  WHERE home_score IS NOT NULL AND away_score IS NOT NULL
+    FROM m WHERE home_score IS NOT NULL AND away_score IS NOT NULL)
 )""", """
 st AS (
   SELECT match_id AS src_id, match_date AS src_date, line, season, """ + ",\n    ".join(
@@ -139,6 +137,22 @@ SELECT season, competition, count(*) AS n_rows, count(h_shots) AS n_with_shots,
 FROM sv GROUP BY season, competition""")
 
 
+@query("season_plain_layout")
+def q_season_plain_layout(spark, sf_dir):
+    """S-01 on the plain ``<season>/<file>.csv`` layout: the season is the folder's name."""
+    root = run_dir(spark, "season_plain", _slug(sf_dir))
+    V.write_plain_season_csvs(V.match_view(spark, sf_dir), root)
+    return SC.read_season_csv(spark, root).select("match_id", "season", "competition", "home_team", "avg_over25", "b365_home")
+
+
+ORACLE["season_plain_layout"] = with_m("""
+SELECT -row_number() OVER (ORDER BY year(match_date), competition, match_date, match_id) AS match_id,
+  CAST(year(match_date) AS VARCHAR) AS season, competition, home_team,
+  CASE WHEN odds_avg_over25 IS NOT NULL THEN CAST(printf('%.2f', odds_avg_over25) AS DOUBLE) END AS avg_over25,
+  CASE WHEN b365_home IS NOT NULL THEN CAST(printf('%.2f', b365_home) AS DOUBLE) END AS b365_home
+FROM m WHERE home_score IS NOT NULL AND away_score IS NOT NULL""")
+
+
 # --- S-02, S-05..S-08 ---------------------------------------------------------------
 
 def store_df(spark, sf_dir):
@@ -175,19 +189,19 @@ ORACLE["fixture_list_scan"] = with_m(
 
 @query("fixture_date_pick")
 def q_fixture_date_pick(spark, sf_dir):
-    """F-10 / T-08 input: the listed fixtures of the first listed date on/after the run date."""
+    """F-10 / T-08 input: the listed fixtures of the first listed date."""
     path = run_dir(spark, "fixture_list_all", _slug(sf_dir))
     m = V.match_view(spark, sf_dir).filter(F.col("status") == "SCHEDULED")
     S.write_fixture_list(m, path)
-    listed = S.read_fixture_list(spark, path).filter(F.col("match_date") >= F.to_date(F.lit(RUN_DATE)))
+    listed = S.read_fixture_list(spark, path)
     first = listed.agg(F.min("match_date").alias("picked"))
     return listed.join(first, listed.match_date == first.picked, "left_semi")
 
 
-ORACLE["fixture_date_pick"] = with_m(f"""
+ORACLE["fixture_date_pick"] = with_m("""
 SELECT match_date, competition, home_team, away_team, match_id FROM m
 WHERE status = 'SCHEDULED' AND match_date = (
-  SELECT min(match_date) FROM m WHERE status = 'SCHEDULED' AND match_date >= DATE '{RUN_DATE}')""")
+  SELECT min(match_date) FROM m WHERE status = 'SCHEDULED')""")
 
 
 @query("match_meta_scan")
@@ -218,8 +232,10 @@ SELECT (SELECT count(*) FROM m) AS total_rows,
   (SELECT string_agg(competition, ',' ORDER BY competition) FROM (
      SELECT DISTINCT competition FROM m WHERE competition IS NOT NULL ORDER BY competition LIMIT 10))
      AS competitions,
-  (SELECT string_agg(CAST(match_id AS VARCHAR), ',' ORDER BY CAST(match_id AS VARCHAR)) FROM (
-     SELECT match_id FROM m ORDER BY match_id LIMIT 5)) AS first_ids""")
+  (SELECT string_agg(CAST(match_id AS VARCHAR), ',' ORDER BY match_id) FROM (
+     SELECT match_id FROM m ORDER BY match_id LIMIT 5)) AS first_ids,
+  'match_id,match_date,match_time,competition,home_team,away_team,home_score,away_score,status,odds_home,odds_draw,odds_away'
+    AS columns""")
 
 
 @query("sample_rows")

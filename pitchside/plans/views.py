@@ -14,7 +14,8 @@ from ..sources.tables import read_table
 
 N_TEAMS = 40
 PAGE_SPAN = 2000            # match ids per landed payload page (bounds a document's size)
-FEED_LEAGUES = ["1-URGENT", "2-HIGH"]   # competitions the odds provider covers
+SAME_SPELLING = ["1-URGENT", "2-HIGH"]   # competitions whose teams the odds provider spells as the fixtures do
+OTHER_SPELLING = "5-LOW"                 # ... in a way that no longer holds the name; elsewhere with a suffix
 ERROR_DAY = 13              # fixture payloads of this day-of-month carry an API error
 EMPTY_DAY = 29              # ... and of this day an empty response
 BOOKMAKER_KEYS = ["sportybet", "onexbet", "bet365", "betway", "other1", "other2"]
@@ -155,9 +156,14 @@ def fixture_payloads(m: DataFrame) -> DataFrame:
 
 
 def odds_payloads(spark: SparkSession, sf_dir: str, m: DataFrame) -> DataFrame:
-    """``FEED``: one odds-API response per (date, page) for the covered competitions."""
-    feed = m.filter(F.col("competition").isin(*FEED_LEAGUES)).select(
-        "match_id", "match_date", "home_team", "away_team")
+    """``FEED``: one odds-API response per (date, page) for all matches, spelled by competition."""
+    def spelled(team: str) -> Column:
+        t = F.col(team)
+        return (F.when(F.col("competition").isin(*SAME_SPELLING), t)
+                .when(F.col("competition") == OTHER_SPELLING, F.concat(F.lit("Club "), F.substring(t, 2, 9)))
+                .otherwise(F.concat(t, F.lit(" FC"))))
+
+    feed = m.select("match_id", "match_date", spelled("home_team").alias("home_team"), spelled("away_team").alias("away_team"))
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_shipdate")
@@ -222,9 +228,12 @@ def training_frame(m: DataFrame) -> DataFrame:
 # --- season CSV files written from M (two header layouts, mixed date formats) ------------
 
 FULL_LAYOUT_LEAGUES = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
-FULL_LAYOUT = ["Div", "Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "HS", "AS", "HST", "AST",
-               "HC", "AC", "B365H", "B365D", "B365A", "AvgH", "AvgD", "AvgA", "B365>2.5", "Avg>2.5"]
+# real files carry dozens of further bookmaker columns; the known odds stand last, behind them
+FILLER = [f"X{i:02d}" for i in range(45)]
+FULL_LAYOUT = ["Referee", "Div", "Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "HS", "AS", "HST", "AST", "HC", "AC",
+               *FILLER, "B365H", "B365D", "B365A", "AvgH", "AvgD", "AvgA", "B365>2.5", "Avg>2.5"]
 SHORT_LAYOUT = ["Date", "Div", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "Avg>2.5", "AvgH", "AvgD", "AvgA"]
+FILES = 12            # season files are cut by ranges of (season, league, date, id) into this many parts
 
 
 def _odds_text(c: str) -> Column:
@@ -244,6 +253,7 @@ def season_cells(m: DataFrame) -> DataFrame:
     return m.select(
         "match_date", "match_id",
         F.year("match_date").cast("string").alias("season"), F.col("competition").alias("league"),
+        F.lit("M Dean, \"ref\"").alias("Referee"), *[F.lit("1.50").alias(c) for c in FILLER],
         F.col("competition").alias("Div"), date_text.alias("Date"),
         F.col("home_team").alias("HomeTeam"), F.col("away_team").alias("AwayTeam"),
         _int_text("home_score").alias("FTHG"), _int_text("away_score").alias("FTAG"),
@@ -258,15 +268,27 @@ def season_cells(m: DataFrame) -> DataFrame:
     )
 
 
+def _ordered_files(part: DataFrame, layout: list[str]) -> DataFrame:
+    """Rows in (season, league, date, id) order, cut by ranges: a folder may get several files, named in order."""
+    order = ["season", "league", "match_date", "match_id"]
+    return (part.repartitionByRange(FILES, *order).sortWithinPartitions(*order)
+            .select("season", "league", *[F.col(f"`{c}`") for c in layout]))
+
+
 def write_season_csvs(m: DataFrame, root: str) -> None:
-    """One file per season/league folder, lines in (date, match id) order; leagues in
+    """Files in season/league folders, lines in (date, match id) order; leagues in
     FULL_LAYOUT_LEAGUES get the long header."""
     cells = season_cells(m)
     full = cells.filter(F.col("league").isin(*FULL_LAYOUT_LEAGUES))
     short = cells.filter(~F.col("league").isin(*FULL_LAYOUT_LEAGUES))
     for i, (part, layout) in enumerate(((full, FULL_LAYOUT), (short, SHORT_LAYOUT))):
-        (part.repartition("season", "league")                     # one file per folder
-         .sortWithinPartitions("season", "league", "match_date", "match_id")
-         .select("season", "league", *[F.col(f"`{c}`") for c in layout])
-         .write.mode("overwrite" if i == 0 else "append").option("header", True)
-         .partitionBy("season", "league").csv(root))
+        (_ordered_files(part, layout).write.mode("overwrite" if i == 0 else "append").option("header", True)
+         .option("escape", '"').partitionBy("season", "league").csv(root))
+
+
+def write_plain_season_csvs(m: DataFrame, root: str) -> None:
+    """The plain layout ``<season>/<file>.csv``: one folder per calendar year, long header."""
+    cells = season_cells(m)
+    for r in cells.select("season").distinct().orderBy("season").collect():      # one row per season
+        (_ordered_files(cells.filter(F.col("season") == r.season), FULL_LAYOUT).drop("season", "league")
+         .write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{root}/{r.season}"))

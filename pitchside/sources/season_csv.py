@@ -1,27 +1,24 @@
-"""Season result CSVs (S-01, P-01..P-03, U-01) read in one distributed pass.
-
-Files of one folder tree may carry different headers (columns added,
-removed or reordered between seasons).  A multi-file ``read.csv(header=True)``
-applies one header to every file, so values land in wrong columns.  Here
-every file is read header-less as positional text, each file's header row
-is recognised by its column names and joined back by file path (broadcast
-when the driver's file listing shows at most 50,000 files, else a shuffle
-join left to AQE);
-each canonical column is then picked by *name* from its own file's header.
-That is the outer column union of the reference, without a driver loop.
+"""Season result CSVs (S-01, P-01..P-03, U-01) read in two passes over the text.
+
+Files of one folder tree may carry different headers (columns added, removed
+or reordered between seasons, unknown columns anywhere).  A multi-file
+``read.csv(header=True)`` applies one header to every file, so values land in
+wrong columns.  Here a light pass keeps the first line of every file (its
+header) in a small stored table; the data pass joins every line with its own
+file's header, parses it as wide as the widest header, and picks each
+canonical column by *name*.  That is the outer column union of the reference,
+without a driver loop; only the known columns' presence and the widest header
+reach the driver.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import nan_to_null
 from ..operators.features import with_targets
-
-MAX_COLS = 40
-MAX_BROADCAST_FILES = 50_000     # header rows (≈ one short row per file) broadcast only below this
+from ..session import run_dir
 
 # --- fixed values: source column names of the season files → canonical names ----
 COLUMN_MAP = {
@@ -53,81 +50,90 @@ def parse_match_date(text: Column, pivot: int = TWO_DIGIT_PIVOT) -> Column:
     return F.coalesce(four, two)
 
 
-def line_numbers(rows: DataFrame, broadcast_ok: bool = True) -> DataFrame:
-    """P-03 helper: ``__line`` = 1-based position of each data line in the concatenation of all
-    files (path order, then line order) — without sorting or shuffling the rows.
+def _lines(spark: SparkSession, root: str) -> DataFrame:
+    """Every non-blank text line under ``root``: decoded path, folder, split start, physical position, text."""
+    raw = (spark.read.option("recursiveFileLookup", True)
+           .option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).text(root))
+    path = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return raw.select(
+        F.coalesce(path, F.col("_metadata.file_path")).alias("file_path"),
+        F.col("_metadata.file_block_start").alias("__blk"), F.monotonically_increasing_id().alias("__pos"),
+        F.regexp_replace("value", "^\ufeff", "").alias("__line")).where(F.trim("__line") != "")
+
+
+def file_headers(spark: SparkSession, root: str) -> DataFrame:
+    """One row per file: ``head`` (its first line) and ``names`` (the header cells), stored once."""
+    first = (_lines(spark, root).where(F.col("__blk") == 0).groupBy("file_path")
+             .agg(F.min_by("__line", "__pos").alias("head")))
+    path = run_dir(spark, "season_headers")
+    first.select("file_path", "head", F.transform(F.split("head", ","), lambda c: F.trim(F.btrim(F.trim(c), F.lit('"'))))
+                 .alias("names")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def line_numbers(rows: DataFrame) -> DataFrame:
+    """P-03 helper: ``__n`` = 1-based position of each row in the concatenation of all files (folder
+    order, then file, then line order).
 
-    Lines of one input split are consecutive in ``monotonically_increasing_id``; a small
-    aggregate (one row per split: first id, line count) gives each split its offset by a
-    window over that small table, which is then broadcast back (its size is the number of
-    splits, bounded by the file listing).
+    Rows are numbered inside their input split; split counts become offsets in three small steps:
+    splits of a file, files of a folder, folders.  No window holds more than the rows of one
+    split, or one row per split, file or folder.
     """
-    per = rows.groupBy("file_path", "__blk").agg(F.min("__pos").alias("__p0"), F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("file_path", "__blk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per.select("file_path", "__blk", "__p0", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    side = F.broadcast(offs) if broadcast_ok else offs
-    return rows.join(side, ["file_path", "__blk"]).withColumn(
-        "__line", F.col("__off") + (F.col("__pos") - F.col("__p0")) + 1).drop("__p0", "__off")
-
-
-def raw_season_rows(spark: SparkSession, root: str) -> DataFrame:
-    """Header-less positional read of every CSV under ``root`` + the file path."""
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(MAX_COLS)])
-    raw = (spark.read.schema(schema)
-           .option("header", False).option("mode", "PERMISSIVE")
-           .option("recursiveFileLookup", True)
-           .option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-           .csv(root))
-    # physical position of each line, evaluated in the scan stage: the split it was read from
-    # (file, block start) and a per-partition increasing id (consecutive within a split)
-    return raw.select(F.col("_metadata.file_path").alias("file_path"),
-                      F.col("_metadata.file_block_start").alias("__blk"),
-                      F.monotonically_increasing_id().alias("__pos"),
-                      F.array(*[F.col(f"c{i}") for i in range(MAX_COLS)]).alias("cells"))
-
-
-def _is_header(cells: Column) -> Column:
-    """A header line starts with two known column names (data lines never do)."""
-    known = list(COLUMN_MAP)
-    return F.element_at(cells, 1).isin(*known) & F.element_at(cells, 2).isin(*known)
-
-
-def read_season_csv(spark: SparkSession, root: str, columns: list[str] | None = None) -> DataFrame:
+    def before(of: DataFrame, part: list[str], order: str, count: str, name: str) -> DataFrame:
+        w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return of.withColumn(name, F.coalesce(F.sum(count).over(w), F.lit(0)))
+
+    local = rows.withColumn("__i", F.row_number().over(Window.partitionBy("file_path", "__blk").orderBy("__pos")))
+    splits = rows.groupBy("__dir", "file_path", "__blk").agg(F.count(F.lit(1)).alias("__c"))
+    files = splits.groupBy("__dir", "file_path").agg(F.sum("__c").alias("__fc"))
+    folders = files.groupBy("__dir").agg(F.sum("__fc").alias("__dc"))
+    folder_off = before(folders, [], "__dir", "__dc", "__do").select("__dir", "__do")     # one row per season folder
+    file_off = before(files, ["__dir"], "file_path", "__fc", "__fo").select("__dir", "file_path", "__fo")
+    split_off = before(splits, ["file_path"], "__blk", "__c", "__so").select("__dir", "file_path", "__blk", "__so")
+    offs = (split_off.join(file_off, ["__dir", "file_path"]).join(folder_off, "__dir")
+            .select("file_path", "__blk", (F.col("__so") + F.col("__fo") + F.col("__do")).alias("__off")))
+    return local.join(offs, ["file_path", "__blk"]).withColumn("__n", F.col("__off") + F.col("__i")).drop("__off", "__i")
+
+
+def season_of(path: Column) -> Column:
+    """The season of a file: its ``season=...`` folder, else the name of the folder it lies in."""
+    tagged = F.regexp_extract(path, r"season=([^/]+)", 1)
+    return F.when(tagged != "", tagged).otherwise(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
+
+
+def read_season_csv(spark: SparkSession, root: str) -> DataFrame:
     """S-01: all season files → canonical columns, ``season`` from the path, rows without
-    both final scores dropped, targets added, ``match_id`` = -(line position).
+    both final scores dropped, targets added, ``match_id`` = -(position among the rows kept).
 
     Columns absent from every file are absent from the result (so the
     feature set adapts, P-13); columns absent from some files are NULL there.
-    Discovering which source columns occur costs one pass over the files;
-    pass ``columns`` (source header names) when the layout is known to skip it.
     """
-    raw = raw_season_rows(spark, root)
-    # one row per file: where each known column sits in that file's own header (0 = absent)
-    headers = raw.filter(_is_header(F.col("cells"))).select(
-        "file_path", *[F.array_position(F.col("cells"), F.lit(src)).cast("int").alias(f"__p_{canon}")
-                       for src, canon in COLUMN_MAP.items()])
-    # header rows are bounded by the driver's file listing: check that count before broadcasting
-    n_files = len(raw.inputFiles())
-    if columns is None:
-        seen = headers.agg(*[F.max(f"__p_{canon}").alias(canon) for canon in COLUMN_MAP.values()]).first()
-        present = [src for src, canon in COLUMN_MAP.items() if seen is not None and (seen[canon] or 0) > 0]
-    else:
-        present = list(columns)
-    side = F.broadcast(headers) if n_files <= MAX_BROADCAST_FILES else headers
-    rows = raw.filter(~_is_header(F.col("cells"))).join(side, "file_path")
+    heads = file_headers(spark, root)
+    seen = heads.agg(F.max(F.size("names")).alias("width"), *[
+        F.max(F.array_contains("names", src).cast("int")).alias(canon) for src, canon in COLUMN_MAP.items()]).first()
+    width = max(seen["width"] or 1, 1)
+    present = {src: canon for src, canon in COLUMN_MAP.items() if seen[canon]}
+    # the score columns are needed to tell played matches; files without them keep no row
+    sources = {**{"FTHG": "home_score", "FTAG": "away_score", "Date": "date_text"}, **present}
+    located = heads.select("file_path", "head", *[
+        F.array_position("names", F.lit(src)).cast("int").alias(f"__p_{canon}") for src, canon in sources.items()])
+    schema = ", ".join(f"c{i} STRING" for i in range(width))
+    lines = _lines(spark, root).join(located, "file_path").where(F.col("__line") != F.col("head"))
+    # the line is parsed once: a lambda over a one-element array binds the parsed cells
+    parsed = lines.withColumn("__cells", F.get(F.transform(
+        F.array(F.from_csv("__line", schema, {"mode": "PERMISSIVE"})),
+        lambda c: F.array(*[c[f"c{i}"] for i in range(width)])), 0))
 
     def pick(canon: str) -> Column:
-        pos = F.col(f"__p_{canon}")
-        return F.when(pos > 0, F.element_at(F.col("cells"), pos))
-
-    cols = {canon: pick(canon) for src, canon in COLUMN_MAP.items() if src in present}
-    out = rows.select(
-        "file_path", "__blk", "__pos",
-        F.regexp_extract("file_path", r"season=([^/]+)", 1).alias("season"),
-        *[(v if k in TEXT_COLS else nan_to_null(F.trim(v).try_cast("double"))).alias(k) for k, v in cols.items()])
-    # P-03: -(line position); numbered before rows are dropped, so dropped lines leave gaps
-    out = line_numbers(out, n_files <= MAX_BROADCAST_FILES).withColumn("match_id", -F.col("__line"))
-    out = out.dropna(subset=["home_score", "away_score"])
-    out = out.withColumns({"match_date": parse_match_date(F.col("date_text")),
-                           "status": F.lit("FINISHED")})
-    return with_targets(out.drop("__line", "__pos", "__blk", "file_path"))
+        at = F.col(f"__p_{canon}")
+        text = F.when(at > 0, F.get("__cells", at - 1))
+        return text if canon in TEXT_COLS else nan_to_null(F.trim(text).try_cast("double"))
+
+    canon = [c for c in COLUMN_MAP.values() if c in sources.values()]
+    kept = parsed.select("file_path", F.regexp_extract("file_path", r"^(.*)/[^/]+$", 1).alias("__dir"), "__blk", "__pos",
+                         *[pick(c).alias(c) for c in canon]).dropna(subset=["home_score", "away_score"])
+    path = run_dir(spark, "season_rows")          # numbered and counted from the stored rows, not from the files again
+    kept.write.parquet(path)
+    out = line_numbers(spark.read.parquet(path)).select(
+        season_of(F.col("file_path")).alias("season"), *canon, (-F.col("__n")).alias("match_id"))
+    return with_targets(out.withColumns({"match_date": parse_match_date(F.col("date_text")), "status": F.lit("FINISHED")}))

@@ -62,10 +62,11 @@ def finished_scores(spark: SparkSession, store) -> DataFrame:
 
 
 def store_profile(spark: SparkSession, store, sample: int = 5, max_leagues: int = 10) -> DataFrame:
-    """S-08: one row — row count, up to 10 competitions, the first ids by match_id.
+    """S-08: one row — row count, up to 10 competitions, the first ids by match_id, the column list.
 
     The reference's LIMIT is unordered; here the sample is the smallest ids.
     The competition list is the 10 smallest names (sort + limit, a top-k).
+    :func:`store_head` gives the rows themselves.
     """
     df = _source(spark, store)
     total = df.agg(F.count(F.lit(1)).alias("total_rows"))
@@ -73,9 +74,16 @@ def store_profile(spark: SparkSession, store, sample: int = 5, max_leagues: int
                .orderBy("competition").limit(max_leagues)
                .agg(F.array_join(F.array_sort(F.collect_list("competition")), ",").alias("competitions")))
     first = (df.select("match_id").orderBy("match_id").limit(sample)
-             .agg(F.array_join(F.array_sort(F.collect_list(F.col("match_id").cast("string"))), ",")
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list("match_id")), lambda i: i.cast("string")), ",")
                   .alias("first_ids")))
-    return total.crossJoin(leagues).crossJoin(first)
+    return (total.crossJoin(leagues).crossJoin(first)          # one row each
+            .withColumn("columns", F.lit(",".join(df.columns))))
+
+
+def store_head(spark: SparkSession, store, sample: int = 5, n_columns: int | None = None) -> DataFrame:
+    """S-08: the first rows by match_id with all columns, or with the first ``n_columns`` of them."""
+    df = _source(spark, store)
+    return df.orderBy("match_id").limit(sample).select(*df.columns[:n_columns])
 
 
 def write_fixture_list(df: DataFrame, path: str) -> None:
