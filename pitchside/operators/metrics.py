@@ -80,13 +80,13 @@ AUC_BUCKETS = 1 << 16     # score bands for the running count (the band totals a
 
 
 def auc_roc(preds: DataFrame, y: str = "y", p: str = "p", buckets: int = AUC_BUCKETS) -> DataFrame:
-    """A-09: ROC AUC with ties counted half (mid-rank formula), exact.
+    """A-09: ROC AUC with ties counted half (mid-rank formula), exact; rows without a score are left out.
 
     Scores are first reduced to distinct values with positive/negative
     counts; "negatives below this score" is a bucketed running count
     (:func:`count_before`), so no step sorts the whole table in one task.
     """
-    per = preds.groupBy(F.col(p).alias("score")).agg(
+    per = preds.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("score")).agg(
         F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).cast("long").alias("neg"))
     bucket = F.least(F.greatest(F.floor(F.col("score") * buckets), F.lit(-1)), F.lit(buckets))

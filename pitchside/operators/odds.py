@@ -66,7 +66,7 @@ def enrich_odds(fixtures: DataFrame, odds: DataFrame, date_col: str = "match_dat
     """J-05: fixtures + ``odds_home/draw/away`` + ``odds_source`` (exact, fuzzy or default).
 
     ``odds`` is the per-day map from :func:`pitchside.sources.payloads.odds_map`
-    (``feed_date, pos, norm_key, odds_*``).  ``match_col`` must be unique.
+    (``feed_date, pos, norm_key, odds_*``).  ``match_col`` must be unique per day.
     Both inputs are read by more than one branch: pass stored tables (or
     checkpoints), not long lineages.
     """
@@ -76,8 +76,8 @@ def enrich_odds(fixtures: DataFrame, odds: DataFrame, date_col: str = "match_dat
     fz = pos.join(odds.select(F.col("feed_date").alias("__day"), "pos",
                               F.col("odds_home").alias("__fh"), F.col("odds_draw").alias("__fd"),
                               F.col("odds_away").alias("__fa")), ["__day", "pos"]) \
-        .select(F.col(match_col), "__fh", "__fd", "__fa")
-    out = ex.join(fz, match_col, "left")
+        .select(F.col(match_col), "__day", "__fh", "__fd", "__fa")
+    out = ex.join(fz, [match_col, "__day"], "left")     # an id may stand on two days (a rescheduled fixture)
     dh, dd, da = C.DEFAULT_ODDS
     src = (F.when(F.col("__xh").isNotNull(), "exact")
            .when(F.col("__fh").isNotNull(), "fuzzy").otherwise("default"))

@@ -29,15 +29,33 @@ def sequence_number(df: DataFrame, *, order: Sequence[Column], buckets: Sequence
     staged = df.select("*", *[b.alias(n) for b, n in zip(buckets, bcols)])
     local = staged.withColumn(
         "__local", F.row_number().over(Window.partitionBy(*part, *bcols).orderBy(*order)))
+    # offsets level by level: totals of the first bucket column inside the partition, of the second
+    # inside the first, ... so no window holds more rows than one level has under one parent
     counts = staged.groupBy(*part, *bcols).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*part).orderBy(*[F.col(c).asc_nulls_first() for c in bcols]) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*part, *bcols, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    joined = local.join(offsets, [*part, *bcols], "left") if (part or bcols) else local.crossJoin(offsets)
-    return joined.withColumn(name, (F.col("__off") + F.col("__local")).cast("long")) \
+    offsets = None
+    for depth in range(len(bcols), 0, -1):
+        keys = [*part, *bcols[:depth]]
+        level = counts.groupBy(*keys).agg(F.sum("__n").alias("__n"))
+        before = Window.partitionBy(*keys[:-1]).orderBy(F.col(bcols[depth - 1]).asc_nulls_first()) \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        level = level.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(f"__o{depth}"))
+        offsets = level if offsets is None else _join_null_safe(offsets, level, keys)
+    total = sum((F.col(f"__o{d}") for d in range(1, len(bcols) + 1)), F.lit(0))
+    offsets = offsets.select(*part, *bcols, total.alias("__off"))
+    return _join_null_safe(local, offsets, [*part, *bcols]).withColumn(name, (F.col("__off") + F.col("__local")).cast("long")) \
         .drop("__local", "__off", *bcols)
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` where null equals null; the right side's other columns are added."""
+    renamed = right.withColumnsRenamed({k: f"__r_{i}" for i, k in enumerate(keys)})
+    cond = None
+    for i, k in enumerate(keys):
+        c = left[k].eqNullSafe(renamed[f"__r_{i}"])
+        cond = c if cond is None else cond & c
+    return left.join(renamed, cond).drop(*[f"__r_{i}" for i in range(len(keys))])
+
+
 def count_before(df: DataFrame, *, key: str, weight: str, bucket: Column, name: str) -> DataFrame:
     """For distinct, ordered ``key`` values: sum of ``weight`` over all strictly smaller keys.
 

@@ -38,7 +38,13 @@ def odds_snapshot(spark, sf_dir):
 # --- SQL twins of the landed payloads (computed from M, no JSON) -------------------
 
 FEED_CTES = ("""
-fm AS (SELECT match_id, match_date, home_team, away_team FROM m WHERE competition IN ('1-URGENT', '2-HIGH'))""", """
+fm AS (
+  SELECT match_id, match_date,
+    CASE WHEN competition IN ('1-URGENT', '2-HIGH') THEN home_team
+         WHEN competition = '5-LOW' THEN 'Club ' || substr(home_team, 2) ELSE home_team || ' FC' END AS home_team,
+    CASE WHEN competition IN ('1-URGENT', '2-HIGH') THEN away_team
+         WHEN competition = '5-LOW' THEN 'Club ' || substr(away_team, 2) ELSE away_team || ' FC' END AS away_team
+  FROM m)""", """
 fl AS (
   SELECT l_orderkey AS match_id, l_partkey AS pk, l_suppkey AS sk,
     CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
@@ -52,7 +58,7 @@ fb AS (
 )""", """
 fe AS (
   SELECT fm.*, c.copy,
-    CAST(floor(fm.match_id / 2000) AS BIGINT) * 1000000
+    CAST(floor(fm.match_id / 2000) AS BIGINT) * 4294967296
       + row_number() OVER (PARTITION BY fm.match_date, floor(fm.match_id / 2000)
                            ORDER BY c.copy, fm.match_id) - 1 AS pos
   FROM fm CROSS JOIN (VALUES (0), (1)) AS c(copy)
@@ -173,18 +179,15 @@ ORACLE["odds_json_ingest"] = ingest_sql(
 
 @query("odds_map_dedupe")
 def q_odds_map_dedupe(spark, sf_dir):
-    """Only keys that occur more than once in a day's feed (the dict-semantics cases)."""
+    """The whole per-day map with the number of feed entries behind each key."""
     per = P.odds_per_match(P.odds_entries(odds_docs(spark, sf_dir)))
-    dup = (per.withColumn("norm_key", F.concat(F.lower("home_team"), F.lit(" vs "), F.lower("away_team")))
-           .groupBy("feed_date", "norm_key").agg(F.count(F.lit(1)).alias("copies"))
-           .filter(F.col("copies") > 1))
-    return P.odds_map(per).join(dup, ["feed_date", "norm_key"])
+    return P.odds_map(per, count="copies")
 
 
 ORACLE["odds_map_dedupe"] = ingest_sql("""
 SELECT fmap.*, d.copies FROM fmap JOIN (
   SELECT feed_date, lower(home_team) || ' vs ' || lower(away_team) AS norm_key, count(*) AS copies
-  FROM fo GROUP BY ALL HAVING count(*) > 1) d USING (feed_date, norm_key)""")
+  FROM fo GROUP BY ALL) d USING (feed_date, norm_key)""")
 
 
 @query("bookmaker_whitelist")

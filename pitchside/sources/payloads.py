@@ -43,7 +43,7 @@ ODDS_SCHEMA = T.ArrayType(T.StructType([
     T.StructField("bookmakers", T.ArrayType(BOOKMAKER)),
 ]))
 
-POS_PAGE_STRIDE = 1_000_000     # feed position = page * stride + index within the page
+POS_PAGE_STRIDE = 1 << 32       # feed position = page * stride + index within the page (an int: pages never overlap)
 
 
 def errors_empty(c: Column) -> Column:
@@ -52,6 +52,13 @@ def errors_empty(c: Column) -> Column:
     return c.isNull() | t.isin("", "[]", "{}", "null")
 
 
+def malformed_documents(docs: DataFrame, body: str = "body") -> DataFrame:
+    """One row: landed documents, and those that are no JSON object (they give no rows anywhere)."""
+    parsed = F.from_json(F.col(body), FIXTURES_SCHEMA)
+    return docs.agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(
+        parsed.isNull() | (parsed["errors"].isNull() & parsed["response"].isNull()), 1)).alias("malformed"))
+
+
 def fixture_items(docs: DataFrame, body: str = "body", request_date: str = "request_date",
                   keep=()) -> DataFrame:
     """One row per fixture item of every response without errors (an empty response gives none)."""
@@ -136,14 +143,16 @@ def odds_per_match(entries: DataFrame) -> DataFrame:
     )
 
 
-def odds_map(per_match: DataFrame) -> DataFrame:
+def odds_map(per_match: DataFrame, count: str | None = None) -> DataFrame:
     """A-02 / P-08: the feed as a per-day dict — a repeated key keeps its first position
-    and takes its last value (partial aggregation, so a hot key is combined map-side)."""
+    and takes its last value (partial aggregation, so a hot key is combined map-side).
+    ``count`` names a column with the number of entries behind each key."""
     keyed = per_match.withColumn("norm_key", norm_match_key(F.col("home_team"), F.col("away_team")))
     return keyed.groupBy("feed_date", "norm_key").agg(
         F.min("pos").alias("pos"),
-        F.max_by(F.struct("odds_home", "odds_draw", "odds_away"), F.col("pos")).alias("o"),
-    ).select("feed_date", "pos", "norm_key", "o.odds_home", "o.odds_draw", "o.odds_away")
+        *[F.max_by(c, F.col("pos")).alias(c) for c in ("odds_home", "odds_draw", "odds_away")],
+        *([F.count(F.lit(1)).alias(count)] if count else []),
+    ).select("feed_date", "pos", "norm_key", "odds_home", "odds_draw", "odds_away", *([count] if count else []))
 
 
 def parse_odds(docs: DataFrame, **kw) -> DataFrame:
