@@ -10,7 +10,7 @@ on which of these columns exist (decided at plan time, like the reference).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -139,12 +139,9 @@ def composites(df: DataFrame) -> DataFrame:
 
 
 def league_codes(df: DataFrame) -> DataFrame:
-    """P-12 map: one row holding the sorted distinct competitions of ``df``.
-
-    A global aggregate, so exactly one row (its array holds one entry per
-    league); the partial aggregation keeps per-task memory to the distinct set.
-    """
-    return df.agg(F.array_sort(F.collect_set("competition")).alias("__leagues"))
+    """P-12 map: ``(competition, league_code)``, 0-based in alphabetical order, one row per competition."""
+    names = df.select("competition").where(F.col("competition").isNotNull()).distinct()
+    return names.withColumn("league_code", F.row_number().over(Window.orderBy("competition")) - 1)
 
 
 def league_encode(df: DataFrame, leagues: DataFrame | None = None) -> DataFrame:
@@ -152,17 +149,13 @@ def league_encode(df: DataFrame, leagues: DataFrame | None = None) -> DataFrame:
 
     ``leagues`` is a :func:`league_codes` frame (persist the training one for
     serving); by default the map is recomputed from ``df`` (reference parity).
+    An equi-join with one row per competition, its strategy left to the optimizer.
     """
     if "competition" not in df.columns:
         return df.withColumn("league_enc", F.lit(0))
     leagues = league_codes(df) if leagues is None else leagues
-    # one-row right side: a broadcast nested-loop join that emits one row per input row
-    joined = df.crossJoin(F.broadcast(leagues))
-    code = F.array_position(F.col("__leagues"), F.col("competition")).cast("int") - 1
-    return joined.withColumn(
-        "league_enc",
-        F.when(F.col("competition").isNull() | (code < 0), F.lit(-1)).otherwise(code),
-    ).drop("__leagues")
+    coded = df.join(leagues.withColumnRenamed("competition", "__league"), F.col("competition") == F.col("__league"), "left")
+    return coded.withColumn("league_enc", F.coalesce("league_code", F.lit(-1))).drop("__league", "league_code")
 
 
 def implied_odds(df: DataFrame) -> DataFrame:
@@ -222,13 +215,24 @@ def live_feature_rows(matches: DataFrame, run_date, prune: bool = True, **kw) ->
 
     With ``prune`` the team-games are left-semi-joined to the day's teams
     before the window; the league map always comes from the unpruned history.
-    The day filter sits above the features (never before: scheduled games
-    occupy window slots) and Catalyst pushes it into the match side of the
-    reassembly join.
+    Games after the run date (and undated ones, which sort last) can stand in no
+    frame of preceding games, so they are cut below the window and the cut reaches
+    the scan; scheduled games up to the day stay, as they occupy window slots.
     """
     leagues = kw.pop("leagues", None)
     leagues = league_codes(matches) if leagues is None else leagues
     active = teams_on(matches, run_date) if prune else None
-    feats = team_form_features(matches, leagues=leagues, active_teams=active, **kw)
+    known = matches.filter(F.col("match_date") <= F.to_date(F.lit(run_date)))
+    feats = team_form_features(known, leagues=leagues, active_teams=active, **kw)
     today = feats.filter(F.col("match_date") == F.to_date(F.lit(run_date)))
     return today.select(*C.LIVE_ID_COLS, *feature_columns(today))
+
+
+def fixture_list_features(matches: DataFrame, listed: DataFrame, run_date, **kw) -> DataFrame:
+    """W-12: features of the listed fixtures of ``run_date`` over the history: the listed fixtures take the
+    place of the store's scheduled games from that day on; earlier scheduled games stay in the windows."""
+    replaced = (F.col("status") == "SCHEDULED") & (F.col("match_date") >= F.to_date(F.lit(run_date)))
+    history = matches.filter(~F.coalesce(replaced, F.lit(False)))
+    frame = history.unionByName(listed.withColumn("status", F.lit("SCHEDULED")), allowMissingColumns=True)
+    day = team_form_features(frame, **kw).filter(F.col("match_date") == F.to_date(F.lit(run_date)))
+    return day.select(*C.LIVE_ID_COLS, *feature_columns(day))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,15 +26,31 @@ def over25_base_rate(scores: DataFrame, min_rows: int = C.MIN_BACKTEST_ROWS) ->
         "over25_pct", F.bround(F.col("over25_games") / F.col("total_games") * 100, DIGITS))
 
 
+MEDIAN_BANDS = 1024       # value bands per unit for the running counts of the medians
+
+
 def feature_medians(train: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A-05: exact interpolated median per feature as ``(feature, median)`` rows.
 
-    ``median`` keeps a value→count map per task (partial aggregation), so
-    memory follows the number of distinct values, not rows.
+    Values are counted per (feature, value); running counts inside value bands plus
+    band offsets give each value its ranks, and the middle ranks are picked.  No task
+    holds all values of a feature.
     """
-    wide = train.agg(*[F.median(c).alias(c) for c in cols])
-    stacked = wide.unpivot([], list(cols), "feature", "median")
-    return stacked.withColumn("median", F.bround(F.col("median").cast("double"), DIGITS))
+    long = train.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "feature", "v").where("v IS NOT NULL")
+    counts = long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("band", F.floor(F.col("v") * MEDIAN_BANDS))
+    inside = Window.partitionBy("feature", "band").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    bands = counts.groupBy("feature", "band").agg(F.sum("c").alias("bc"))
+    before = Window.partitionBy("feature").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = bands.select("feature", "band", F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("off"))
+    total = bands.groupBy("feature").agg(F.sum("bc").alias("n"))
+    ranked = (counts.withColumn("inside", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(offsets, ["feature", "band"])
+              .withColumn("lo", F.col("off") + F.col("inside")).join(total, "feature"))
+
+    def holds(rank: Column) -> Column:
+        return F.max(F.when((F.col("lo") <= rank) & (rank < F.col("lo") + F.col("c")), F.col("v")))
+
+    return ranked.groupBy("feature").agg(
+        ((holds(F.floor((F.col("n") - 1) / 2)) + holds(F.floor(F.col("n") / 2))) / 2).alias("median"))
 
 
 def target_base_rates(train: DataFrame) -> DataFrame:

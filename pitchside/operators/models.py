@@ -15,10 +15,12 @@ def outcome_label(df: DataFrame) -> DataFrame:
     return df.withColumn("outcome", outcome).withColumn("outcome_label", F.col("outcome") - 1)
 
 
-def medians_row(train: DataFrame, cols, digits: int = 10) -> DataFrame:
-    """One row of training medians (A-05), rounded so the value does not depend on
-    how the aggregation was partitioned."""
-    return train.agg(*[F.bround(F.median(c).cast("double"), digits).alias(c) for c in cols])
+def medians_row(train: DataFrame, cols) -> DataFrame:
+    """One row of training medians (A-05); NULL for a feature without values."""
+    from .metrics import feature_medians
+
+    found = feature_medians(train, cols)
+    return found.agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(c) for c in cols])
 
 
 def impute_features(df: DataFrame, cols, medians: DataFrame | None) -> DataFrame:
@@ -181,11 +183,35 @@ def save_model_store(spark, path: str, models: dict[str, SoftVote], cols, median
     lists.join(meds, "feature", "left").write.mode("overwrite").parquet(f"{path}/features")
 
 
+def _exists(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def load_model_store(spark, path: str):
-    """K-04: refuse to score when a model is missing; lists/medians may be absent."""
-    models = {mk: SoftVote.load(f"{path}/{mk}", N_CLASSES[mk]) for mk in MARKETS}
-    try:
-        table = spark.read.parquet(f"{path}/features")
-    except Exception:  # noqa: BLE001  (tolerated like the reference)
-        table = None
+    """K-04: the saved pairs by market (missing ones left out) and the feature table, None if absent."""
+    models = {mk: SoftVote.load(f"{path}/{mk}", N_CLASSES[mk]) for mk in MARKETS
+              if _exists(spark, f"{path}/{mk}/forest") and _exists(spark, f"{path}/{mk}/logit")}
+    table = spark.read.parquet(f"{path}/features") if _exists(spark, f"{path}/features") else None
     return models, table
+
+
+def score_from_store(spark, path: str, rows: DataFrame) -> DataFrame:
+    """L-08: score ``rows`` with a saved model store; an empty result when a market's model is missing, and
+    without a feature table the features of ``rows`` with 0.0 for missing values."""
+    models, table = load_model_store(spark, path)
+    lists = {mk: [] for mk in MARKETS}
+    medians = None
+    if table is not None:
+        for r in table.orderBy("market", "ord").collect():        # markets x features
+            lists[r.market].append(r.feature)
+        medians = table.select("feature", "median").distinct().agg(*[
+            F.max(F.when(F.col("feature") == c, F.col("median"))).alias(c) for c in dict.fromkeys(sum(lists.values(), []))])
+    from .features import feature_columns
+
+    cols = list(dict.fromkeys(sum(lists.values(), []))) or feature_columns(rows)
+    if set(models) != set(MARKETS):
+        return rows.limit(0).select("match_id", "match_date", "home_team", "away_team", *[
+            F.lit(None).cast("double").alias(c) for c in
+            ("over_2_5_probability", "btts_probability", "prob_home_win", "prob_draw", "prob_away_win")])
+    return score_matches(rows, models, cols, medians)

@@ -92,47 +92,39 @@ def _pct0(c: str) -> Column:
     return num_text(F.col(c) * 100, 0)
 
 
-def digest_line() -> Column:
-    """A-13 per-pick block: teams, optional kickoff, Over 2.5 and BTTS percentages."""
+def digest_line(over05: bool = False) -> Column:
+    """A-13 per-pick block: teams, optional kickoff, Over 2.5, optionally Over 0.5 (where known), BTTS percentages."""
+    low = F.col("over_0_5_probability") if over05 else F.lit(None).cast("double")
     t = F.coalesce(F.col("match_time"), F.lit(""))
     btts = F.coalesce(F.col("btts_probability"), F.lit(0.0))
     return F.concat(
         F.lit("🔥 *"), F.col("home_team"), F.lit(" vs "), F.col("away_team"), F.lit("*"),
         F.when(t != "", F.concat(F.lit("  ⏰ "), t)).otherwise(F.lit("")),
         F.lit("\n   Over 2.5: *"), num_text(F.col("over_2_5_probability") * 100, 1), F.lit("%*"),
+        F.when(low.isNotNull() & ~F.isnan(low), F.concat(F.lit("  ·  Over 0.5: *"), num_text(low * 100, 1), F.lit("%*")))
+        .otherwise(F.lit("")),
         F.lit("  ·  BTTS: *"), num_text(btts * 100, 1), F.lit("%*\n\n"))
 
 
-DIGEST_PART_PICKS = 40   # picks per message part (a chat message holds a few thousand characters)
+def daily_digest(picks: DataFrame, brand: str = C.DIGEST_BRAND, day: str = "match_date") -> DataFrame:
+    """A-13: the free-form digest as its lines: ``(day, line_no, text)``.
 
-
-def daily_digest(picks: DataFrame, brand: str = C.DIGEST_BRAND, day: str = "match_date",
-                 part_picks: int = DIGEST_PART_PICKS) -> DataFrame:
-    """A-13: the free-form digest per day, as ordered message parts.
-
-    Picks are ranked in slate order per day without a per-day window
-    (:func:`sequence_number` over probability bands), dealt into parts of at
-    most ``part_picks`` lines, and each part is assembled from its own bounded
-    group.  The header opens part 0 and the footer closes the last part, so the
-    parts of a day concatenated in ``part`` order are exactly the single
-    message of the reference.
+    Line 0 is the header, then one line per pick in slate order, then the footer;
+    the texts of a day joined in ``line_no`` order are the single message of the
+    reference.  Picks are ranked without a per-day window
+    (:func:`sequence_number` over probability bands), and no day is gathered
+    into one row.
     """
     from .ranking import sequence_number
 
     p = F.col("over_2_5_probability")
     ranked = sequence_number(picks, order=slate_order(), buckets=[F.floor((1 - p) * 1_000_000)],
-                             partition=[day], name="__rank")
-    parts = ranked.select(day, ((F.col("__rank") - 1) / part_picks).cast("long").alias("part"),
-                          F.struct(F.col("__rank").alias("k"), digest_line().alias("line")).alias("x"))
-    n_parts = picks.groupBy(day).agg(
-        ((F.count(F.lit(1)) + part_picks - 1) / part_picks).cast("long").alias("__parts"))
-    body = parts.groupBy(day, "part").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return body.join(n_parts, day).select(
-        day, "part",
-        F.concat(F.when(F.col("part") == 0, F.lit(C.DIGEST_HEADER.format(brand=brand))).otherwise(F.lit("")),
-                 F.array_join(F.transform("xs", lambda x: x["line"]), ""),
-                 F.when(F.col("part") == F.col("__parts") - 1, F.lit(C.DIGEST_FOOTER.format(brand=brand)))
-                 .otherwise(F.lit(""))).alias("message"))
+                             partition=[day], name="line_no")
+    lines = ranked.select(day, "line_no", digest_line("over_0_5_probability" in picks.columns).alias("text"))
+    ends = picks.groupBy(day).agg(F.count(F.lit(1)).alias("n")).select(day, F.explode(F.array(
+        F.struct(F.lit(0).cast("long").alias("line_no"), F.lit(C.DIGEST_HEADER.format(brand=brand)).alias("text")),
+        F.struct((F.col("n") + 1).alias("line_no"), F.lit(C.DIGEST_FOOTER.format(brand=brand)).alias("text")))).alias("x"))
+    return lines.unionByName(ends.select(day, "x.line_no", "x.text"))
 
 
 def slot_line() -> Column:
@@ -156,11 +148,28 @@ def digest_slots(picks: DataFrame, day: str = "match_date") -> DataFrame:
 
 
 def digest_payload_json(slots: DataFrame, day: str = "match_date") -> DataFrame:
-    """X-01: the five template variables as JSON text (non-ASCII escaped like ``json.dumps``)."""
-    obj = F.to_json(F.struct(
-        F.date_format(day, "dd MMMM yyyy").alias("1"), F.col("n_picks").cast("string").alias("2"),
-        F.col("slot1").alias("3"), F.col("slot2").alias("4"), F.col("slot3").alias("5")))
-    return slots.select(day, json_ascii(obj).alias("content_variables"))
+    """X-01: the five template variables as JSON text, separators and escapes like ``json.dumps``."""
+    obj = json_object({"1": F.date_format(day, "dd MMMM yyyy"), "2": F.col("n_picks").cast("string"),
+                       "3": F.col("slot1"), "4": F.col("slot2"), "5": F.col("slot3")})
+    return slots.select(day, obj.alias("content_variables"))
+
+
+def json_object(fields: dict[str, Column]) -> Column:
+    """A JSON object of text values as ``json.dumps`` writes it: ``", "`` and ``": "`` between, ASCII only."""
+    def member(name: str, value: Column) -> Column:
+        text = F.to_json(F.struct(F.coalesce(value, F.lit("")).alias(name)))     # {"name":"value"}
+        return F.concat(F.lit(f'"{name}": '), F.substring(
+            text, F.lit(len(name) + 5), F.length(text) - F.lit(len(name) + 5)))
+
+    return json_ascii(F.concat(F.lit("{"), F.concat_ws(", ", *[member(n, v) for n, v in fields.items()]), F.lit("}")))
+
+
+def oneline_payload_json(oneline: DataFrame, brand: str = C.DIGEST_BRAND) -> DataFrame:
+    """The four template variables of the one-line message (brand, counted picks, "today", details) per day."""
+    count = F.concat(F.col("n_picks").cast("string"), F.lit(" High-Confidence Pick"),
+                     F.when(F.col("n_picks") != 1, "s").otherwise(""))
+    return oneline.withColumn("content_variables", json_object(
+        {"1": F.lit(brand), "2": count, "3": F.lit("today"), "4": F.col("details")})).drop("details")
 
 
 ONELINE_MIN_LINE = 12     # len(" v ") + len(": O2.5 ") + len("0%"): no line is shorter

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.store import STORE_SCHEMA
 
@@ -26,14 +27,18 @@ def latest_per_key(rows: DataFrame, key: str = "match_id", seq: str = SEQ, ord_:
 
 
 def stamp(batch: DataFrame, seq: int, ord_col: str | None = None) -> DataFrame:
-    """Mark a batch with its sequence number and in-batch ordinal (later rows win)."""
-    ordinal = F.col(ord_col).cast("long") if ord_col else F.lit(0).cast("long")
+    """Mark a batch with its sequence number and in-batch ordinal: a number or a struct, later rows win."""
+    ordinal = F.lit(0).cast("long") if ord_col is None else F.col(ord_col)
+    if ord_col and not isinstance(batch.schema[ord_col].dataType, T.StructType):
+        ordinal = ordinal.cast("long")
     return batch.withColumn(SEQ, F.lit(seq).cast("long")).withColumn(ORD, ordinal)
 
 
 def union_history(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """U-03: old ∪ new by name; the existing rows are older than any batch (seq -1)."""
-    old = existing.withColumn(SEQ, F.lit(-1).cast("long")).withColumn(ORD, F.lit(0).cast("long"))
+    kind = batch.schema[ORD].dataType if ORD in batch.columns else T.LongType()
+    first = F.lit(None if isinstance(kind, T.StructType) else 0).cast(kind)
+    old = existing.withColumn(SEQ, F.lit(-1).cast("long")).withColumn(ORD, first)
     return old.unionByName(batch, allowMissingColumns=True)
 
 

@@ -9,7 +9,6 @@ from ..operators import features as feat
 from ..operators.rolling import lag_one
 from ..session import run_dir
 from ..sources import store as S
-from ..sources.tables import RUN_DATE, run_date_for
 from . import views as V
 from .oracle import (FEATURE_COLS, ORACLE, TARGET_COLS, TARGETS_SQL, W09_COLS, features_sql,
                      sides_cte, with_m)
@@ -265,21 +264,23 @@ ORACLE["drop_cold_start"] = (
     "SELECT match_id, h_roll_scored, h_roll_conceded, a_roll_scored, a_roll_conceded FROM ("
     + TRAINING_SQL + ")")
 
+# the busiest day, the earliest of several
+RUN_DATE = "(SELECT match_date FROM m GROUP BY match_date ORDER BY count(*) DESC, match_date LIMIT 1)"
 LIVE_COLS = ["match_id", "match_date", "home_team", "away_team"] + FEATURE_COLS
 
 
 @query("asof_day")
 def q_asof_day(spark, sf_dir):
-    return feat.live_feature_rows(matches(spark, sf_dir), run_date_for(sf_dir), prune=False)
+    return feat.live_feature_rows(matches(spark, sf_dir), V.run_date(V.match_view(spark, sf_dir)), prune=False)
 
 
 ORACLE["asof_day"] = features_sql(
-    f"SELECT {', '.join(LIVE_COLS)} FROM feats WHERE match_date = DATE '{RUN_DATE}'")
+    f"SELECT {', '.join(LIVE_COLS)} FROM feats WHERE match_date = {RUN_DATE}")
 
 
 @query("live_feature_rows")
 def q_live_feature_rows(spark, sf_dir):
-    return feat.live_feature_rows(matches(spark, sf_dir), run_date_for(sf_dir), prune=True)
+    return feat.live_feature_rows(matches(spark, sf_dir), V.run_date(V.match_view(spark, sf_dir)), prune=True)
 
 
 ORACLE["live_feature_rows"] = ORACLE["asof_day"]
@@ -288,14 +289,14 @@ ORACLE["live_feature_rows"] = ORACLE["asof_day"]
 @query("prune_to_active_teams")
 def q_prune_to_active_teams(spark, sf_dir):
     m = matches(spark, sf_dir)
-    sides = feat.team_sides(m).join(feat.teams_on(m, run_date_for(sf_dir)), "team", "left_semi")
+    sides = feat.team_sides(m).join(feat.teams_on(m, V.run_date(V.match_view(spark, sf_dir))), "team", "left_semi")
     return sides.select("match_id", "team", "is_home")
 
 
 ORACLE["prune_to_active_teams"] = with_m(f"""
 SELECT match_id, team, is_home FROM ind
-WHERE team IN (SELECT home_team FROM m WHERE match_date = DATE '{RUN_DATE}'
-               UNION SELECT away_team FROM m WHERE match_date = DATE '{RUN_DATE}')""", sides_cte())
+WHERE team IN (SELECT home_team FROM m WHERE match_date = {RUN_DATE}
+               UNION SELECT away_team FROM m WHERE match_date = {RUN_DATE})""", sides_cte())
 
 
 # --- W-12: score-a-list flow (history ∪ listed fixtures → features → chosen day) ----------
@@ -303,24 +304,20 @@ WHERE team IN (SELECT home_team FROM m WHERE match_date = DATE '{RUN_DATE}'
 @query("fixture_list_features")
 def q_fixture_list_features(spark, sf_dir):
     m = matches(spark, sf_dir)
-    run = run_date_for(sf_dir)
+    run = V.run_date(V.match_view(spark, sf_dir))
     path = run_dir(spark, "fixture_list", _slug(sf_dir))
     upcoming = m.filter((F.col("status") == "SCHEDULED") & (F.col("match_date") >= F.to_date(F.lit(run))))
     S.write_fixture_list(upcoming, path)
-    listed = S.read_fixture_list(spark, path).withColumn("status", F.lit("SCHEDULED"))
-    frame = m.filter(F.col("status") == "FINISHED").unionByName(listed, allowMissingColumns=True)
-    f = feat.team_form_features(frame)
-    day = f.filter(F.col("match_date") == F.to_date(F.lit(run)))
-    return day.select(*C.LIVE_ID_COLS, *feat.feature_columns(day))
+    return feat.fixture_list_features(m, S.read_fixture_list(spark, path), run)
 
 
 LISTED_CTE = f"""
 listed AS (
-  SELECT * FROM m WHERE status = 'FINISHED'
+  SELECT * FROM m WHERE NOT (status = 'SCHEDULED' AND match_date >= {RUN_DATE})
   UNION ALL BY NAME
   SELECT match_id, match_date, competition, home_team, away_team, 'SCHEDULED' AS status
-  FROM m WHERE status = 'SCHEDULED' AND match_date >= DATE '{RUN_DATE}'
+  FROM m WHERE status = 'SCHEDULED' AND match_date >= {RUN_DATE}
 )"""
 ORACLE["fixture_list_features"] = features_sql(
-    f"SELECT {', '.join(LIVE_COLS)} FROM feats WHERE match_date = DATE '{RUN_DATE}'",
+    f"SELECT {', '.join(LIVE_COLS)} FROM feats WHERE match_date = {RUN_DATE}",
     src="listed", pre=(LISTED_CTE,))

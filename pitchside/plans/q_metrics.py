@@ -8,6 +8,7 @@ from .. import constants as C
 from ..operators import features as feat
 from ..operators import metrics as MT
 from ..operators.models import impute_features, medians_row, outcome_label
+from ..session import scratch_dir
 from ..sources import store as S
 from . import views as V
 from .oracle import FEATURE_COLS, ORACLE, TARGET_COLS, features_sql, with_m
@@ -55,7 +56,7 @@ SELECT * FROM (
 @query("feature_medians")
 def q_feature_medians(spark, sf_dir):
     t = train(spark, sf_dir)
-    return MT.feature_medians(t, feat.feature_columns(t))
+    return MT.feature_medians(t, feat.feature_columns(t)).withColumn("median", F.bround("median", 10))
 
 
 ORACLE["feature_medians"] = (
@@ -108,11 +109,13 @@ ORACLE["min_rows_guard"] = (f"SELECT competition, count(*) AS n_rows FROM ({TRAI
 def q_impute_features(spark, sf_dir):
     """P-15: scheduled matches' features with NULLs → training medians (→ 0.0 if none)."""
     m = matches(spark, sf_dir)
-    f = feat.team_form_features(m)
+    scratch_dir(spark)
+    f = feat.team_form_features(m).checkpoint()      # read twice: medians and scheduled rows
     t = f.filter(F.col("status") == "FINISHED").dropna(subset=C.FEATURE_COLS[:4])
     cols = feat.feature_columns(f)
     live = f.filter(F.col("status") == "SCHEDULED")
-    return impute_features(live, cols, medians_row(t, cols)).select("match_id", *cols)
+    medians = medians_row(t, cols).select(*[F.bround(c, 10).alias(c) for c in cols])
+    return impute_features(live, cols, medians).select("match_id", *cols)
 
 
 ORACLE["impute_features"] = features_sql(

@@ -233,17 +233,14 @@ def q_daily_digest(spark, sf_dir):
 _HEAD = C.DIGEST_HEADER.format(brand=C.DIGEST_BRAND).replace("\n", "")
 _FOOT = C.DIGEST_FOOTER.format(brand=C.DIGEST_BRAND)
 ORACLE["daily_digest"] = slate_sql(f"""
-SELECT match_date, part,
-  CASE WHEN part = 0 THEN '{_HEAD}' || chr(10) || chr(10) ELSE '' END || string_agg(
-    '🔥 *' || home_team || ' vs ' || away_team || '*'
+SELECT match_date, row_number() OVER (PARTITION BY match_date ORDER BY over_2_5_probability DESC, match_id) AS line_no,
+  '🔥 *' || home_team || ' vs ' || away_team || '*'
     || CASE WHEN coalesce(match_time, '') <> '' THEN '  ⏰ ' || match_time ELSE '' END
     || chr(10) || '   Over 2.5: *' || {_p('over_2_5_probability * 100', 1)} || '%*'
-    || '  ·  BTTS: *' || {_p('coalesce(btts_probability, 0) * 100', 1)} || '%*' || chr(10) || chr(10),
-    '' ORDER BY rn) || CASE WHEN part = n_parts - 1 THEN '{_FOOT}' ELSE '' END AS message
-FROM (SELECT *, CAST((rn - 1) // 40 AS BIGINT) AS part, CAST((count(*) OVER (PARTITION BY match_date) + 39) // 40 AS BIGINT) AS n_parts
-      FROM (SELECT *, row_number() OVER (PARTITION BY match_date ORDER BY over_2_5_probability DESC, match_id) AS rn
-            FROM picks))
-GROUP BY match_date, part, n_parts""")
+    || '  ·  BTTS: *' || {_p('coalesce(btts_probability, 0) * 100', 1)} || '%*' || chr(10) || chr(10) AS text
+FROM picks
+UNION ALL SELECT DISTINCT match_date, CAST(0 AS BIGINT), '{_HEAD}' || chr(10) || chr(10) FROM picks
+UNION ALL SELECT match_date, count(*) + 1, '{_FOOT}' FROM picks GROUP BY match_date""")
 
 SLOTS_SQL = f"""
 slots AS (
@@ -273,27 +270,41 @@ def q_digest_payload_json(spark, sf_dir):
     return R.digest_payload_json(R.digest_slots(picks(spark, sf_dir)))
 
 
-ORACLE["digest_payload_json"] = slate_sql("""
-SELECT match_date, array_to_string(list_transform(string_split(
-    CAST(json_object('1', strftime(match_date, '%d %B %Y'), '2', CAST(n_picks AS VARCHAR),
-                     '3', slot1, '4', slot2, '5', slot3) AS VARCHAR), ''),
-    lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE printf('\\u%04x', unicode(c)) END), '') AS content_variables
+def _json_sql(*fields):
+    """json.dumps text of text fields: '", "' and '": "' between, escapes beyond ASCII."""
+    members = " || ', ' || ".join(f"'\"{i}\": ' || CAST(to_json(CAST({f} AS VARCHAR)) AS VARCHAR)" for i, f in enumerate(fields, 1))
+    return ("array_to_string(list_transform(string_split('{' || " + members + " || '}', ''), "
+            "lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE printf('\\u%04x', unicode(c)) END), '')")
+
+
+ORACLE["digest_payload_json"] = slate_sql(f"""
+SELECT match_date, {_json_sql("strftime(match_date, '%d %B %Y')", "n_picks", "slot1", "slot2", "slot3")} AS content_variables
 FROM slots""", SLOTS_SQL)
 
 
+@query("oneline_payload_json")
+def q_oneline_payload_json(spark, sf_dir):
+    return R.oneline_payload_json(R.digest_oneline(picks(spark, sf_dir)))
+
+
 @query("digest_oneline")
 def q_digest_oneline(spark, sf_dir):
     return R.digest_oneline(picks(spark, sf_dir))
 
 
-ORACLE["digest_oneline"] = slate_sql(f"""
+ONELINE_SQL = f"""
 SELECT match_date, n_picks,
   CASE WHEN length(d) > 900 THEN substr(d, 1, 880) || '...(+' || CAST(n_picks - 1 AS VARCHAR) || ' more, see app)'
        ELSE d END AS details
 FROM (SELECT match_date, count(*) AS n_picks,
         string_agg(home_team || ' v ' || away_team || ': O2.5 ' || {_p('over_2_5_probability * 100', 0)} || '%',
                    ' | ' ORDER BY over_2_5_probability DESC, match_id) AS d
-      FROM picks GROUP BY match_date)""")
+      FROM picks GROUP BY match_date)"""
+ORACLE["digest_oneline"] = slate_sql(ONELINE_SQL)
+ORACLE["oneline_payload_json"] = slate_sql(f"""
+SELECT match_date, n_picks, {_json_sql("'Pitchside'", "n_picks || ' High-Confidence Pick' || CASE WHEN n_picks <> 1 THEN 's' ELSE '' END",
+                                       "'today'", "details")} AS content_variables
+FROM ({ONELINE_SQL})""")
 
 
 # --- J-02, K-03 ---------------------------------------------------------------------------

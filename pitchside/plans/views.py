@@ -83,6 +83,12 @@ def match_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_date(m: DataFrame) -> str:
+    """The "today" of the live paths: the busiest day (the earliest of several), so it has matches at every scale."""
+    day = m.groupBy("match_date").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "match_date").first()
+    return str(day.match_date)
+
+
 def store_view(m: DataFrame) -> DataFrame:
     """The keyed match store (reference table layout) as rows of ``M``."""
     return m.select(

@@ -44,13 +44,6 @@ CLUSTER_PROFILE = {
 }
 
 
-def apply_profile(spark: SparkSession, profile: dict[str, str] = CLUSTER_PROFILE) -> None:
-    """Apply runtime SQL settings (session-scoped ones only) of a profile to a session."""
-    for k, v in profile.items():
-        if k.startswith("spark.sql."):
-            spark.conf.set(k, v)
-
-
 def scratch_dir(spark: SparkSession, *parts: str) -> str:
     """A folder under the cluster's shared checkpoint directory.
 
@@ -62,7 +55,9 @@ def scratch_dir(spark: SparkSession, *parts: str) -> str:
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = tempfile.mkdtemp(prefix="pitchside-ckpt-")
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="pitchside-ckpt-")      # one machine: the folder is shared
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
     path = base.rstrip("/")

@@ -65,7 +65,7 @@ def fixture_items(docs: DataFrame, body: str = "body", request_date: str = "requ
     parsed = docs.select(F.col(request_date).alias("request_date"), *keep,
                          F.from_json(F.col(body), FIXTURES_SCHEMA).alias("p"))
     return (parsed.filter(F.col("p").isNotNull() & errors_empty(F.col("p.errors")))
-            .select("request_date", *keep, F.explode("p.response").alias("it")))
+            .select("request_date", *keep, F.posexplode("p.response").alias("item", "it")))
 
 
 def status_of(short: Column) -> Column:
@@ -74,8 +74,9 @@ def status_of(short: Column) -> Column:
 
 
 def parse_fixtures(docs: DataFrame, body: str = "body", request_date: str = "request_date",
-                   keep=()) -> DataFrame:
-    """S-03 / P-06 / P-07: fixture payloads → store rows (without odds).
+                   keep=(), item: str | None = None) -> DataFrame:
+    """S-03 / P-06 / P-07: fixture payloads → store rows (without odds); ``item`` names a column
+    with the position in the response.
 
     JSON null and an absent key are both treated as missing (documented deviation).
     """
@@ -95,7 +96,7 @@ def parse_fixtures(docs: DataFrame, body: str = "body", request_date: str = "req
         it["goals"]["away"].alias("away_score"),
         short.alias("status_short"),
         status_of(short).alias("status"),
-        *keep,
+        *keep, *([F.col("item").alias(item)] if item else []),
     )
 
 

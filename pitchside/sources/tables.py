@@ -12,15 +12,3 @@ DRIVER_TABLES = (
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-RUN_DATE = "1997-08-23"
-
-
-def run_date_for(sf_dir: str) -> str:
-    """The "today" parameter of the live paths.
-
-    One date for every scale, so the SQL twins (which do not know the scale)
-    agree; sf0.01 has 15 matches that day, sf0.1 48.
-    """
-    return RUN_DATE

@@ -6,7 +6,8 @@ into the versioned match store inside ``foreachBatch``.  The store version
 written by micro-batch ``b`` is ``b + 1`` and is computed from version ``b``
 only, so a replayed micro-batch (after a failure, the checkpoint makes
 Spark re-run it with the same id) rewrites exactly the same version: the
-sink is idempotent.  Within a batch, the later landed file wins.
+sink is idempotent.  Within a batch the later row wins: file time, then file name, page and position
+in the response.
 """
 
 from __future__ import annotations
@@ -45,9 +46,12 @@ def upsert_batch(spark: SparkSession, batch: DataFrame, batch_id: int, store: st
     inside the batch) → version ``batch_id + 1`` computed from version ``batch_id``."""
     if batch_id == 0:
         U.init_store(spark, f"{store}/v=000000")
-    landed = batch.withColumn("__ord", F.unix_millis(F.col("file_mtime")))
-    rows = _enriched(P.parse_fixtures(landed, keep=["__ord"]), odds)
-    rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in STORE_SCHEMA.fields], "__ord")
+    place = ["__mtime", "__file", "__page"]
+    landed = batch.select("*", F.unix_millis(F.col("file_mtime")).alias("__mtime"), F.col("file_name").alias("__file"),
+                          F.col("page").alias("__page"))
+    rows = _enriched(P.parse_fixtures(landed, keep=place, item="__item"), odds)
+    rows = rows.withColumn("__ord", F.struct(*place, "__item")).select(
+        *[F.col(f.name).cast(f.dataType) for f in STORE_SCHEMA.fields], "__ord")
     current = U.read_version(spark, store, batch_id)
     U.write_version(U.upsert_matches(current, U.stamp(rows, batch_id, "__ord").drop("__ord")),
                     store, batch_id + 1)
@@ -59,7 +63,8 @@ def run_upsert_stream(spark: SparkSession, landing: str, store: str, checkpoint:
     stream = (spark.readStream.schema(LANDED_SCHEMA)
               .option("maxFilesPerTrigger", files_per_batch)
               .json(f"{landing}/*")
-              .withColumn("file_mtime", F.col("_metadata.file_modification_time")))
+              .select("*", F.col("_metadata.file_modification_time").alias("file_mtime"),
+                      F.col("_metadata.file_path").alias("file_name")))
     last = {"version": 0}
 
     def on_batch(df: DataFrame, batch_id: int) -> None:

@@ -259,13 +259,13 @@ def test_no_python_udf_in_flagship_plan(spark):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
-def test_daily_digest_parts_concatenate_to_one_message(spark):
+def test_daily_digest_lines_join_to_one_message(spark):
     from pitchside import constants as C
     rows = [(i, D0, f"H{i}", f"A{i}", "19:00", 0.63 + (i % 30) / 100, 0.5) for i in range(95)]
     picks = spark.createDataFrame(rows, "match_id long, match_date date, home_team string, away_team string, "
                                         "match_time string, over_2_5_probability double, btts_probability double")
-    parts = sorted((r.part, r.message) for r in R.daily_digest(picks, part_picks=40).collect())
-    assert [p for p, _ in parts] == [0, 1, 2]
+    parts = sorted((r.line_no, r.text) for r in R.daily_digest(picks).collect())
+    assert [p for p, _ in parts] == list(range(97))
     order = sorted(rows, key=lambda r: (-r[5], r[0]))
     body = "".join(f"🔥 *{h} vs {a}*  ⏰ {t}\n   Over 2.5: *{p * 100:.1f}%*  ·  BTTS: *{b * 100:.1f}%*\n\n"
                    for _, _, h, a, t, p, b in order)
@@ -273,6 +273,37 @@ def test_daily_digest_parts_concatenate_to_one_message(spark):
     assert "".join(m for _, m in parts) == want
 
 
+def test_daily_digest_keeps_undated_picks_and_shows_over05(spark):
+    rows = [(1, None, "A", "B", None, 0.7, None, 0.9), (2, None, "C", "D", "", 0.8, 0.5, float("nan"))]
+    picks = spark.createDataFrame(rows, "match_id long, match_date date, home_team string, away_team string, match_time string, "
+                                        "over_2_5_probability double, btts_probability double, over_0_5_probability double")
+    lines = {r.line_no: r.text for r in R.daily_digest(picks).collect()}
+    assert sorted(lines) == [0, 1, 2, 3] and "Over 0.5" not in lines[1] and "  ·  Over 0.5: *90.0%*  ·  BTTS: *0.0%*" in lines[2]
+
+
+def test_rescheduled_fixture_gets_the_odds_of_its_day(spark):
+    fx = spark.createDataFrame([(1, D0, "Ab", "Cd"), (1, D0 + dt.timedelta(days=1), "Ab", "Cd")],
+                               "match_id long, match_date date, home_team string, away_team string")
+    odds = spark.createDataFrame([(D0, 0, "ab fc vs x", 1.1, 2.0, 3.0), (D0 + dt.timedelta(days=1), 0, "ab fc vs y", 9.1, 2.0, 3.0)],
+                                 "feed_date date, pos long, norm_key string, odds_home double, odds_draw double, odds_away double")
+    got = sorted((r.match_date, r.odds_home) for r in O.enrich_odds(fx, odds).collect())
+    assert got == [(D0, 1.1), (D0 + dt.timedelta(days=1), 9.1)]
+
+
+def test_plain_folder_layout_wide_header_and_unknown_first_column(spark, tmp_path):
+    from pitchside.sources.season_csv import read_season_csv
+    folder = tmp_path / "2324"
+    folder.mkdir()
+    filler = [f"X{i}" for i in range(70)]
+    head = ["Referee", "Div", "Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", *filler, "AvgH"]
+    lines = [",".join(head), ",".join(['"Dean, M"', "E0", "12/08/2023", "A", "B", "", "", *["1"] * 70, "1.5"]),
+             ",".join(["x", "E0", "13/08/2023", "C", "D", "2", "1", *["1"] * 70, "2.5"]),
+             ",".join(["x", "E0", "14/08/2023", "E", "F", "0", "0", *["1"] * 70, "3.5"])]
+    (folder / "E0.csv").write_text("\n".join(lines) + "\n\n")
+    rows = sorted(read_season_csv(spark, str(tmp_path)).collect(), key=lambda r: -r.match_id)
+    assert [(r.match_id, r.season, r.home_team, r.avg_home) for r in rows] == [(-1, "2324", "C", 2.5), (-2, "2324", "E", 3.5)]
+
+
 def test_nan_is_missing_like_null(spark):
     nan = float("nan")
     rows = [(i, D0 + dt.timedelta(days=i), "L", "A", f"X{i}", 2.0, 2.0, "FINISHED") for i in range(3)]
