@@ -137,10 +137,12 @@ def out_of_fold(x: DataFrame, cols, market: str, folds: DataFrame, k: int = C.CV
     """L-07: every row scored by the model fitted on the other folds (each row once)."""
     from concurrent.futures import ThreadPoolExecutor
 
-    xf = x.join(folds, "match_id")
+    xf = x.join(folds, "match_id").checkpoint()      # read by every fit and every scoring
+    sizes = {r.fold: r.n for r in xf.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}    # k rows
+    total = sum(sizes.values())
 
     def one(f: int) -> DataFrame:
-        model = fit_market(xf.filter(F.col("fold") != f), cols, market, num_trees, seed)
+        model = fit_market(xf.filter(F.col("fold") != f), cols, market, num_trees, seed, n_rows=total - sizes.get(f, 0))
         return model.transform(xf.filter(F.col("fold") == f))
 
     # the k fits are independent Spark jobs: submit them concurrently (as CrossValidator's parallelism)
@@ -196,6 +198,68 @@ def load_model_store(spark, path: str):
     return models, table
 
 
+SUMMARY = "market string, n_rows long, n_features int, cv_mean double, cv_std double"
+
+
+def train_markets(train: DataFrame, path: str, num_trees: int = C.FOREST_PARAMS["num_trees"], k: int = C.CV_FOLDS,
+                  min_rows: int = C.MIN_TRAIN_ROWS) -> DataFrame:
+    """L-04 / F-09: cross-validate and fit the three markets on a training set and save everything under ``path``.
+
+    Returns one row per market; with fewer than ``min_rows`` rows nothing is trained and the result is empty.
+    Saved: the model pairs, the feature table, ``oof/<market>`` (the out-of-fold predictions, scored once) and
+    ``summary``.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from .features import feature_columns
+    from .metrics import stratified_folds
+
+    spark = train.sparkSession
+    cols = feature_columns(train)
+    medians = medians_row(train, cols)
+    x = prepare_training(train, cols, medians)
+    n = x.count()
+    if n < min_rows:
+        return spark.createDataFrame([], SUMMARY)
+
+    def one(item):
+        market, label = item
+        folds = stratified_folds(x.select("match_id", label), "match_id", label, k).select("match_id", "fold")
+        out_of_fold(x, cols, market, folds, k, num_trees).write.mode("overwrite").parquet(f"{path}/oof/{market}")
+        row = cv_accuracy(spark.read.parquet(f"{path}/oof/{market}"), market).agg(
+            F.lit(market).alias("market"), F.lit(n).cast("long").alias("n_rows"), F.lit(len(cols)).alias("n_features"),
+            F.avg("accuracy").alias("cv_mean"), F.stddev_pop("accuracy").alias("cv_std"))
+        return market, fit_market(x, cols, market, num_trees, n_rows=n), row
+
+    with ThreadPoolExecutor(max_workers=len(MARKETS)) as pool:       # independent Spark jobs
+        done = list(pool.map(one, MARKETS.items()))
+    models = {market: model for market, model, _ in done}
+    summary = done[0][2]
+    for _, _, row in done[1:]:
+        summary = summary.unionByName(row)
+    save_model_store(spark, path, models, cols, medians)
+    summary.write.mode("overwrite").parquet(f"{path}/summary")
+    return spark.read.parquet(f"{path}/summary")
+
+
+def evaluate(preds: DataFrame) -> DataFrame:
+    """L-09: ``preds`` (y, p) → base rate, metrics, AUC and tier accuracies as ``(metric, value)``."""
+    from . import metrics as MT
+
+    wide = (preds.agg(F.avg("y").alias("base_rate"))
+            .crossJoin(MT.classification_metrics(preds).drop("n")).crossJoin(MT.auc_roc(preds).select("auc")))   # one row each
+    names = wide.columns
+    one = wide.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], names, "metric", "value")
+    tiers = MT.confidence_tiers(preds, MT.tiers_frame(preds.sparkSession))
+    return one.unionByName(tiers.select(
+        F.concat(F.lit("tier_"), F.format_string("%.2f", "tier"), F.lit("_accuracy")).alias("metric"), F.col("accuracy").alias("value")))
+
+
+def read_medians(spark, path: str) -> DataFrame:
+    """The saved (feature, median) rows of a model store."""
+    return spark.read.parquet(f"{path}/features").select("feature", "median").distinct()
+
+
 def score_from_store(spark, path: str, rows: DataFrame) -> DataFrame:
     """L-08: score ``rows`` with a saved model store; an empty result when a market's model is missing, and
     without a feature table the features of ``rows`` with 0.0 for missing values."""

@@ -96,13 +96,11 @@ SELECT market, label, n_class, {_r('n / (k * n_class)')} AS weight FROM c JOIN t
 
 @query("min_rows_guard")
 def q_min_rows_guard(spark, sf_dir):
-    """F-09: competitions with enough training rows to fit a model (>= 50)."""
-    return train(spark, sf_dir).groupBy("competition").agg(F.count(F.lit(1)).alias("n_rows")) \
-        .filter(F.col("n_rows") >= C.MIN_TRAIN_ROWS)
+    """F-09: the training abort: rows of the training set, and whether there are enough (>= 50) to train."""
+    return train(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("trains", F.col("n_rows") >= C.MIN_TRAIN_ROWS)
 
 
-ORACLE["min_rows_guard"] = (f"SELECT competition, count(*) AS n_rows FROM ({TRAINING_SQL}) "
-                            f"GROUP BY competition HAVING count(*) >= {C.MIN_TRAIN_ROWS}")
+ORACLE["min_rows_guard"] = f"SELECT count(*) AS n_rows, count(*) >= {C.MIN_TRAIN_ROWS} AS trains FROM ({TRAINING_SQL})"
 
 
 @query("impute_features")
