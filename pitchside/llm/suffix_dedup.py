@@ -49,9 +49,7 @@ def byte_items(texts: list[bytes]) -> Items:
     eight, sixteen = by_span[8], by_span[16]
     n = max(len(one) - KMER + 1, 0)
     kmers = mix64(sixteen[:n] * power[8] + eight[16:16 + n])
-    begin = np.arange(len(one), dtype=np.int64)
-    return Items(kmers, np.repeat(np.arange(len(texts)), size), begin - np.repeat(np.cumsum(size) - size, size),
-                 begin, begin + 1, data)
+    return Items(kmers, np.concatenate(([0], np.cumsum(size))), data)
 
 
 def suffix_order(text: np.ndarray, unique: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -137,13 +135,13 @@ def matcher(width: int):
 
 
 def repeated_bytes(docs: DataFrame, width: int = WIDTH, keep_first: bool = True) -> DataFrame:
-    """(doc, spans): byte spans to remove, for the documents that have any."""
+    """(__doc, __spans): byte spans to remove, for the documents (:func:`superkmers.keyed`) that have any."""
     return repeated_spans(docs, byte_items, width, KMER, matcher(width), keep_first)
 
 
 def removals(docs: DataFrame, width: int = WIDTH, keep_first: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256 of every row."""
-    marked = with_spans(docs.select("doc_id", "text"), repeated_bytes(docs, width, keep_first))
+    marked = with_spans(docs.select("doc_id", "text"), lambda rows: repeated_bytes(rows, width, keep_first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
@@ -174,7 +172,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, keep_first: bool = True) -> DataF
 
     A document that held text and has nothing but white space left is dropped.
     """
-    marked = with_spans(docs, repeated_bytes(docs, width, keep_first))
+    marked = with_spans(docs, lambda rows: repeated_bytes(rows, width, keep_first))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,17 +3,22 @@
 Every window of ``width`` items (bytes or words) holds ``width - k + 1`` k-mers; the one
 with the smallest hash (leftmost of equals) is its minimiser, which depends on the
 window alone.  Consecutive windows with the same minimiser form a run, and the
-text under a run travels as one packed string to the bucket of its minimiser.  So
-equal windows always meet, and text is sent about three times instead of
-``width`` times.
-
-Copies are collapsed before the shuffle: of the equal segments of one task's batch a
-single one travels; the others are answered on the spot, as a segment that
-occurs twice repeats all of its windows.  A bucket therefore gets at most one entry
-per distinct segment and batch, however often a passage occurs.  Inside a bucket
-a minimiser with a single entry is done; a minimiser whose entries are all one text
-is done by counting; only minimisers with different texts go to the operator's own
-window matcher.
+text under a run travels as one packed string to the bucket of its minimiser, so
+equal windows always meet.
+
+A window can only repeat where its minimiser does.  So a first round sends nothing
+but minimiser hashes (8 bytes a run), and marks each document's minimisers that
+occur more than once anywhere; only runs with marked minimisers travel.
+
+Copies are collapsed before each shuffle: of the equal hashes, and of the equal
+segments, of one task's batch a single one travels; the others are answered on the
+spot, as a segment that occurs twice repeats all of its windows.  A bucket gets at
+most one entry per distinct segment and batch, however often a passage occurs.
+Inside a bucket a minimiser whose entries are all one text is done by counting; only
+minimisers with different texts go to the operator's own window matcher.
+
+The documents are shuffled once: the exchange by id that brings the marks is used again
+when the spans found are applied.
 """
 
 from __future__ import annotations
@@ -29,24 +34,29 @@ from pyspark.sql import functions as F
 
 from pitchside.llm.textops import merge_spans, ranges, run_starts, text_bytes, text_slices
 
-BATCH_BYTES = 2 << 20
-HELD_BATCHES = 10            # slices whose segments are collapsed and packed together
+BATCH_BYTES = 1 << 20
+HELD_BATCHES = 24            # slices whose hashes or segments are collapsed and packed together
 LAST_ID = (1 << 63) - 1      # order of a null document id: after every other
-_FIELDS = (("doc", np.int64), ("start", np.int32), ("windows", np.int32), ("size", np.int32), ("anchor", np.uint32),
+_FIELDS = (("doc", np.int64), ("start", np.int32), ("windows", np.int32), ("size", np.int32), ("anchor", np.uint64),
            ("copies", np.uint8))
 _DONE = (("done_doc", np.int64), ("done_start", np.int32), ("done_end", np.int32))
 
 
 @dataclass
 class Items:
-    """Flat items of a batch of texts: their hashes of k items, their owners, and where each item lies in ``data``."""
+    """Flat items of a batch of texts: hashes of k items, and where each item lies in ``data``."""
 
-    kmers: np.ndarray        # hash of the k items from every item on
-    owner: np.ndarray        # text of every item
-    index: np.ndarray        # place of every item in its text
-    begin: np.ndarray        # first byte of every item in data
-    end: np.ndarray          # end byte of every item in data
+    kmers: np.ndarray                 # hash of the k items from every item on
+    first: np.ndarray                 # first item of every text, and the number of items
     data: bytes
+    begin: np.ndarray | None = None   # first byte of every item in data (bytes: the item itself)
+    end: np.ndarray | None = None     # end byte of every item in data
+
+    def span(self, start: np.ndarray, stop: np.ndarray) -> tuple[list[int], list[int]]:
+        """Byte spans of the items ``[start, stop)``."""
+        if self.begin is None:
+            return start.tolist(), stop.tolist()
+        return self.begin[start].tolist(), self.end[stop - 1].tolist()
 
 
 def sliding_minimum(key: np.ndarray, width: int) -> np.ndarray:
@@ -66,12 +76,19 @@ def runs(items: Items, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.n
     low = np.uint64(0xFFFFFFFF)
     key = (items.kmers & ~low) | np.arange(len(items.kmers), dtype=np.uint64)
     least = sliding_minimum(key, width - k + 1)
-    n = len(least)
-    inside = np.flatnonzero(items.owner[:n] == items.owner[width - 1:width - 1 + n])
-    at = (least[inside] & low).astype(np.int64)
+    inside = np.ones(max(len(least), items.first[-1]), dtype=bool)
+    stop = items.first[1:]
+    outside = np.maximum(stop - width + 1, items.first[:-1])      # windows that would leave their text
+    inside[ranges(outside, stop - outside)] = False
+    window = np.flatnonzero(inside[:len(least)])
+    at = (least[window] & low).astype(np.int64)
     first = run_starts(at)
     count = np.diff(np.append(first, len(at)))
-    return inside[first], count, items.kmers[at[first]]
+    return window[first], count, items.kmers[at[first]]
+
+
+def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    return ((anchor * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
 
 
 def _pack(parts: dict[str, np.ndarray], text: bytes) -> bytes:
@@ -98,12 +115,15 @@ class _Segments:
         self.same: list[np.ndarray] = []
         self.parts: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, ids: np.ndarray, items: Items, width: int, k: int) -> None:
+    def add(self, ids: np.ndarray, items: Items, width: int, k: int, marked: np.ndarray) -> None:
         at, windows, anchor = runs(items, width, k)
-        begin, end = items.begin[at].tolist(), items.end[at + windows + width - 2].tolist()
+        here = np.isin(anchor, marked)
+        at, windows, anchor = at[here], windows[here], anchor[here]
+        owner = np.searchsorted(items.first, at, side="right") - 1
         data, seen = items.data, self.seen
-        self.same.append(np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip(begin, end)], dtype=np.int64))
-        self.parts.append((ids[items.owner[at]], items.index[at], windows, anchor))
+        self.same.append(np.array([seen.setdefault(data[a:b], len(seen))
+                                   for a, b in zip(*items.span(at, at + windows + width - 1))], dtype=np.int64))
+        self.parts.append((ids[owner], at - items.first[owner], windows, anchor))
 
     def rows(self, buckets: int, width: int, first_only: bool) -> Iterator[tuple[int, bytes]]:
         """(bucket, blob): one entry per distinct text, and the spans that are settled already."""
@@ -115,7 +135,7 @@ class _Segments:
         sent = np.zeros(len(same), dtype=bool)
         sent[head] = True
         done = _elsewhere(head, same, doc, start) if first_only else copies[same] > 1
-        bucket = ((anchor * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+        bucket = _bucket(anchor, buckets)
         texts = list(self.seen)
         for b in np.unique(bucket):
             mine = bucket == b
@@ -183,47 +203,132 @@ def _solve(blobs: list[bytes], width: int, first_only: bool, match: Matcher):
     return [np.concatenate(x) for x in zip(*spans)]
 
 
+class _Anchors:
+    """Minimiser hashes of several batches of one task, one entry per hash."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, ids: np.ndarray, items: Items, width: int, k: int) -> None:
+        at, _, anchor = runs(items, width, k)
+        self.parts.append((anchor, ids[np.searchsorted(items.first, at, side="right") - 1]))
+
+    def rows(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        """(bucket, blob): hash, document and whether it repeats in the batch; and marks that are settled already."""
+        anchor, doc = map(np.concatenate, zip(*self.parts))
+        order = np.argsort(anchor, kind="stable")
+        anchor, doc = anchor[order], doc[order]
+        head = run_starts(anchor)
+        many = np.diff(np.append(head, len(anchor))) > 1
+        of = np.repeat(many, np.diff(np.append(head, len(anchor))))
+        bucket, settled = _bucket(anchor[head], buckets), doc % buckets     # settled marks are only passed on: by document
+        for b in range(buckets):
+            h = head[bucket == b]
+            d = np.flatnonzero(of & (settled == b))
+            if len(h) or len(d):
+                parts = (anchor[h], doc[h], many[bucket == b].astype(np.uint8), anchor[d], doc[d])
+                sizes = np.array([len(h), len(d)], dtype=np.int64).tobytes()
+                yield b, zstandard.compress(sizes + b"".join(p.tobytes() for p in parts), 1)
+
+
+def _marks(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of every minimiser of a bucket that occurs more than once."""
+    parts = []
+    for blob in blobs:
+        raw = zstandard.decompress(blob)
+        n, d = np.frombuffer(raw, dtype=np.int64, count=2).tolist()
+        cut = np.cumsum([16, 8 * n, 8 * n, n, 8 * d]).tolist()
+        kinds = (np.uint64, np.int64, np.uint8, np.uint64, np.int64)
+        parts.append([np.frombuffer(raw, dtype=t, count=c, offset=o) for t, c, o in zip(kinds, (n, n, n, d, d), cut)])
+    anchor, doc, many, done_anchor, done_doc = map(np.concatenate, zip(*parts))
+    _, group, count = np.unique(anchor, return_inverse=True, return_counts=True)
+    repeated = np.bincount(group, weights=many, minlength=len(count)) + count > 1
+    new = repeated[group] & (many == 0)
+    return np.concatenate([doc[new], done_doc]), np.concatenate([anchor[new], done_anchor])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    by: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
+            by.setdefault(b, []).append(blob)
+    for b in sorted(by):
+        yield by.pop(b)
+
+
 def repeated_spans(docs: DataFrame, items_of: Callable[[list[bytes]], Items], width: int, k: int, match: Matcher,
                    first_only: bool) -> DataFrame:
-    """(doc, spans) of all documents with repeated windows: sorted disjoint item spans as [start, end, start, end, ...].
+    """(__doc, __spans) of all documents with repeated windows, from ``docs`` as :func:`keyed` makes them: item spans.
 
     ``first_only``: a window counts as repeated only where it occurs earlier (smaller id, or same document and
     earlier start).
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["bucket", "blob"]
 
-    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flushed(held: _Segments) -> Iterator[pa.RecordBatch]:
-            for b, blob in held.rows(buckets, width, first_only):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+    def packed(batches: Iterator[pa.RecordBatch], new: Callable, add: Callable, rows: Callable) -> Iterator[pa.RecordBatch]:
+        def flushed(held) -> Iterator[pa.RecordBatch]:
+            for b, blob in rows(held):
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], names)
 
-        held, n_held = _Segments(), 0
+        held, n_held = new(), 0
         for batch in batches:
             for part in text_slices(batch, "text", BATCH_BYTES):
-                ids = part.column("doc").to_numpy(zero_copy_only=False)
-                held.add(ids, items_of(list(text_bytes(part.column("text")))), width, k)
+                ids = part.column("__doc").to_numpy(zero_copy_only=False)
+                add(held, part, ids, items_of(list(text_bytes(part.column("text")))))
                 n_held += 1
                 if n_held == HELD_BATCHES:
                     yield from flushed(held)
-                    held, n_held = _Segments(), 0
+                    held, n_held = new(), 0
         if n_held:
             yield from flushed(held)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
-                by.setdefault(b, []).append(blob)
-        for b in sorted(by):
-            doc, start, end = _solve(by.pop(b), width, first_only, match)
+    def scatter_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed(batches, _Anchors, lambda held, part, ids, items: held.add(ids, items, width, k),
+                      lambda held: held.rows(buckets))
+
+    def gather_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in _by_bucket(batches):
+            doc, anchor = _marks(blobs)
+            order = np.argsort(doc, kind="stable")
+            doc, anchor = doc[order], anchor[order]
+            head = run_starts(doc)
+            cut = np.append(head, len(doc))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[head]), pa.array([anchor[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
+                ["__doc", "marks"])
+
+    def scatter_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def add(held: _Segments, part: pa.RecordBatch, ids: np.ndarray, items: Items) -> None:
+            marked = b"".join(x for row in part.column("__marks").to_pylist() for x in row)
+            held.add(ids, items, width, k, np.unique(np.frombuffer(marked, dtype=np.uint64)))
+
+        return packed(batches, _Segments, add, lambda held: held.rows(buckets, width, first_only))
+
+    def gather_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in _by_bucket(batches):
+            doc, start, end = _solve(blobs, width, first_only, match)
             if len(doc):
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
-                                                 ["doc", "start", "end"])
+                                                 ["__doc", "start", "end"])
+
+    marks = (docs.select("__doc", "text").mapInArrow(scatter_anchors, "bucket int, blob binary")
+             .repartition(buckets, "bucket").mapInArrow(gather_anchors, "__doc long, marks binary")
+             .groupBy("__doc").agg(F.collect_list("marks").alias("__marks")))
+    found = (docs.join(marks, "__doc").mapInArrow(scatter_segments, "bucket int, blob binary")
+             .repartition(buckets, "bucket").mapInArrow(gather_segments, "__doc long, start long, end long"))
+    return found.groupBy("__doc").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+
 
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc")
-    found = (docs.select(doc, "text").mapInArrow(scatter, "bucket int, blob binary")
-             .repartition(buckets, "bucket").mapInArrow(gather, "doc long, start long, end long"))
-    return found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the document's place in the order of ids as ``__doc``."""
+    return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
+
+
+def with_spans(docs: DataFrame, spans: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` with the spans that ``spans`` finds in them as ``__spans`` (null where there are none)."""
+    rows = keyed(docs)
+    return rows.join(spans(rows), "__doc", "left").drop("__doc")
 
 
 def united(spans) -> tuple[np.ndarray, np.ndarray]:
@@ -235,12 +340,6 @@ def united(spans) -> tuple[np.ndarray, np.ndarray]:
     return merge_spans(start, np.array([s["end"] for s in spans], dtype=np.int64))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with its spans (null where there are none)."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    return docs.withColumn("__doc", doc).join(spans.withColumnsRenamed({"doc": "__doc", "spans": "__spans"}), "__doc", "left").drop("__doc")
-
-
 def covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     """Mask of ``n`` items: inside a span."""
     out = np.zeros(n, dtype=bool)

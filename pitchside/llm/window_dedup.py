@@ -45,8 +45,8 @@ def word_items(texts: list[bytes]) -> Items:
     begin = np.cumsum(size + 1) - (size + 1)
     packed[ranges(begin, size)] = data[ranges(start, size)]
     words = np.bincount(owner, minlength=len(texts))
-    index = np.arange(len(start)) - np.repeat(np.cumsum(words) - words, words)
-    return Items(gram_hashes(word_hashes(data, start, end), KMER), owner, index, begin, begin + size, packed.tobytes())
+    return Items(gram_hashes(word_hashes(data, start, end), KMER), np.concatenate(([0], np.cumsum(words))), packed.tobytes(),
+                 begin, begin + size)
 
 
 def matcher(width: int):
@@ -73,13 +73,13 @@ def matcher(width: int):
 
 
 def repeated_words(docs: DataFrame, width: int = WIDTH, keep_first: bool = True) -> DataFrame:
-    """(doc, spans): word spans to remove, for the documents that have any."""
+    """(__doc, __spans): word spans to remove, for the documents (:func:`superkmers.keyed`) that have any."""
     return repeated_spans(docs, word_items, width, KMER, matcher(width), keep_first)
 
 
 def removals(docs: DataFrame, width: int = WIDTH, keep_first: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept (remaining words joined by one space) and kept_sha256 of every row."""
-    marked = with_spans(docs.select("doc_id", "text"), repeated_words(docs, width, keep_first))
+    marked = with_spans(docs.select("doc_id", "text"), lambda rows: repeated_words(rows, width, keep_first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"]
@@ -87,8 +87,7 @@ def removals(docs: DataFrame, width: int = WIDTH, keep_first: bool = True) -> Da
             for part in text_slices(batch, "text", BATCH_BYTES):
                 texts = list(text_bytes(part.column("text")))
                 items = word_items(texts)
-                words = np.bincount(items.owner, minlength=len(texts))
-                first = np.cumsum(words) - words
+                first, words = items.first[:-1], np.diff(items.first)
                 packed = np.frombuffer(items.data, dtype=np.uint8)
                 gone, kept, digest = [], [], []
                 for j, spans in enumerate(part.column("__spans").to_pylist()):

@@ -80,7 +80,8 @@ def test_runs_cover_every_window_once():
     texts = [b"abcabcabc" * 60, b"", b"x" * 199, b"y" * 200, bytes(range(256)) * 4]
     items = suffix_dedup.byte_items(texts)
     at, windows, _ = superkmers.runs(items, 200, suffix_dedup.KMER)
-    seen = sorted((int(items.owner[a]), int(items.index[a]) + j) for a, w in zip(at, windows) for j in range(w))
+    seen = sorted((int(d), int(a - items.first[d]) + j) for a, w in zip(at, windows) for j in range(w)
+                  for d in [np.searchsorted(items.first, a, side="right") - 1])
     assert seen == [(d, i) for d, t in enumerate(texts) for i in range(len(t) - 199)]
 
 
