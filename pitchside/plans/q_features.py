@@ -255,6 +255,15 @@ def q_training_set(spark, sf_dir):
 ORACLE["training_set"] = TRAINING_SQL
 
 
+@query("training_from_csv")
+def q_training_from_csv(spark, sf_dir):
+    """W-10 on its default source: season CSV files → features → training rows."""
+    from ..sources.training import training_matches
+    root = run_dir(spark, "training_csv", _slug(sf_dir))
+    V.write_season_csvs(V.match_view(spark, sf_dir), root)
+    return feat.training_set(training_matches(spark, root, V.store_view(V.match_view(spark, sf_dir))))
+
+
 @query("drop_cold_start")
 def q_drop_cold_start(spark, sf_dir):
     return feat.training_set(matches(spark, sf_dir)).select(*C.FEATURE_COLS[:4], "match_id")

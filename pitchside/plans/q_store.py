@@ -9,7 +9,8 @@ from ..session import run_dir
 from ..sources import season_csv as SC
 from ..sources import store as S
 from . import views as V
-from .oracle import ORACLE, TARGETS_SQL, with_m
+from .oracle import FEATURE_COLS, ORACLE, TARGET_COLS, TARGETS_SQL, features_sql, with_m
+from .q_features import TRAIN_ID
 from .registry import query
 
 
@@ -153,6 +154,22 @@ SELECT -row_number() OVER (ORDER BY year(match_date), competition, match_date, m
 FROM m WHERE home_score IS NOT NULL AND away_score IS NOT NULL""")
 
 
+# W-10 on the season files: the file columns under the names of the match view
+CSV_MATCHES = """
+csvm AS (
+  SELECT match_id, match_date, competition, home_team, away_team, home_score, away_score, status,
+    h_shots, a_shots, h_shots_ot, a_shots_ot, h_corners, a_corners,
+    avg_over25 AS odds_avg_over25, b365_over25 AS odds_b365_over25,
+    avg_home AS odds_home, avg_draw AS odds_draw, avg_away AS odds_away, b365_home, b365_draw, b365_away
+  FROM sv
+)"""
+ORACLE["training_from_csv"] = features_sql(
+    f"SELECT {', '.join(TRAIN_ID + FEATURE_COLS + TARGET_COLS)} FROM (SELECT *, {TARGETS_SQL} FROM feats) "
+    "WHERE status = 'FINISHED' AND h_roll_scored IS NOT NULL AND h_roll_conceded IS NOT NULL "
+    "AND a_roll_scored IS NOT NULL AND a_roll_conceded IS NOT NULL",
+    src="csvm", pre=(*SEASON_CTES, CSV_MATCHES))
+
+
 # --- S-02, S-05..S-08 ---------------------------------------------------------------
 
 def store_df(spark, sf_dir):
