@@ -290,18 +290,12 @@ def repeated_spans(docs: DataFrame, items_of: Callable[[list[bytes]], Items], wi
     def gather_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in _by_bucket(batches):
             doc, anchor = _marks(blobs)
-            order = np.argsort(doc, kind="stable")
-            doc, anchor = doc[order], anchor[order]
-            head = run_starts(doc)
-            cut = np.append(head, len(doc))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[head]), pa.array([anchor[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
-                ["__doc", "marks"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(anchor.view(np.int64))], ["__doc", "mark"])
 
     def scatter_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def add(held: _Segments, part: pa.RecordBatch, ids: np.ndarray, items: Items) -> None:
-            marked = b"".join(x for row in part.column("__marks").to_pylist() for x in row)
-            held.add(ids, items, width, k, np.unique(np.frombuffer(marked, dtype=np.uint64)))
+            marked = part.column("__marks").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            held.add(ids, items, width, k, np.unique(marked))
 
         return packed(batches, _Segments, add, lambda held: held.rows(buckets, width, first_only))
 
@@ -313,8 +307,8 @@ def repeated_spans(docs: DataFrame, items_of: Callable[[list[bytes]], Items], wi
                                                  ["__doc", "start", "end"])
 
     marks = (docs.select("__doc", "text").mapInArrow(scatter_anchors, "bucket int, blob binary")
-             .repartition(buckets, "bucket").mapInArrow(gather_anchors, "__doc long, marks binary")
-             .groupBy("__doc").agg(F.collect_list("marks").alias("__marks")))
+             .repartition(buckets, "bucket").mapInArrow(gather_anchors, "__doc long, mark long")
+             .groupBy("__doc").agg(F.collect_list("mark").alias("__marks")))
     found = (docs.join(marks, "__doc").mapInArrow(scatter_segments, "bucket int, blob binary")
              .repartition(buckets, "bucket").mapInArrow(gather_segments, "__doc long, start long, end long"))
     return found.groupBy("__doc").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
