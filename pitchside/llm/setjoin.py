@@ -15,19 +15,23 @@ share more tokens.  For a pair the smaller ``l`` is required.  The order comes f
 counts over all documents (:func:`frequent_tokens`); it steers cost only, any
 order gives the same result.
 
-Budget.  A set can share at most ``shared prefix tokens + n - prefix`` tokens with
-anything, and a link to a set of ``m`` tokens takes ``ceil(t / (1 + t) * (n + m))``, so
-every set has a largest partner size.  Pairs beyond either budget, and list
-entries without any partner in budget, are dropped before pairing.
+Budget.  Of two sets, let ``a`` be the one whose prefix ends earlier in the order: all that
+its prefix shares with the other lies in the other's prefix too.  So the two share at
+most ``shared prefix tokens + n - prefix`` of ``a``, and a link takes
+``ceil(t / (1 + t) * (n + m))``: a link needs that many shared prefix tokens, and ``a`` has
+a largest partner size.  Pairs and list entries out of budget are dropped.
 
 Copies.  Equal sets are one node.  Groups of near copies are not expanded into
-pairs: ``STAR_ROUNDS`` rounds link the members of each token's list to the most
-central node of another component (the one with the largest share of frequent
-tokens), which joins such a group by a linear number of verified links.  Then a
-token whose list lies in one component needs nothing more, and the remaining
-pairs across components are all enumerated and verified, so no link is lost.
-Everything per list or node is an aggregate with partial sums or a join with one
-row per key on one side.
+pairs: ``STAR_ROUNDS`` rounds link the members of each token's list to its hub, the most
+central node (the one with the largest share of frequent tokens), which joins such
+a group by a linear number of verified links.  Then a token whose list lies in one
+component needs nothing more.  The rest is counted exactly: lists with the same hub
+meet in one unit (split into pairs of node blocks where a hub has many nodes), shared
+prefix tokens are counted inside the task, only pairs across components that can
+still have the shared tokens a link needs leave it, and those whose counts over all
+hubs suffice are verified.  No link
+is lost.  Everything else per list or node is an aggregate with partial sums or a join
+with one row per key on one side.
 
 Nodes are 64-bit set hashes, checked against a second hash and the size: two
 different sets under one node raise an error instead of being merged.
@@ -54,11 +58,13 @@ from pitchside.llm.textops import (gram_hashes, lower_ascii, materialise, mix64,
 
 SHINGLE_WORDS = 4
 PERCENT = 85
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 MAX_MATCHES = 4              # the longest l
 COST_STEP = 64               # estimated candidates of a 1-prefix from which l grows, four-fold each step
 FREQUENT_TOKENS = 250_000    # rows of the broadcast order table: the most frequent shingles of the corpus
 COUNT_CHUNK = 3_000_000      # tokens counted together inside a task
+BLOCK_NODES = 500            # nodes of one block of a hub; a unit counts the pairs of two blocks
+TOKEN_CHUNK = 4096           # tokens counted together in a unit
 BROADCAST_ROWS = 1_000_000   # id lists are broadcast up to this counted size, joined by shuffle beyond
 BATCH_BYTES = 2 << 20
 
@@ -151,7 +157,7 @@ def need(n, percent: int):
 
 
 def prefixes(token: np.ndarray, size: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int):
-    """Prefix tokens, their set's index, and per set l and the share of frequent tokens."""
+    """Prefix tokens, their set's index, and per set l, the share of frequent tokens and where the prefix ends."""
     value, count = frequent
     estimate = np.ones(len(token), dtype=np.int64)
     if len(value):
@@ -170,18 +176,22 @@ def prefixes(token: np.ndarray, size: np.ndarray, frequent: tuple[np.ndarray, np
     matches = np.minimum(matches, np.maximum(need(size, percent), 1))
     inside = place < np.repeat(base + matches, size)
     share = np.bincount(owner, weights=estimate > 1, minlength=len(size)) / np.maximum(size, 1)
-    return token[inside], owner[inside], matches, share
+    # where the prefix ends in the order, to 32 bits of the hash (equal values: unknown which ends earlier)
+    last = np.zeros(len(size), dtype=np.int64)
+    at = (first + base + matches - 1)[size > 0]
+    last[size > 0] = (np.minimum(estimate[at], (1 << 31) - 1) << 32) | (token[at] >> np.uint64(32)).astype(np.int64)
+    return token[inside], owner[inside], matches, share, last
 
 
 def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
-    """Prefix entries (token, node, n, l, share); equal sets of one batch send theirs once."""
+    """Prefix entries (token, node, n, l, share, last); equal sets of one batch send theirs once."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _batches(batches):
             token, size = shingle_sets(texts, k)
             node, _ = set_keys(token, size)
-            t, owner, matches, share = prefixes(token, size, shared.value, percent)
+            t, owner, matches, share, last = prefixes(token, size, shared.value, percent)
             once = np.zeros(len(size), dtype=bool)
             once[np.unique(node, return_index=True)[1]] = True
             once &= ~ids.is_null().to_numpy(zero_copy_only=False)
@@ -190,9 +200,10 @@ def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, p
             yield pa.RecordBatch.from_arrays(
                 [pa.array(t.view(np.int64)), pa.array(node[owner]),
                  pa.array(size[owner].astype(np.int32)), pa.array(matches[owner].astype(np.int32)),
-                 pa.array(np.round(share[owner] * 1000).astype(np.int32))], ["token", "node", "n", "l", "share"])
+                 pa.array(np.round(share[owner] * 1000).astype(np.int32)), pa.array(last[owner])],
+                ["token", "node", "n", "l", "share", "last"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "token long, node long, n int, l int, share int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "token long, node long, n int, l int, share int, last long")
 
 
 def _checked(df: DataFrame) -> DataFrame:
@@ -236,8 +247,107 @@ def _verified(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
                        .where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v").distinct(), "links")
 
 
-def _in_budget(n_a: str, n_b: str, most_a: str, most_b: str) -> Column:
-    return (F.col(n_b) <= F.col(most_a)) & (F.col(n_a) <= F.col(most_b))
+def _in_budget(a: str, b: str, percent: int) -> Column:
+    """Sizes within the threshold of each other, and the side whose prefix ends earlier has budget for the other's
+    size (both may where the ends tie)."""
+    def side(x: str, y: str) -> Column:
+        return (F.col(f"{x}.last") <= F.col(f"{y}.last")) & (F.col(f"{y}.n") <= F.col(f"{x}.most"))
+
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (side(a, b) | side(b, a))
+
+
+def _rest(n: Column, l: Column, percent: int) -> Column:
+    """Tokens after the prefix."""
+    return n - F.least(n, n - _need(n, percent) + l)
+
+
+def _needed(a: str, b: str, percent: int) -> Column:
+    """Shared prefix tokens that a link between ``a`` and ``b`` takes at least."""
+    rest_a, rest_b = (_rest(F.col(f"{x}.n"), F.col(f"{x}.l"), percent) for x in (a, b))
+    rest = (F.when(F.col(f"{a}.last") < F.col(f"{b}.last"), rest_a).when(F.col(f"{a}.last") > F.col(f"{b}.last"), rest_b)
+            .otherwise(F.greatest(rest_a, rest_b)))
+    overlap = F.ceil((F.col(f"{a}.n") + F.col(f"{b}.n")) * F.lit(percent / (100 + percent)) - F.lit(1e-9))
+    return F.greatest(overlap - rest, F.lit(1))
+
+
+def unit_pairs(node: np.ndarray, token: np.ndarray, block: np.ndarray, component: np.ndarray, n: np.ndarray, rest: np.ndarray,
+               last: np.ndarray, lists: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one unit that may have the shared prefix tokens that a link needs.
+
+    ``lists`` is the number of a node's lists anywhere: those outside the unit may all be shared as well.
+    """
+    node, first, at = np.unique(node, return_index=True, return_inverse=True)
+    token, of = np.unique(token, return_inverse=True)
+    m = len(node)
+    count = np.zeros((m, m), dtype=np.float32)
+    for lo in range(0, len(token), TOKEN_CHUNK):
+        some = (of >= lo) & (of < lo + TOKEN_CHUNK)
+        holds = np.zeros((m, min(TOKEN_CHUNK, len(token) - lo)), dtype=np.float32)
+        holds[at[some], of[some] - lo] = 1
+        count += holds @ holds.T
+    outside = lists[first] - np.bincount(at, minlength=m)
+    size, rest, last = n[first], rest[first], last[first]
+    overlap = np.ceil((size[:, None] + size[None, :]) * (percent / (100 + percent)) - 1e-9)
+    earlier = last[:, None] < last[None, :]
+    tie = last[:, None] == last[None, :]
+    most_rest = np.where(tie, np.maximum(rest[:, None], rest[None, :]), np.where(earlier, rest[:, None], rest[None, :]))
+    needed = np.maximum(overlap - most_rest, 1)
+    may = (count > 0) & (count + np.minimum(outside[:, None], outside[None, :]) >= needed)
+    may &= component[first][:, None] != component[first][None, :]
+    may &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
+    blocks = block[first]
+    if blocks.min() != blocks.max():
+        may &= blocks[:, None] != blocks[None, :]           # pairs within a block have their own unit
+    u, v = np.nonzero(np.triu(may, 1))
+    return node[u], node[v], count[u, v].astype(np.int64), needed[u, v].astype(np.int64)
+
+
+def remaining_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """(u, v) across components that share enough prefix tokens, counted unit by unit."""
+    hubs = live.groupBy("token").agg(F.max(F.struct("share", "node")).alias("h")).select("token", F.col("h.node").alias("hub"))
+    lists = live.groupBy("node").agg(F.count("*").cast("int").alias("lists"))
+    entries = live.join(hubs, "token").join(lists, "node")
+    blocks = (entries.select("hub", "node").distinct().groupBy("hub").agg(F.count("*").alias("c"))
+              .select("hub", F.ceil(F.col("c") / BLOCK_NODES).cast("int").alias("blocks")))
+    rest = _rest(F.col("n"), F.col("l"), percent)
+    units = (entries.join(blocks, "hub")
+             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "token", "node",
+                     "block", "component", F.col("n").cast("long").alias("n"), rest.cast("long").alias("rest"), "last", "lists"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            c = {k: np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in held[0].schema.names}
+            key = np.stack([c["hub"], c["i"].astype(np.int64), c["j"].astype(np.int64)])
+            cut = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True])))
+            found = [unit_pairs(*[c[k][a:b] for k in ("node", "token", "block", "component", "n", "rest", "last", "lists")], percent)
+                     for a, b in zip(cut[:-1], cut[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["u", "v", "shared", "needed"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:                           # a unit may span batches: hold back the last one
+            if not batch.num_rows:
+                continue
+            c = [batch.column(k).to_numpy() for k in ("hub", "i", "j")]
+            same = np.logical_and.reduce([x == x[-1] for x in c])
+            start = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if start or (held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in ("hub", "i", "j"))):
+                yield pairs([*held, batch.slice(0, start)] if start else held)
+                held = []
+            held.append(batch.slice(start))
+        if held:
+            yield pairs(held)
+
+    return (units.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+            .mapInArrow(run, "u long, v long, shared long, needed long")
+            .groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))   # over all hubs
+            .where("shared >= needed").select("u", "v"))
+
+
+def _need(n: Column, percent: int) -> Column:
+    return F.ceil(n * F.lit(percent) / F.lit(100) - F.lit(1e-9)).cast("long")
 
 
 def linked_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -246,44 +356,35 @@ def linked_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PE
     rows = scan.where("node IS NOT NULL").select("doc_id", "n", "node", "check")
     frequent = frequent_tokens(scan.where("token IS NOT NULL").select("token", "count"))
 
-    def prefix_need(n: Column) -> Column:
-        return F.ceil(n * F.lit(percent) / F.lit(100) - F.lit(1e-9)).cast("long")
-
     entries = postings(docs, frequent, k, percent)
     repeated = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     lists = materialise(entries.join(repeated, "token", "left_semi").distinct(), "lists")
-    # budget of every node: shared prefix tokens + tokens after the prefix bound any overlap, hence the partner's size
-    prefix = F.least(F.col("n"), F.col("n") - prefix_need(F.col("n")) + F.col("l"))
     lists_two = lists.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     live = lists.join(lists_two, "token", "left_semi")
+    # budget of every node: shared prefix tokens + tokens after the prefix bound the overlap, hence the partner's size
+    prefix = F.least(F.col("n"), F.col("n") - _need(F.col("n"), percent) + F.col("l"))
     budget = live.groupBy("node").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("l").alias("l")).select(
         "node", (F.floor((F.col("shared") + F.col("n") - prefix) * F.lit(100 + percent) / F.lit(percent) + F.lit(1e-9))
                  - F.col("n")).cast("long").alias("most"))
-    live = materialise(live.join(budget, "node").where(F.col("most") >= prefix_need(F.col("n"))), "lists")
+    live = materialise(live.join(budget, "node"), "lists")
 
-    sets, links = _Sets(docs, rows, k), None
+    sets, links, tried = _Sets(docs, rows, k), None, None
     label = live.select("node").distinct().withColumn("component", F.col("node"))
     for _ in range(STAR_ROUNDS):
         live = _prune(live, label)
-        central = F.struct("share", "node", "n", "most", "component")
-        # the most central node of a list, and the most central one outside its component
-        best = live.groupBy("token").agg(F.max(central).alias("hub"))
-        with_hub = live.join(best, "token")
-        other = (with_hub.where(F.col("component") != F.col("hub.component"))
-                 .select(F.col("node").alias("u"), F.col("hub.node").alias("v"), F.col("n").alias("nu"),
-                         F.col("hub.n").alias("nv"), F.col("most").alias("mu"), F.col("hub.most").alias("mv")))
-        found = _verified(other.where(_in_budget("nu", "nv", "mu", "mv")).select("u", "v").distinct(), sets, percent)
-        links = found if links is None else links.union(found)
-        label = _labels(live, label, links)
-    live = _prune(live, label)
-    a, b = live.alias("a"), live.alias("b")
-    shared_in_prefix = (a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node"))
-                               & (F.col("a.component") != F.col("b.component"))
-                               & (F.col("a.n") <= F.col("b.most")) & (F.col("b.n") <= F.col("a.most")))
-                        .groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-                        .agg(F.count("*").alias("c"), F.max(F.least("a.l", "b.l")).alias("l")))
-    rest = _verified(shared_in_prefix.where(F.col("c") >= F.col("l")).select("u", "v"), sets, percent)
-    label = _labels(live, label, links.union(rest)).where(F.col("node") != F.col("component"))
+        hubs = live.groupBy("token").agg(F.max(F.struct("share", "node", "n", "l", "most", "last", "component")).alias("hub"))
+        to_hub = live.withColumn("own", F.struct("node", "n", "l", "most", "last")).join(hubs, "token").where(
+            (F.col("component") != F.col("hub.component")) & _in_budget("own", "hub", percent))
+        # verified where the lists led by the hub alone hold enough; other links are left to the exact count below
+        likely = (to_hub.groupBy(F.col("node").alias("u"), F.col("hub.node").alias("v"))
+                  .agg(F.count("*").alias("c"), F.max(_needed("own", "hub", percent)).alias("needed")).where("c >= needed"))
+        likely = materialise(likely.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "likely")
+        found = _verified(likely, sets, percent)
+        links, tried = (found, likely) if links is None else (links.union(found), tried.union(likely))
+        label = _labels(label, links)
+    open_pairs = remaining_pairs(_prune(live, label), percent).join(tried, ["u", "v"], "left_anti")
+    rest = _verified(open_pairs, sets, percent)
+    label = _labels(label, links.union(rest)).where(F.col("node") != F.col("component"))
 
     sizes = rows.groupBy("node").agg(F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n").alias("n0"),
                                      F.max("n").alias("n1"), F.min("doc_id").alias("first_id"))
@@ -303,10 +404,10 @@ def _prune(live: DataFrame, label: DataFrame) -> DataFrame:
     now = live.drop("component").join(label, "node")
     span = now.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"),
                                     F.min("n").alias("least_n"), F.max("most").alias("most_n")).where("c0 <> c1")
-    return materialise(now.join(span, "token").where("least_n <= most AND n <= most_n").select(*now.columns), "lists")
+    return materialise(now.join(span, "token").where("least_n <= most OR n <= most_n").select(*now.columns), "lists")
 
 
-def _labels(live: DataFrame, label: DataFrame, links: DataFrame) -> DataFrame:
+def _labels(label: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) after the links so far; nodes without a link are their own component."""
     found = components(links)
     return materialise(label.select("node").join(found, "node", "left")

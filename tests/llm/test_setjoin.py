@@ -69,8 +69,21 @@ def test_prefixes_of_linked_sets_share_enough():
         token = np.array(sorted(a) + sorted(b), dtype=np.uint64)
         size = np.array([len(a), len(b)])
         frequent = (np.array(sorted(rng.sample(range(1000), 50)), dtype=np.uint64), np.array([rng.randint(2, 10**6) for _ in range(50)]))
-        t, owner, matches, _ = setjoin.prefixes(token, size, frequent, 85)
-        assert len(set(t[owner == 0].tolist()) & set(t[owner == 1].tolist())) >= min(matches)
+        t, owner, matches, _, last = setjoin.prefixes(token, size, frequent, 85)
+        shared = len(set(t[owner == 0].tolist()) & set(t[owner == 1].tolist()))
+        assert shared >= min(matches)
+        # of the set whose prefix ends earlier: shared prefix tokens and what follows the prefix bound the overlap
+        early = [i for i in (0, 1) if last[i] == last.min()]
+        assert any(len(set(a) & set(b)) <= shared + size[i] - (owner == i).sum() for i in early)
+
+
+def test_hubs_with_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "BLOCK_NODES", 5)
+    monkeypatch.setattr(setjoin, "STAR_ROUNDS", 1)
+    rows = documents(7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.linked_components(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent=70).collect()}
+    assert got == brute(rows, percent=70)
 
 
 def test_repeated_rows_null_ids_and_keep_one(spark):
