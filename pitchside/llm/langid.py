@@ -18,10 +18,11 @@ Symbols are lower-cased letters seen in the training sample, one symbol for any
 other letter, and one for every run of other characters.
 
 Training bound: per language the ``DOCS_PER_LANG`` labelled documents with the
-smallest hash (text identity decides ties; copies count once), cut at
-``SYMBOLS_PER_LANG`` symbols in total.  The sample is found with one count per
-language and one hash threshold, so at most about twice that many rows reach the
-driver.  Everything else covers all rows and whole texts.
+smallest hash (copies count once), cut at ``SYMBOLS_PER_LANG`` symbols in total; a
+language with fewer distinct texts gives all of them.  The sample is found with one
+count of distinct texts per language and one hash threshold (widened for a language
+that falls short), so about twice that many rows reach the driver.  Everything else
+covers all rows and whole texts.
 
 Defined cases: texts that are null, empty or without letters get ``und`` and score
 0; ties go to the alphabetically first language; without training rows every text
@@ -204,22 +205,27 @@ def _squeeze(folded: np.ndarray) -> np.ndarray:
 
 
 def training_sample(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> dict[str, list[str]]:
-    """At most ``docs_per_lang`` texts per language, those with the smallest hash of the text."""
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return {}
-    # twice the expected share of the hash range; a language with few rows sends them all
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * docs_per_lang / n))).otherwise(share)
-    key = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = (usable.withColumn("key", key).where(F.col("key") <= share).dropDuplicates(["lang", "key"])
-            .orderBy("key").limit(2 * docs_per_lang * len(counts) + 16).collect())
+    """``docs_per_lang`` texts per language, those with the smallest hash of the text; all where a language has fewer."""
+    usable = (labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+              .select("lang", "text", F.xxhash64("text").alias("hash")))
+    # copies fall in or out of the sample together, so the texts are counted without them
+    counts = {r.lang: r.n for r in usable.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     out: dict[str, list[str]] = {lang: [] for lang in sorted(counts)}
-    for r in rows:
-        if len(out[r.lang]) < docs_per_lang:
-            out[r.lang].append(r.text)
+    place = F.pmod("hash", F.lit(1 << 30))
+    expected, short = 2.0 * docs_per_lang, list(out)
+    while short:
+        # twice the expected share of the hash range; a language with few texts sends them all
+        share = F.lit(0.0)
+        for lang in short:
+            share = F.when(F.col("lang") == lang, F.lit(min(1.0, expected / counts[lang]))).otherwise(share)
+        rows = (usable.where(F.col("lang").isin(short)).withColumn("place", place)
+                .where(F.col("place") / F.lit(float(1 << 30)) <= share).dropDuplicates(["lang", "hash"]).collect())
+        for lang in short:
+            mine = sorted((r for r in rows if r.lang == lang), key=lambda r: (r.place, r.hash))
+            out[lang] = [r.text for r in mine[:docs_per_lang]]
+        # next to never: fewer than half of the expected texts lie below the threshold
+        short = [lang for lang in short if len(out[lang]) < min(docs_per_lang, counts[lang])]
+        expected *= 2
     return out
 
 

@@ -61,3 +61,17 @@ def test_blocks_do_not_depend_on_the_batch(spark):
     whole, _ = model.entropies(texts)
     for t, row in zip(texts, whole):
         assert np.allclose(model.entropies([t])[0][0], row)
+
+
+def test_copies_do_not_thin_the_sample(spark):
+    copies = [("xx", "una gata y un perro")] * 4000
+    others = [("xx", f"la casa {j} y el perro") for j in range(20)] + [("en", f"the dog {j} and the cat") for j in range(200)]
+    labelled = spark.createDataFrame(copies + others + [("yy", "seul"), (None, "the dog"), ("en", None)], "lang string, text string")
+    sample = langid.training_sample(labelled.repartition(5))
+    assert {lang: len(texts) for lang, texts in sample.items()} == {"en": 32, "xx": 21, "yy": 1}
+    assert all(len(set(texts)) == len(texts) for texts in sample.values())
+    assert sample == langid.training_sample(labelled.coalesce(1))
+    model = langid.train(labelled)
+    assert model.langs == ["en", "xx", "yy"]
+    told = langid.predict(spark.createDataFrame([("un perro y la casa",)], "text string"), model)
+    assert told.first().lang_pred == "xx"
