@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
-1. ``language``: documents without letters, or that no learned language explains, go;
+1. ``language``: documents without letters go, and those of at least ``LEAST_SYMBOLS`` symbols that no learned language
+   explains;
 2. ``near_duplicates``: of every group linked by word-shingle similarity (five words, 0.8) one document stays;
 3. ``repeated_passages``: byte strings of at least 200 bytes that occurred earlier are cut, the first copy stays;
 4. ``benchmark``: documents that hold a benchmark item go;
@@ -23,6 +24,9 @@ from pitchside.sources.tables import read_table
 # Bits per symbol under the best language above which a text counts as no language; texts of the learned languages, also
 # mixed ones, need 2 to 4.5 bits, random letters about 7.
 MOST_BITS = 6.0
+# The last phrase of a text is cut short by its end and costs up to log2(training symbols), 15 bits; only from this many
+# symbols (letters, and runs of others as one) on is that little beside MOST_BITS.  Shorter texts with letters stay.
+LEAST_SYMBOLS = 100
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
 
@@ -30,7 +34,9 @@ SIMILARITY_PERCENT = 80
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
     told = langid.predict(docs, model)
-    keep = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("bits_per_symbol") <= MOST_BITS)
+    symbols = F.length(F.regexp_replace("text", r"\P{L}+", " "))
+    explained = (F.col("bits_per_symbol") <= MOST_BITS) | (symbols < LEAST_SYMBOLS)
+    keep = (F.col("lang_pred") != langid.UNDETERMINED) & explained
     return told.where(keep).select(*docs.columns)
 
 

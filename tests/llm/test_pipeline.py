@@ -98,3 +98,18 @@ def test_stages_keep_columns_and_stand_empty_tables(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, frame, sf_dir).columns == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).collect() == []
+
+
+def test_short_clean_documents_pass_the_language_stage(spark, tmp_path):
+    rng = random.Random(8)
+    words = [f"{a}{b}ing" for a in "abcdefghijklmnoprstw" for b in ("a", "e", "o", "and")]
+    rows = [(4 * j, " ".join(rng.choice(words) for _ in range(300)), "en", "s", 0) for j in range(40)]
+    short = ["A.", "is", "Hi!", "OK 12", "http 404", "Was orer.", "4734663219866878 $$$ token"]
+    junk = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400))
+    rows += [(1000 + j, t, None, "s", 0) for j, t in enumerate([*short, junk, "12 !", "", None])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    _, _, bits = model.predict(short)
+    assert max(bits) > corpus_pipeline.MOST_BITS                   # the estimate alone would drop clean texts
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, f"file://{tmp_path}").collect()}
+    assert kept == {r[0] for r in rows[:40 + len(short)]}
