@@ -13,9 +13,9 @@ Two readings: ``keep_first=True`` removes later copies and keeps the first;
 judged on the input.
 
 Defined cases: a null text is empty; texts shorter than a window lose nothing; rows
-that share a ``doc_id`` and their text get the same result (with different texts, the
-spans of both apply to both, by position); null ids sort last and count as one id;
-an empty table gives an empty result; :func:`dedup` keeps further columns.
+that share a ``doc_id`` and their text get the same result, as one place; different texts
+under one id are different documents, ordered by a hash of the text; null ids sort last
+and are told apart by their texts alone; an empty table gives an empty result; :func:`dedup` keeps further columns.
 """
 
 from __future__ import annotations
@@ -135,7 +135,7 @@ def matcher(width: int):
 
 
 def repeated_bytes(docs: DataFrame, width: int = WIDTH, keep_first: bool = True) -> DataFrame:
-    """(__doc, __spans): byte spans to remove, for the documents (:func:`superkmers.keyed`) that have any."""
+    """(__doc, __text_key, __spans): byte spans to remove, for the documents (:func:`superkmers.keyed`) that have any."""
     return repeated_spans(docs, byte_items, width, KMER, matcher(width), keep_first)
 
 
@@ -181,7 +181,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, keep_first: bool = True) -> DataF
             spans = batch.column("__spans").to_pylist()
             keep = np.ones(len(texts), dtype=bool)
             for j, s in enumerate(spans):
-                if s:
+                if s and texts[j] is not None:
                     raw = np.frombuffer(texts[j].encode(), dtype=np.uint8)
                     gone = covered(*united(s), len(raw))
                     char = np.cumsum((raw & 0xC0) != 0x80) - 1          # character of every byte
@@ -193,7 +193,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, keep_first: bool = True) -> DataF
                 if n == "text":
                     out.append(pa.array(texts, pa.string()))
                 elif n == "n_chars":
-                    changed = pa.array([len(t) if s else None for t, s in zip(texts, spans)], pa.int64())
+                    changed = pa.array([len(t) if s and t is not None else None for t, s in zip(texts, spans)], pa.int64())
                     out.append(pc.coalesce(changed, batch.column(n).cast(pa.int64())).cast(batch.column(n).type))
                 else:
                     out.append(batch.column(n))

@@ -17,8 +17,10 @@ most one entry per distinct segment and batch, however often a passage occurs.
 Inside a bucket a minimiser whose entries are all one text is done by counting; only
 minimisers with different texts go to the operator's own window matcher.
 
-The documents are shuffled once: the exchange by id that brings the marks is used again
-when the spans found are applied.
+The documents are shuffled once: the exchange that brings the marks is used again when the
+spans found are applied.  A document is known by its id and a hash of its text, so spans
+never reach another text of the same id or another document without an id; places are
+ordered by id, then by that hash.
 """
 
 from __future__ import annotations
@@ -35,11 +37,13 @@ from pyspark.sql import functions as F
 from pitchside.llm.textops import merge_spans, ranges, run_starts, text_bytes, text_slices
 
 BATCH_BYTES = 1 << 20
+MATCH_BYTES = 2 << 20        # text a matcher gets at once, beyond the segments of one minimiser
 HELD_BATCHES = 24            # slices whose hashes or segments are collapsed and packed together
 LAST_ID = (1 << 63) - 1      # order of a null document id: after every other
-_FIELDS = (("doc", np.int64), ("start", np.int32), ("windows", np.int32), ("size", np.int32), ("anchor", np.uint64),
+KEYS = ["__doc", "__text_key"]
+_FIELDS = (("doc", np.int64), ("key", np.int64), ("start", np.int32), ("windows", np.int32), ("size", np.int32), ("anchor", np.uint64),
            ("copies", np.uint8))
-_DONE = (("done_doc", np.int64), ("done_start", np.int32), ("done_end", np.int32))
+_DONE = (("done_doc", np.int64), ("done_key", np.int64), ("done_start", np.int32), ("done_end", np.int32))
 
 
 @dataclass
@@ -115,7 +119,7 @@ class _Segments:
         self.same: list[np.ndarray] = []
         self.parts: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, ids: np.ndarray, items: Items, width: int, k: int, marked: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, keys: np.ndarray, items: Items, width: int, k: int, marked: np.ndarray) -> None:
         at, windows, anchor = runs(items, width, k)
         here = np.isin(anchor, marked)
         at, windows, anchor = at[here], windows[here], anchor[here]
@@ -123,18 +127,18 @@ class _Segments:
         data, seen = items.data, self.seen
         self.same.append(np.array([seen.setdefault(data[a:b], len(seen))
                                    for a, b in zip(*items.span(at, at + windows + width - 1))], dtype=np.int64))
-        self.parts.append((ids[owner], at - items.first[owner], windows, anchor))
+        self.parts.append((ids[owner], keys[owner], at - items.first[owner], windows, anchor))
 
     def rows(self, buckets: int, width: int, first_only: bool) -> Iterator[tuple[int, bytes]]:
         """(bucket, blob): one entry per distinct text, and the spans that are settled already."""
-        same, (doc, start, windows, anchor) = np.concatenate(self.same), map(np.concatenate, zip(*self.parts))
-        order = np.lexsort((start, doc, same))
-        same, doc, start, windows, anchor = same[order], doc[order], start[order], windows[order], anchor[order]
+        same, (doc, key, start, windows, anchor) = np.concatenate(self.same), map(np.concatenate, zip(*self.parts))
+        order = np.lexsort((start, key, doc, same))
+        same, doc, key, start, windows, anchor = (x[order] for x in (same, doc, key, start, windows, anchor))
         head = run_starts(same)                          # the earliest of every text travels
         copies = np.diff(np.append(head, len(same)))
         sent = np.zeros(len(same), dtype=bool)
         sent[head] = True
-        done = _elsewhere(head, same, doc, start) if first_only else copies[same] > 1
+        done = _elsewhere(head, same, doc, key, start) if first_only else copies[same] > 1
         bucket = _bucket(anchor, buckets)
         texts = list(self.seen)
         for b in np.unique(bucket):
@@ -142,15 +146,15 @@ class _Segments:
             s, d = np.flatnonzero(mine & sent), np.flatnonzero(mine & done)
             some = [texts[j] for j in same[s].tolist()]
             yield int(b), _pack(
-                {"doc": doc[s], "start": start[s], "windows": windows[s], "size": np.array([len(t) for t in some]),
-                 "anchor": anchor[s], "copies": np.minimum(copies[same[s]], 2), "done_doc": doc[d], "done_start": start[d],
-                 "done_end": start[d] + windows[d] + width - 1}, b"".join(some))
+                {"doc": doc[s], "key": key[s], "start": start[s], "windows": windows[s], "size": np.array([len(t) for t in some]),
+                 "anchor": anchor[s], "copies": np.minimum(copies[same[s]], 2), "done_doc": doc[d], "done_key": key[d],
+                 "done_start": start[d], "done_end": start[d] + windows[d] + width - 1}, b"".join(some))
 
 
-def _elsewhere(head: np.ndarray, same: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _elsewhere(head: np.ndarray, same: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Entries of a text that lie at another place than its first one (a repeated row lies at the same place)."""
     first = head[same]
-    return (doc != doc[first]) | (start != start[first])
+    return (doc != doc[first]) | (key != key[first]) | (start != start[first])
 
 
 # a matcher gets the distinct segments of a bucket that share minimisers with others, in the order of their first
@@ -159,16 +163,25 @@ def _elsewhere(head: np.ndarray, same: np.ndarray, doc: np.ndarray, start: np.nd
 Matcher = Callable[[list[bytes], np.ndarray, bool], np.ndarray]
 
 
+def _by_anchor(anchor: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Texts in portions of about ``MATCH_BYTES`` with whole minimisers (equal windows share theirs), in their order."""
+    order = np.argsort(anchor, kind="stable")
+    head = run_starts(anchor[order])
+    portion = ((np.cumsum(size[order]) - size[order])[head] // MATCH_BYTES).repeat(np.diff(np.append(head, len(order))))
+    for part in np.split(order, run_starts(portion)[1:]):
+        yield np.sort(part)
+
+
 def _solve(blobs: list[bytes], width: int, first_only: bool, match: Matcher):
-    """Spans (doc, start, end) of repeated windows of one bucket."""
+    """Spans (doc, text key, start, end) of repeated windows of one bucket."""
     parts, texts = zip(*[_unpack(b) for b in blobs])
     e = {n: np.concatenate([p[n] for p in parts]) for n, _ in _FIELDS + _DONE}
-    spans = [(e["done_doc"], e["done_start"].astype(np.int64), e["done_end"].astype(np.int64))]
+    spans = [(e["done_doc"], e["done_key"], e["done_start"].astype(np.int64), e["done_end"].astype(np.int64))]
     source = np.repeat(np.arange(len(parts)), [len(p["doc"]) for p in parts])
     offset = np.concatenate([np.cumsum(p["size"].astype(np.int64)) - p["size"] for p in parts])
     _, group, per_group = np.unique(e["anchor"], return_inverse=True, return_counts=True)
     shared = np.flatnonzero(per_group[group] > 1)
-    shared = shared[np.lexsort((e["start"][shared], e["doc"][shared]))]
+    shared = shared[np.lexsort((e["start"][shared], e["key"][shared], e["doc"][shared]))]
     seen: dict[bytes, int] = {}
     same = np.array([seen.setdefault(bytes(texts[source[j]][offset[j]:offset[j] + e["size"][j]]), len(seen))
                      for j in shared.tolist()], dtype=np.int64)
@@ -177,19 +190,22 @@ def _solve(blobs: list[bytes], width: int, first_only: bool, match: Matcher):
         head = np.full(len(distinct), -1, dtype=np.int64)
         head[same[::-1]] = np.arange(len(same))[::-1]            # first entry of every distinct text
         total = np.bincount(same, weights=e["copies"][shared]).astype(np.int64)
-        whole = _elsewhere(head, same, e["doc"][shared], e["start"][shared]) if first_only else (total[same] > 1) & (e["copies"][shared] < 2)
+        whole = (_elsewhere(head, same, e["doc"][shared], e["key"][shared], e["start"][shared]) if first_only
+                 else (total[same] > 1) & (e["copies"][shared] < 2))
         j = shared[whole]
-        spans.append((e["doc"][j], e["start"][j].astype(np.int64), e["start"][j].astype(np.int64) + e["windows"][j] + width - 1))
+        spans.append((e["doc"][j], e["key"][j], e["start"][j].astype(np.int64), e["start"][j].astype(np.int64) + e["windows"][j] + width - 1))
         # texts that share their minimiser with another text
         of_text = group[shared[head]]
         mixed = np.flatnonzero(np.bincount(of_text, minlength=len(per_group))[of_text] > 1)
         if len(mixed):
             windows = e["windows"][shared[head[mixed]]].astype(np.int64)
-            hit = match([distinct[m] for m in mixed], windows, first_only)
+            first = np.cumsum(windows) - windows
+            hit = np.empty(int(windows.sum()), dtype=bool)
+            for some in _by_anchor(of_text[mixed], np.array([len(distinct[m]) for m in mixed], dtype=np.int64)):
+                hit[ranges(first[some], windows[some])] = match([distinct[m] for m in mixed[some]], windows[some], first_only)
             # entries to answer: the first of each text; a text known to repeat as a whole is answered already
             entry = shared[head[mixed]]
             open_ = np.ones(len(mixed), dtype=bool) if first_only else (total[mixed] < 2)
-            first = np.cumsum(windows) - windows
             w_entry = np.repeat(np.arange(len(mixed)), windows)
             w_place = np.arange(len(hit)) - np.repeat(first, windows)
             ok = hit & open_[w_entry]
@@ -199,7 +215,7 @@ def _solve(blobs: list[bytes], width: int, first_only: bool, match: Matcher):
             at = np.flatnonzero(new)
             last = np.append(at[1:], len(w_entry))[:len(at)] - 1
             j = entry[w_entry[at]]
-            spans.append((e["doc"][j], e["start"][j] + w_place[at], e["start"][j] + w_place[last] + width))
+            spans.append((e["doc"][j], e["key"][j], e["start"][j] + w_place[at], e["start"][j] + w_place[last] + width))
     return [np.concatenate(x) for x in zip(*spans)]
 
 
@@ -207,44 +223,46 @@ class _Anchors:
     """Minimiser hashes of several batches of one task, one entry per hash."""
 
     def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, ids: np.ndarray, items: Items, width: int, k: int) -> None:
+    def add(self, ids: np.ndarray, keys: np.ndarray, items: Items, width: int, k: int) -> None:
         at, _, anchor = runs(items, width, k)
-        self.parts.append((anchor, ids[np.searchsorted(items.first, at, side="right") - 1]))
+        owner = np.searchsorted(items.first, at, side="right") - 1
+        self.parts.append((anchor, ids[owner], keys[owner]))
 
     def rows(self, buckets: int) -> Iterator[tuple[int, bytes]]:
         """(bucket, blob): hash, document and whether it repeats in the batch; and marks that are settled already."""
-        anchor, doc = map(np.concatenate, zip(*self.parts))
+        anchor, doc, key = map(np.concatenate, zip(*self.parts))
         order = np.argsort(anchor, kind="stable")
-        anchor, doc = anchor[order], doc[order]
+        anchor, doc, key = anchor[order], doc[order], key[order]
         head = run_starts(anchor)
         many = np.diff(np.append(head, len(anchor))) > 1
         of = np.repeat(many, np.diff(np.append(head, len(anchor))))
-        bucket, settled = _bucket(anchor[head], buckets), doc % buckets     # settled marks are only passed on: by document
+        bucket, settled = _bucket(anchor[head], buckets), (doc ^ key) % buckets   # settled marks are only passed on: by document
         for b in range(buckets):
             h = head[bucket == b]
             d = np.flatnonzero(of & (settled == b))
             if len(h) or len(d):
-                parts = (anchor[h], doc[h], many[bucket == b].astype(np.uint8), anchor[d], doc[d])
+                parts = (anchor[h], doc[h], key[h], many[bucket == b].astype(np.uint8), anchor[d], doc[d], key[d])
                 sizes = np.array([len(h), len(d)], dtype=np.int64).tobytes()
                 yield b, zstandard.compress(sizes + b"".join(p.tobytes() for p in parts), 1)
 
 
-def _marks(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of every minimiser of a bucket that occurs more than once."""
+def _marks(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, text key, hash) of every minimiser of a bucket that occurs more than once."""
     parts = []
     for blob in blobs:
         raw = zstandard.decompress(blob)
         n, d = np.frombuffer(raw, dtype=np.int64, count=2).tolist()
-        cut = np.cumsum([16, 8 * n, 8 * n, n, 8 * d]).tolist()
-        kinds = (np.uint64, np.int64, np.uint8, np.uint64, np.int64)
-        parts.append([np.frombuffer(raw, dtype=t, count=c, offset=o) for t, c, o in zip(kinds, (n, n, n, d, d), cut)])
-    anchor, doc, many, done_anchor, done_doc = map(np.concatenate, zip(*parts))
+        cut = np.cumsum([16, 8 * n, 8 * n, 8 * n, n, 8 * d, 8 * d]).tolist()
+        kinds = (np.uint64, np.int64, np.int64, np.uint8, np.uint64, np.int64, np.int64)
+        parts.append([np.frombuffer(raw, dtype=t, count=c, offset=o) for t, c, o in zip(kinds, (n, n, n, n, d, d, d), cut)])
+    anchor, doc, key, many, done_anchor, done_doc, done_key = map(np.concatenate, zip(*parts))
     _, group, count = np.unique(anchor, return_inverse=True, return_counts=True)
     repeated = np.bincount(group, weights=many, minlength=len(count)) + count > 1
     new = repeated[group] & (many == 0)
-    return np.concatenate([doc[new], done_doc]), np.concatenate([anchor[new], done_anchor])
+    return (np.concatenate([doc[new], done_doc]), np.concatenate([key[new], done_key]),
+            np.concatenate([anchor[new], done_anchor]))
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
@@ -258,10 +276,11 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
 
 def repeated_spans(docs: DataFrame, items_of: Callable[[list[bytes]], Items], width: int, k: int, match: Matcher,
                    first_only: bool) -> DataFrame:
-    """(__doc, __spans) of all documents with repeated windows, from ``docs`` as :func:`keyed` makes them: item spans.
+    """(__doc, __text_key, __spans) of all documents with repeated windows, from ``docs`` as :func:`keyed` makes them: item
+    spans.
 
-    ``first_only``: a window counts as repeated only where it occurs earlier (smaller id, or same document and
-    earlier start).
+    ``first_only``: a window counts as repeated only where it occurs earlier (smaller id, then text key, or same document
+    and earlier start).
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["bucket", "blob"]
@@ -274,8 +293,8 @@ def repeated_spans(docs: DataFrame, items_of: Callable[[list[bytes]], Items], wi
         held, n_held = new(), 0
         for batch in batches:
             for part in text_slices(batch, "text", BATCH_BYTES):
-                ids = part.column("__doc").to_numpy(zero_copy_only=False)
-                add(held, part, ids, items_of(list(text_bytes(part.column("text")))))
+                ids, keys = (part.column(n).to_numpy(zero_copy_only=False) for n in KEYS)
+                add(held, part, ids, keys, items_of(list(text_bytes(part.column("text")))))
                 n_held += 1
                 if n_held == HELD_BATCHES:
                     yield from flushed(held)
@@ -284,45 +303,46 @@ def repeated_spans(docs: DataFrame, items_of: Callable[[list[bytes]], Items], wi
             yield from flushed(held)
 
     def scatter_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return packed(batches, _Anchors, lambda held, part, ids, items: held.add(ids, items, width, k),
+        return packed(batches, _Anchors, lambda held, part, ids, keys, items: held.add(ids, keys, items, width, k),
                       lambda held: held.rows(buckets))
 
     def gather_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in _by_bucket(batches):
-            doc, anchor = _marks(blobs)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(anchor.view(np.int64))], ["__doc", "mark"])
+            doc, key, anchor = _marks(blobs)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(anchor.view(np.int64))], [*KEYS, "mark"])
 
     def scatter_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def add(held: _Segments, part: pa.RecordBatch, ids: np.ndarray, items: Items) -> None:
+        def add(held: _Segments, part: pa.RecordBatch, ids: np.ndarray, keys: np.ndarray, items: Items) -> None:
             marked = part.column("__marks").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            held.add(ids, items, width, k, np.unique(marked))
+            held.add(ids, keys, items, width, k, np.unique(marked))
 
         return packed(batches, _Segments, add, lambda held: held.rows(buckets, width, first_only))
 
     def gather_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in _by_bucket(batches):
-            doc, start, end = _solve(blobs, width, first_only, match)
+            doc, key, start, end = _solve(blobs, width, first_only, match)
             if len(doc):
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
-                                                 ["__doc", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(start, pa.int64()),
+                                                  pa.array(end, pa.int64())], [*KEYS, "start", "end"])
 
-    marks = (docs.select("__doc", "text").mapInArrow(scatter_anchors, "bucket int, blob binary")
-             .repartition(buckets, "bucket").mapInArrow(gather_anchors, "__doc long, mark long")
-             .groupBy("__doc").agg(F.collect_list("mark").alias("__marks")))
-    found = (docs.join(marks, "__doc").mapInArrow(scatter_segments, "bucket int, blob binary")
-             .repartition(buckets, "bucket").mapInArrow(gather_segments, "__doc long, start long, end long"))
-    return found.groupBy("__doc").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    marks = (docs.select(*KEYS, "text").mapInArrow(scatter_anchors, "bucket int, blob binary")
+             .repartition(buckets, "bucket").mapInArrow(gather_anchors, "__doc long, __text_key long, mark long")
+             .groupBy(*KEYS).agg(F.collect_list("mark").alias("__marks")))
+    found = (docs.join(marks, KEYS).mapInArrow(scatter_segments, "bucket int, blob binary")
+             .repartition(buckets, "bucket").mapInArrow(gather_segments, "__doc long, __text_key long, start long, end long"))
+    return found.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the document's place in the order of ids as ``__doc``."""
-    return docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
+    """``docs`` with the document's place in the order of ids as ``__doc`` and a hash of its text as ``__text_key``."""
+    return (docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
+            .withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit("")))))
 
 
 def with_spans(docs: DataFrame, spans: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``docs`` with the spans that ``spans`` finds in them as ``__spans`` (null where there are none)."""
     rows = keyed(docs)
-    return rows.join(spans(rows), "__doc", "left").drop("__doc")
+    return rows.join(spans(rows), KEYS, "left").drop(*KEYS)
 
 
 def united(spans) -> tuple[np.ndarray, np.ndarray]:

@@ -11,10 +11,10 @@ an earlier start) is repeated; every word under a repeated window goes.  Windows
 judged on the input.
 
 Defined cases: a null text has no words; texts shorter than a window lose nothing;
-rows that share a ``doc_id`` and their text are one place and get the same result
-(with different texts, the spans of both apply to both, by position); null ids sort
-last and count as one id; an empty table gives an empty result; further columns are
-dropped.
+rows that share a ``doc_id`` and their text are one place and get the same result;
+different texts under one id are different documents, ordered by a hash of the text; null
+ids sort last and are told apart by their texts alone; an empty table gives an empty
+result; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def matcher(width: int):
 
 
 def repeated_words(docs: DataFrame, width: int = WIDTH, keep_first: bool = True) -> DataFrame:
-    """(__doc, __spans): word spans to remove, for the documents (:func:`superkmers.keyed`) that have any."""
+    """(__doc, __text_key, __spans): word spans to remove, for the documents (:func:`superkmers.keyed`) that have any."""
     return repeated_spans(docs, word_items, width, KMER, matcher(width), keep_first)
 
 

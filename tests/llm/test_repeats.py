@@ -140,3 +140,34 @@ def test_words_of_repeated_rows_and_empty_tables(spark):
     got = sorted((r.doc_id or 9, r.n_removed) for r in window_dedup.removals(docs).collect())
     assert got == [(1, 0), (1, 0), (2, 60), (9, 60)]
     assert window_dedup.removals(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_spans_stay_with_their_text(spark, doc_id):
+    """Documents without an id, or different texts under one id: each loses its own repeats and nothing else."""
+    rng = random.Random(21)
+    letters = "".join(rng.choice("abcdefghijklm ") for _ in range(1200))
+    passage, clean, other = letters[:400], letters[400:800], letters[800:]
+    docs = spark.createDataFrame([(1, passage), (doc_id, passage + "?" + other), (doc_id, clean), (doc_id, None)],
+                                 "doc_id long, text string").repartition(2)
+    assert sorted(r.text or "" for r in suffix_dedup.dedup(docs).collect()) == sorted([passage, "?" + other, clean, ""])
+    got = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.removals(docs, keep_first=False).collect())
+    assert got == [(0, 0), (400, 0), (400, 400), (801, 400)]
+
+    words = [f"w{j}" for j in range(90)]
+    a, b, c = (" ".join(words[i:i + 30]) for i in (0, 30, 60))
+    docs = spark.createDataFrame([(1, a), (doc_id, f"{a} {b}"), (doc_id, c)], "doc_id long, text string")
+    assert sorted(r.kept for r in window_dedup.removals(docs).collect()) == sorted([a, b, c])
+    # the same passage at the same offset of two such documents is at two places: one of them goes
+    docs = spark.createDataFrame([(doc_id, f"{a} {b}"), (doc_id, f"{a} {c}")], "doc_id long, text string")
+    assert sorted(r.n_removed for r in window_dedup.removals(docs).collect()) == [0, 30]
+
+
+def test_matchers_get_whole_minimisers_in_portions(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    anchor, size = rng.integers(0, 30, 400), rng.integers(200, 400, 400)
+    monkeypatch.setattr(superkmers, "MATCH_BYTES", 5000)
+    parts = list(superkmers._by_anchor(anchor, size))
+    assert sorted(np.concatenate(parts).tolist()) == list(range(400)) and len(parts) > 5
+    assert sum(len(set(anchor[p])) for p in parts) == len(set(anchor))
+    assert all((np.diff(p) > 0).all() for p in parts)
