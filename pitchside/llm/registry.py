@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm import decontam, html_main, langid, packing, quality, setjoin, suffix_dedup, toxicity, warc, window_dedup
+from pitchside.llm import (decontam, divergence, hard_negatives, html_main, langid, line_dedup, packing, quality, setjoin, suffix_dedup,
+                           toxicity, warc, window_dedup)
 from pitchside.llm.textops import shared_folder
 from pitchside.sources.tables import read_table
 
@@ -68,6 +69,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removals(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language": op2_language,
@@ -79,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_window_dedup": op8_window_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -86,6 +103,9 @@ ORACLES: dict[str, str] = {
     "op4_jaccard_join": setjoin.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
     "op10_decontamination": decontam.ORACLE_SQL,
+    "op11_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op13_source_divergence": divergence.ORACLE_SQL,
 }
 
 
