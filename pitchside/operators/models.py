@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -64,20 +64,29 @@ def balanced_weights(df: DataFrame, label: str, weight: str = "w") -> DataFrame:
     return df.join(F.broadcast(table), label)
 
 
+FOREST_MEMORY_MB = 1024      # node statistics of one pass: a level of all trees goes in one
+LOGIT_TOLERANCE = 1e-9       # of the loss: the fit ends where the gradient vanishes, not where it gets small
+
+
+def logit_reg(n_rows: int, c: float = C.LOGIT_C) -> float:
+    """sklearn's C·Σ w·loss + ½‖β‖² equals Spark's mean loss + λ/2‖β‖² with λ = 1/(C·Σw); balanced Σw = n."""
+    return 1.0 / (c * max(n_rows, 1))
+
+
 def market_pipelines(cols, label: str, n_rows: int, num_trees: int = C.FOREST_PARAMS["num_trees"],
-                     seed: int = C.SEED) -> tuple[Pipeline, Pipeline]:
+                     seed: int = C.SEED, recipe: dict | None = None) -> tuple[Pipeline, Pipeline]:
     """L-01 / L-02: the two members of the soft vote as Spark ML pipelines."""
+    r = {**C.FOREST_PARAMS, "logit_c": C.LOGIT_C, "logit_max_iter": C.LOGIT_MAX_ITER, **(recipe or {})}
     assemble = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep")
     forest = RandomForestClassifier(
         labelCol=label, featuresCol="features", weightCol="w", numTrees=num_trees,
-        maxDepth=C.FOREST_PARAMS["max_depth"], minInstancesPerNode=C.FOREST_PARAMS["min_leaf"],
+        maxDepth=r["max_depth"], minInstancesPerNode=r["min_leaf"], maxMemoryInMB=FOREST_MEMORY_MB, cacheNodeIds=True,
         featureSubsetStrategy="sqrt", seed=seed, probabilityCol="rf_prob",
         rawPredictionCol="rf_raw", predictionCol="rf_pred")
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-    # sklearn's C·Σ w·loss + ½‖β‖² equals Spark's mean loss + λ/2‖β‖² with λ = 1/(C·Σw); balanced Σw = n
     logit = LogisticRegression(
-        labelCol=label, featuresCol="scaled", weightCol="w", regParam=1.0 / (C.LOGIT_C * max(n_rows, 1)),
-        elasticNetParam=0.0, standardization=False, maxIter=C.LOGIT_MAX_ITER,
+        labelCol=label, featuresCol="scaled", weightCol="w", regParam=logit_reg(n_rows, r["logit_c"]),
+        elasticNetParam=0.0, standardization=False, maxIter=r["logit_max_iter"], tol=LOGIT_TOLERANCE,
         probabilityCol="lr_prob", rawPredictionCol="lr_raw", predictionCol="lr_pred")
     return Pipeline(stages=[assemble, forest]), Pipeline(stages=[assemble, scaler, logit])
 
@@ -88,13 +97,16 @@ class SoftVote:
     def __init__(self, forest: PipelineModel, logit: PipelineModel, n_classes: int):
         self.forest, self.logit, self.n_classes = forest, logit, n_classes
 
-    def transform(self, df: DataFrame, prefix: str = "p") -> DataFrame:
+    def transform(self, df: DataFrame, prefix: str = "p", keep_votes: bool = False) -> DataFrame:
+        """Class probabilities ``<prefix>0..``; with ``keep_votes`` also both members' as arrays."""
         a = self.forest.transform(df).drop("features", "rf_raw", "rf_pred")
         both = self.logit.transform(a).drop("features", "scaled", "lr_raw", "lr_pred")
         rf, lr = vector_to_array("rf_prob"), vector_to_array("lr_prob")
         # a class absent from the training labels has no slot in the vectors: probability 0
         cls = lambda v, k: F.coalesce(F.get(v, k), F.lit(0.0))
         out = both.withColumns({f"{prefix}{k}": (cls(rf, k) + cls(lr, k)) / 2 for k in range(self.n_classes)})
+        if keep_votes:
+            out = out.withColumns({"rf_votes": rf, "lr_votes": lr})
         return out.drop("rf_prob", "lr_prob")
 
     def save(self, path: str) -> None:
@@ -154,9 +166,9 @@ def out_of_fold(x: DataFrame, cols, market: str, folds: DataFrame, k: int = C.CV
     return out
 
 
-def cv_accuracy(oof: DataFrame, market: str) -> DataFrame:
+def cv_accuracy(oof: DataFrame, market: str, label: str | None = None) -> DataFrame:
     """L-06: per-fold accuracy of the out-of-fold predictions (argmax class)."""
-    label = MARKETS[market]
+    label = label or MARKETS[market]
     n = N_CLASSES[market]
     probs = F.array(*[F.col(f"p{k}") for k in range(n)])
     pred = F.array_position(probs, F.array_max(probs)) - 1
@@ -203,43 +215,13 @@ SUMMARY = "market string, n_rows long, n_features int, cv_mean double, cv_std do
 
 def train_markets(train: DataFrame, path: str, num_trees: int = C.FOREST_PARAMS["num_trees"], k: int = C.CV_FOLDS,
                   min_rows: int = C.MIN_TRAIN_ROWS) -> DataFrame:
-    """L-04 / F-09: cross-validate and fit the three markets on a training set and save everything under ``path``.
+    """L-04 / F-09: cross-validate and fit the three markets on a training set; the parts go to the registry ``path``.
 
     Returns one row per market; with fewer than ``min_rows`` rows nothing is trained and the result is empty.
-    Saved: the model pairs, the feature table, ``oof/<market>`` (the out-of-fold predictions, scored once) and
-    ``summary``.
     """
-    from concurrent.futures import ThreadPoolExecutor
+    from .model_registry import ModelRegistry
 
-    from .features import feature_columns
-    from .metrics import stratified_folds
-
-    spark = train.sparkSession
-    cols = feature_columns(train)
-    medians = medians_row(train, cols)
-    x = prepare_training(train, cols, medians)
-    n = x.count()
-    if n < min_rows:
-        return spark.createDataFrame([], SUMMARY)
-
-    def one(item):
-        market, label = item
-        folds = stratified_folds(x.select("match_id", label), "match_id", label, k).select("match_id", "fold")
-        out_of_fold(x, cols, market, folds, k, num_trees).write.mode("overwrite").parquet(f"{path}/oof/{market}")
-        row = cv_accuracy(spark.read.parquet(f"{path}/oof/{market}"), market).agg(
-            F.lit(market).alias("market"), F.lit(n).cast("long").alias("n_rows"), F.lit(len(cols)).alias("n_features"),
-            F.avg("accuracy").alias("cv_mean"), F.stddev_pop("accuracy").alias("cv_std"))
-        return market, fit_market(x, cols, market, num_trees, n_rows=n), row
-
-    with ThreadPoolExecutor(max_workers=len(MARKETS)) as pool:       # independent Spark jobs
-        done = list(pool.map(one, MARKETS.items()))
-    models = {market: model for market, model, _ in done}
-    summary = done[0][2]
-    for _, _, row in done[1:]:
-        summary = summary.unionByName(row)
-    save_model_store(spark, path, models, cols, medians)
-    summary.write.mode("overwrite").parquet(f"{path}/summary")
-    return spark.read.parquet(f"{path}/summary")
+    return ModelRegistry(train, path, min_rows=min_rows, num_trees=num_trees, folds=k).summary()
 
 
 def evaluate(preds: DataFrame) -> DataFrame:
@@ -255,6 +237,148 @@ def evaluate(preds: DataFrame) -> DataFrame:
         F.concat(F.lit("tier_"), F.format_string("%.2f", "tier"), F.lit("_accuracy")).alias("metric"), F.col("accuracy").alias("value")))
 
 
+def node_table(spark, forest_path: str) -> DataFrame:
+    """The nodes of a saved forest: tree, id, left, right (-1 in leaves), feature, threshold, gain, impurity, prediction,
+    class weights and rows."""
+    stage = [r for r in sorted(_names(spark, f"{forest_path}/stages")) if "RandomForest" in r][0]
+    n = F.col("nodeData")
+    return spark.read.parquet(f"{forest_path}/stages/{stage}/data").select(
+        F.col("treeID").alias("tree"), n["id"].alias("id"), n["leftChild"].alias("left"), n["rightChild"].alias("right"),
+        n["split"]["featureIndex"].alias("feature"), F.get(n["split"]["leftCategoriesOrThreshold"], 0).alias("threshold"),
+        n["gain"].alias("gain"), n["impurity"].alias("impurity"), n["prediction"].alias("prediction"),
+        n["impurityStats"].alias("weights"), n["rawCount"].alias("rows"))
+
+
+def _names(spark, path: str) -> list[str]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+
+
+NEAR = 1e-9                  # agreement of recomputed shares, gains and votes
+
+
+def _total(weights: Column) -> Column:
+    return F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
+
+
+def _gini(weights: Column) -> Column:
+    return 1 - F.aggregate(weights, F.lit(0.0), lambda a, x: a + x * x) / (_total(weights) * _total(weights))
+
+
+def audit_forest(nodes: DataFrame, ranges: DataFrame, max_depth: int = C.FOREST_PARAMS["max_depth"],
+                 min_leaf: int = C.FOREST_PARAMS["min_leaf"]) -> DataFrame:
+    """L-01 check, recomputed from the node table: one row per tree.
+
+    ``ranges`` has (feature, low, high) of the training columns by index.  ``is_split``: the tree has a split;
+    ``adds_up``: class weights and rows of every split are the sums of its children's, every node but the root has one
+    parent; ``gains_hold``: the impurity of every split is that of its class weights, its gain is positive and the difference it
+    should be; ``shares_hold``: each prediction is a class of greatest weight; ``leaves_hold``: no node has fewer than
+    ``min_leaf`` rows; ``inside``: each threshold lies inside the range of its feature; ``shallow``: no path is longer than
+    ``max_depth``.
+    """
+    splits = nodes.where("left >= 0")
+    child = nodes.select("tree", F.col("id").alias("child"), F.col("weights").alias("cw"), F.col("rows").alias("cr"))
+    left = child.select("tree", F.col("child").alias("left"), F.col("cw").alias("lw"), F.col("cr").alias("lr"))
+    right = child.select("tree", F.col("child").alias("right"), F.col("cw").alias("rw"), F.col("cr").alias("rr"))
+    joined = splits.join(left, ["tree", "left"]).join(right, ["tree", "right"]).join(ranges, "feature", "left")
+    total, lt, rt = _total(F.col("weights")), _total(F.col("lw")), _total(F.col("rw"))
+    sums = F.forall(F.arrays_zip("weights", "lw", "rw"), lambda z: F.abs(z["weights"] - z["lw"] - z["rw"]) <= NEAR * (1 + z["weights"]))
+    gain = _gini(F.col("weights")) - lt / total * _gini(F.col("lw")) - rt / total * _gini(F.col("rw"))
+    per_split = joined.groupBy("tree").agg(
+        F.count("*").alias("splits"),
+        F.bool_and(sums & (F.col("rows") == F.col("lr") + F.col("rr"))).alias("sums"),
+        F.bool_and((F.col("gain") > 0) & (F.abs(F.col("gain") - gain) <= NEAR)
+                   & (F.abs(F.col("impurity") - _gini(F.col("weights"))) <= NEAR)).alias("gains"),
+        F.bool_and(F.coalesce((F.col("threshold") >= F.col("low")) & (F.col("threshold") < F.col("high")), F.lit(False))).alias("inside"))
+    best = F.array_position("weights", F.array_max("weights")) - 1
+    tied = F.get("weights", F.col("prediction").cast("int")) == F.array_max("weights")
+    per_tree = nodes.groupBy("tree").agg(
+        F.count("*").alias("nodes"), F.count_if(F.col("left") >= 0).alias("declared"),
+        F.bool_and(tied).alias("shares"),
+        F.min("rows").alias("least"))
+    level, depths = nodes.where("id = 0").select("tree", "id", "left", "right"), None
+    for depth in range(max_depth + 1):                          # the levels of all trees at once
+        ended = level.groupBy("tree").agg(F.count("*").alias("n")).withColumn("depth", F.lit(depth))
+        depths = ended if depths is None else depths.unionByName(ended)
+        level = (level.where("left >= 0").select("tree", F.explode(F.array("left", "right")).alias("id"))
+                 .join(nodes.select("tree", "id", "left", "right"), ["tree", "id"]))
+    reached = depths.groupBy("tree").agg(F.sum("n").alias("reached"))
+    return per_tree.join(per_split, "tree", "left").join(reached, "tree", "left").select(
+        "tree", F.coalesce(F.col("splits") > 0, F.lit(False)).alias("is_split"),
+        F.coalesce(F.col("sums") & (F.col("splits") == F.col("declared")) & (F.col("nodes") == 2 * F.col("declared") + 1), F.lit(False)).alias("adds_up"),
+        F.coalesce("gains", F.lit(False)).alias("gains_hold"),
+        F.col("shares").alias("shares_hold"), (F.col("least") >= min_leaf).alias("leaves_hold"),
+        F.coalesce("inside", F.lit(False)).alias("inside"), F.coalesce(F.col("reached") == F.col("nodes"), F.lit(False)).alias("shallow"))
+
+
+def column_ranges(x: DataFrame, cols) -> DataFrame:
+    """(feature index, low, high) of the training columns."""
+    wide = x.agg(*[F.struct(F.lit(i).alias("feature"), F.min(c).alias("low"), F.max(c).alias("high")).alias(f"r{i}") for i, c in enumerate(cols)])
+    return wide.select(F.inline(F.array(*[f"r{i}" for i in range(len(cols))])))
+
+
+def forest_importances(nodes: DataFrame, cols) -> DataFrame:
+    """L-10 recomputed from the node table: (feature, importance), the mean over trees of normalised gain x weight."""
+    total = _total(F.col("weights"))
+    per = nodes.where("left >= 0").groupBy("tree", "feature").agg(F.sum(F.col("gain") * total).alias("g"))
+    tree = per.groupBy("tree").agg(F.sum("g").alias("t"))
+    share = per.join(tree, "tree").groupBy("feature").agg(F.sum(F.col("g") / F.col("t")).alias("s"))
+    whole = share.agg(F.sum("s").alias("all"))
+    names = nodes.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "feature int, name string")
+    return names.join(share, "feature", "left").crossJoin(whole).select(                                        # one row
+        F.col("name").alias("feature"), F.coalesce(F.col("s") / F.col("all"), F.lit(0.0)).alias("importance"))
+
+
+def logit_scores(coefficients: DataFrame) -> list:
+    """Linear scores of the saved coefficients as expressions over the feature columns, one per class vector."""
+    rows = coefficients.collect()                                                                               # model-sized
+    out = []
+    for k in sorted({r["class"] for r in rows}):
+        z = F.lit(next(float(r.coefficient) for r in rows if r["class"] == k and r.feature is None))
+        for r in rows:
+            if r["class"] == k and r.feature is not None and r.std:
+                z = z + F.lit(r.coefficient) * ((F.col(r.feature) - F.lit(r.mean)) / F.lit(r.std))
+        out.append(z)
+    return out
+
+
+def logit_votes(z: list) -> list:
+    """Class probabilities of linear scores: logistic for one, softmax for more."""
+    if len(z) == 1:
+        p = 1 / (1 + F.exp(-z[0]))
+        return [1 - p, p]
+    top = F.greatest(*z)
+    e = [F.exp(x - top) for x in z]
+    total = e[0]
+    for x in e[1:]:
+        total = total + x
+    return [x / total for x in e]
+
+
+def logit_gradient(rows: DataFrame, coefficients: DataFrame, reg: float) -> DataFrame:
+    """L-02 check: the gradient of the weighted penalised mean loss at the saved coefficients.
+
+    ``rows`` has ``label``, ``w`` and the features.  One row per class vector and parameter: class, feature (null: intercept)
+    and gradient, which is 0 at the optimum and nowhere else, as the loss is strictly convex.
+    """
+    table = coefficients.collect()                                                                              # model-sized
+    z = logit_scores(coefficients)
+    names = [f"__z{k}" for k in range(len(z))]
+    scored = rows.select("*", *[e.alias(n) for e, n in zip(z, names)])
+    votes = logit_votes([F.col(n) for n in names])
+    first = 1 if len(z) == 1 else 0                              # a binary model has the vector of class 1 only
+    residual = [F.col("w") * (votes[k + first] - (F.col("label") == k + first).cast("double")) for k in range(len(z))]
+    known = scored.select("w", *dict.fromkeys(r.feature for r in table if r.feature),
+                          *[e.alias(f"__r{k}") for k, e in enumerate(residual)])
+    parts, keys = [], []
+    for i, r in enumerate(table):
+        x = F.lit(1.0) if r.feature is None else (F.col(r.feature) - F.lit(r.mean)) / F.lit(r.std) if r.std else F.lit(0.0)
+        penalty = 0.0 if r.feature is None else reg * r.coefficient
+        parts.append((F.sum(F.col(f"__r{r['class']}") * x) / F.sum("w") + F.lit(penalty)).alias(f"g{i}"))
+        keys.append(F.struct(F.lit(r["class"]).alias("class"), F.lit(r.feature).cast("string").alias("feature"), F.col(f"g{i}").alias("gradient")))
+    return known.agg(*parts).select(F.inline(F.array(*keys)))
+
+
 def read_medians(spark, path: str) -> DataFrame:
     """The saved (feature, median) rows of a model store."""
     return spark.read.parquet(f"{path}/features").select("feature", "median").distinct()
@@ -263,7 +387,11 @@ def read_medians(spark, path: str) -> DataFrame:
 def score_from_store(spark, path: str, rows: DataFrame) -> DataFrame:
     """L-08: score ``rows`` with a saved model store; an empty result when a market's model is missing, and
     without a feature table the features of ``rows`` with 0.0 for missing values."""
-    models, table = load_model_store(spark, path)
+    return score_with(rows, *load_model_store(spark, path))
+
+
+def score_with(rows: DataFrame, models: dict[str, SoftVote], table: DataFrame | None) -> DataFrame:
+    """L-08 on loaded models and their feature table (see :func:`score_from_store`)."""
     lists = {mk: [] for mk in MARKETS}
     medians = None
     if table is not None:
