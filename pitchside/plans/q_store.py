@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import upsert as U
+from ..operators.season_store import SeasonStore
 from ..session import run_dir
 from ..sources import season_csv as SC
 from ..sources import store as S
@@ -154,6 +155,46 @@ SELECT -row_number() OVER (ORDER BY year(match_date), competition, match_date, m
 FROM m WHERE home_score IS NOT NULL AND away_score IS NOT NULL""")
 
 
+PLANTED_LEAGUE = "6-PLANTED"
+BROKEN_FILE = b"\x1f\x8b\x08\x00 no gzip stream"
+
+
+def plant_bad_files(spark, root: str, seasons: list[str], league: str) -> None:
+    """In every season a damaged and an empty file beside the good ones, and a file without score columns."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for season in seasons:
+        folder = f"{root}/season={season}/league={league}"
+        for name, content in (("broken.csv.gz", BROKEN_FILE), ("empty.csv", b""), ("other.csv", b"Date,HomeTeam\n01/01/2020,A\n")):
+            out = fs.create(hadoop.Path(f"{folder}/{name}"))
+            out.write(bytearray(content))
+            out.close()
+
+
+@query("season_file_audit")
+def q_season_file_audit(spark, sf_dir):
+    """S-01: what of the season tree is not read: a league expected in every season that has no file, and the damaged,
+    empty and scoreless files planted in every season of the matches."""
+    m = V.match_view(spark, sf_dir)
+    root = run_dir(spark, "season_audit", _slug(sf_dir))
+    V.write_season_csvs(m, root)
+    pairs = m.select(F.year("match_date").cast("string").alias("season"), F.col("competition").alias("league")).distinct()
+    seasons = [r.season for r in pairs.select("season").distinct().orderBy("season").collect()]       # one row per season
+    plant_bad_files(spark, root, seasons, pairs.agg(F.min("league")).first()[0])
+    path = F.format_string("season=%s/league=%s", "season", "league")
+    planted = pairs.select("season").distinct().select(F.format_string(f"season=%s/league={PLANTED_LEAGUE}", "season").alias("path"))
+    return SC.season_audit(spark, root, pairs.select(path.alias("path")).unionByName(planted)).select("path", "reason", "bytes")
+
+
+ORACLE["season_file_audit"] = with_m(f"""
+SELECT 'season=' || season || '/league=' || p.folder AS path, p.reason, p.bytes
+FROM (SELECT DISTINCT CAST(year(match_date) AS VARCHAR) AS season FROM m),
+  (SELECT min(competition) || '/broken.csv.gz' AS folder, 'unreadable' AS reason, {len(BROKEN_FILE)}::BIGINT AS bytes FROM m
+   UNION ALL SELECT min(competition) || '/empty.csv', 'empty', 0 FROM m
+   UNION ALL SELECT min(competition) || '/other.csv', 'no scores', 27 FROM m
+   UNION ALL SELECT '{PLANTED_LEAGUE}', 'missing', NULL) p""")
+
+
 # W-10 on the season files: the file columns under the names of the match view
 CSV_MATCHES = """
 csvm AS (
@@ -325,12 +366,14 @@ ORACLE["union_history_and_upsert"] = with_m("SELECT * FROM hist", *BATCH_CTES)
 
 @query("match_upsert")
 def q_match_upsert(spark, sf_dir):
-    base = run_dir(spark, "store", _slug(sf_dir))
+    """K-01 on the season store: the old rows as batch 0, the re-fetched ones as batch 1, which is then replayed."""
+    store = SeasonStore(spark, run_dir(spark, "store", _slug(sf_dir)))
     v1, batch = store_batches(spark, sf_dir)
-    U.write_version(v1, base, 1)
-    current = U.read_version(spark, base, 1)
-    U.write_version(U.upsert_matches(current, batch), base, 2)
-    return U.read_version(spark, base, 2)
+    store.init()
+    store.upsert(U.stamp(v1, 0), 0)
+    version = store.upsert(batch, 1)
+    assert store.upsert(batch, 1) == version       # a replayed batch is skipped
+    return store.read(version)
 
 
 ORACLE["match_upsert"] = with_m("""

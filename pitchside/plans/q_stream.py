@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import upsert as U
+from ..operators.season_store import SeasonStore
 from ..session import scratch_dir
 from ..streaming.upsert_stream import land_payloads, run_upsert_stream
 from . import views as V
@@ -34,8 +34,9 @@ def q_match_upsert_stream(spark, sf_dir):
     land_payloads(V.fixture_payloads(refetch).repartition(2), landing, "")
     # the odds snapshot is materialised once (reliable checkpoint), not re-derived per micro-batch
     snapshot = odds_snapshot(spark, sf_dir)
-    version = run_upsert_stream(spark, landing, store, ckpt, odds=snapshot, files_per_batch=2)
-    return U.read_version(spark, store, version)
+    # three micro-batches: the first two are compacted, the third is merged on reading
+    version = run_upsert_stream(spark, landing, store, ckpt, odds=snapshot, files_per_batch=2, compact_every=2)
+    return SeasonStore(spark, store).read(version)
 
 
 ORACLE["match_upsert_stream"] = ingest_sql("""

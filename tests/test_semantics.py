@@ -350,3 +350,57 @@ def test_undated_games_last_and_null_team_has_no_form(spark):
     assert f[9].h_roll_scored == 1.0                 # the undated 5-goal game is not before it
     assert f[0].h_roll_scored == 0.75                # it comes after all dated games: (1+1+1+0)/4
     assert all(f[20 + i].h_roll_scored is None for i in range(5))
+
+
+def test_season_files_in_many_splits_keep_gapless_ids(spark, tmp_path):
+    """Files cut into several input splits, with unplayed rows between: ids are the places among the kept rows."""
+    from pitchside.sources.season_csv import read_season_csv
+
+    lines = [f"L,{1 + i % 28:02d}/03/2024,H{i},A{i},{'' if i % 3 == 0 else i % 5},{i % 4}" for i in range(900)]
+    for k, folder in enumerate(("2324", "24[x]25")):
+        (tmp_path / folder).mkdir()
+        for j in range(2):
+            part = lines[450 * j:450 * (j + 1)]
+            header = "Div,Date,HomeTeam,AwayTeam,FTHG,FTAG" if j == 0 else "X,Div,Date,HomeTeam,AwayTeam,FTHG,FTAG"
+            text = "\n".join([header, *(x if j == 0 else "9," + x for x in part)])
+            (tmp_path / folder / f"f{j}.csv").write_text(text + "\n")
+    kept = [x.split(",")[2] for x in lines if x.split(",")[4]]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = sorted(read_season_csv(spark, str(tmp_path)).collect(), key=lambda r: -r.match_id)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.match_id for r in rows] == [-i for i in range(1, 2 * len(kept) + 1)]
+    assert [r.home_team for r in rows] == kept * 2 and [r.season for r in rows] == ["2324"] * len(kept) + ["24[x]25"] * len(kept)
+
+
+def test_season_scan_parses_only_known_columns(spark, tmp_path):
+    from pitchside.sources import season_csv as SC
+
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.csv").write_text("X1,Div,X2,Date,HomeTeam,AwayTeam,FTHG,FTAG,X3\n1,L,2,01/02/2024,A,B,1,0,9\n")
+    heads = SC.file_headers(spark, str(tmp_path))
+    sources = {"FTHG": "home_score", "FTAG": "away_score", "HomeTeam": "home_team"}
+    (places, files), = SC._layouts(heads, sources)
+    scan = SC.scan_layout(spark, files, dict(zip(sources.values(), places)))
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<c5:string,c7:string,c8:string>" in plan
+    assert [(r.home_score, r.away_score, r.home_team) for r in scan.collect()] == [(1.0, 0.0, "A")]
+
+
+def test_season_audit_names_what_is_not_read(spark, tmp_path):
+    from pitchside.sources.season_csv import read_season_csv, season_audit
+
+    (tmp_path / "2324").mkdir()
+    good = "Div,Date,HomeTeam,AwayTeam,FTHG,FTAG\nL,01/02/2024,A,B,1,0\n"
+    (tmp_path / "2324" / "E0.csv").write_text(good)
+    (tmp_path / "2324" / "D1.csv.gz").write_bytes(b"\x1f\x8b broken")
+    (tmp_path / "2324" / "I1.csv").write_bytes(b"")
+    (tmp_path / "2324" / "F1.csv").write_text("Date,HomeTeam\n")
+    expected = spark.createDataFrame([(p,) for p in ("2324/E0.csv", "2324/SP1.csv", "2425/", "2324")], "path string")
+    got = {(r.path, r.reason, r.bytes) for r in season_audit(spark, str(tmp_path), expected).collect()}
+    assert got == {("2324/D1.csv.gz", "unreadable", 9), ("2324/I1.csv", "empty", 0), ("2324/F1.csv", "no scores", 14),
+                   ("2324/SP1.csv", "missing", None), ("2425", "missing", None)}
+    assert [r.home_team for r in read_season_csv(spark, str(tmp_path)).collect()] == ["A"]
+    assert season_audit(spark, str(tmp_path)).count() == 3
