@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from ..functions.columns import nan_to_null
+from ..session import run_dir
 from .ranking import count_before, sequence_number
 
 DIGITS = 10        # whole-table float sums: rounded so partitioning cannot change the last bits
@@ -26,31 +29,105 @@ def over25_base_rate(scores: DataFrame, min_rows: int = C.MIN_BACKTEST_ROWS) ->
         "over25_pct", F.bround(F.col("over25_games") / F.col("total_games") * 100, DIGITS))
 
 
-MEDIAN_BANDS = 1024       # value bands per unit for the running counts of the medians
+MEDIAN_SKETCH = 1000         # size of the quantile sketches
+MEDIAN_ERROR = 2 * 2.3 / MEDIAN_SKETCH ** 0.9     # twice the rank error that a sketch of that size has almost surely
+MEDIAN_VALUES = 10_000       # values of a feature that are gathered to pick from
+
+
+@dataclass
+class _Ranks:
+    """Ranks of a column still searched among its ``size`` values strictly between ``low`` and ``high`` (None: open)."""
+    column: str
+    ranks: tuple[int, ...]
+    low: float | None
+    high: float | None
+    size: int
+
+    def values(self) -> Column:
+        v, inside = F.col(self.column), F.col(self.column).isNotNull()
+        if self.low is not None:
+            inside = inside & (v > self.low)
+        if self.high is not None:
+            inside = inside & (v < self.high)
+        return F.when(inside, v)
+
+
+def order_statistics(values: DataFrame, ranks: dict[str, Callable[[int], tuple[int, ...]]]) -> dict[str, list[float]]:
+    """Exact values at ranks of double columns; ``ranks`` gives the wanted 0-based ranks of a column from its number of values.
+
+    A mergeable quantile sketch brackets the ranks by two values of the column; one aggregate counts below, at and between
+    them and gathers what lies between, if that is at most ``MEDIAN_VALUES`` by the sketch's error.  A rank that hits a
+    bracket's end is that value, however often it occurs; one that lies outside (the sketch missed), or between ends too far
+    apart to gather, is searched on there.  Every aggregate is one row with partial steps: nothing is shuffled or sorted.
+    """
+    open_ = [_Ranks(c, (), None, None, -1) for c in ranks]
+    wanted: dict[str, tuple[int, ...]] = {}
+    found: dict[str, dict[int, float]] = {c: {} for c in ranks}      # by rank in the whole column
+    jobs = [(r, 0) for r in open_]                                    # with the number of values before the bracket
+    while jobs:
+        ends = []
+        for k, (r, _) in enumerate(jobs):
+            sketch = F.kll_sketch_agg_double(r.values(), F.lit(MEDIAN_SKETCH))
+            at = [0.5] if r.size < 0 else [(x + 0.5) / r.size for x in (min(r.ranks), max(r.ranks))]
+            near = [F.lit(min(max(q, 0.0), 1.0)) for q in (at[0] - MEDIAN_ERROR, at[-1] + MEDIAN_ERROR)]
+            n = F.count(r.values())
+            ends.append(F.struct(n.alias("n"), *[F.when(n > 0, F.kll_sketch_get_quantile_double(sketch, q)).alias(x)
+                                                 for q, x in zip(near, ("a", "b"))]).alias(f"e{k}"))
+        got = values.agg(*ends).first()
+        cuts, splits = [], []
+        for k, (r, before) in enumerate(jobs):
+            n, a, b = got[f"e{k}"]
+            if r.size < 0:
+                r = _Ranks(r.column, tuple(dict.fromkeys(ranks[r.column](n))) if n else (), None, None, n)
+                wanted[r.column] = r.ranks
+            if r.ranks:
+                v = r.values()
+                between = F.when((v > a) & (v < b), v)
+                few = 2 * MEDIAN_ERROR * r.size <= MEDIAN_VALUES or r.size <= MEDIAN_VALUES
+                splits.append(F.struct(F.count_if(v < a).alias("under"), F.count_if(v == a).alias("at_a"), F.count(between).alias("mid"),
+                                       F.count_if(v == b).alias("at_b"), (F.collect_list(between) if few else F.lit(None).cast("array<double>"))
+                                       .alias("list")).alias(f"s{len(cuts)}"))
+                cuts.append((r, before, a, b, few))
+        jobs = []
+        if not cuts:
+            break
+        got = values.agg(*splits).first()
+        for k, (r, before, a, b, few) in enumerate(cuts):
+            under, at_a, mid, at_b, listed = got[f"s{k}"]
+            at_b = 0 if a == b else at_b
+            listed = sorted(listed) if few else None
+            inner: dict[tuple, list[int]] = {}
+            for x in r.ranks:
+                if x < under:
+                    inner.setdefault((r.low, a, under, 0), []).append(x)
+                elif x < under + at_a:
+                    found[r.column][before + x] = a
+                elif x < under + at_a + mid:
+                    if few:
+                        found[r.column][before + x] = listed[x - under - at_a]
+                    else:
+                        inner.setdefault((a, b, mid, under + at_a), []).append(x - under - at_a)
+                elif x < under + at_a + mid + at_b:
+                    found[r.column][before + x] = b
+                else:
+                    skip = under + at_a + mid + at_b
+                    inner.setdefault((b, r.high, r.size - skip, skip), []).append(x - skip)
+            jobs += [(_Ranks(r.column, tuple(xs), low, high, size), before + skip) for (low, high, size, skip), xs in inner.items()]
+    return {c: [found[c][x] for x in wanted[c]] for c in ranks}
 
 
 def feature_medians(train: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """A-05: exact interpolated median per feature as ``(feature, median)`` rows.
+    """A-05: exact interpolated median per feature as ``(feature, median)`` rows; a feature without values has none.
 
-    Values are counted per (feature, value); running counts inside value bands plus
-    band offsets give each value its ranks, and the middle ranks are picked.  No task
-    holds all values of a feature.
+    The feature columns are stored once and searched by :func:`order_statistics`.
     """
-    long = train.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "feature", "v").where("v IS NOT NULL")
-    counts = long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("band", F.floor(F.col("v") * MEDIAN_BANDS))
-    inside = Window.partitionBy("feature", "band").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    bands = counts.groupBy("feature", "band").agg(F.sum("c").alias("bc"))
-    before = Window.partitionBy("feature").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bands.select("feature", "band", F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("off"))
-    total = bands.groupBy("feature").agg(F.sum("bc").alias("n"))
-    ranked = (counts.withColumn("inside", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(offsets, ["feature", "band"])
-              .withColumn("lo", F.col("off") + F.col("inside")).join(total, "feature"))
-
-    def holds(rank: Column) -> Column:
-        return F.max(F.when((F.col("lo") <= rank) & (rank < F.col("lo") + F.col("c")), F.col("v")))
-
-    return ranked.groupBy("feature").agg(
-        ((holds(F.floor((F.col("n") - 1) / 2)) + holds(F.floor(F.col("n") / 2))) / 2).alias("median"))
+    spark = train.sparkSession
+    path = run_dir(spark, "median_values")
+    train.select(*[nan_to_null(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)]).write.parquet(path)
+    middle = lambda n: ((n - 1) // 2, n // 2)
+    got = order_statistics(spark.read.parquet(path), {f"v{i}": middle for i in range(len(cols))})
+    rows = [(c, sum(got[f"v{i}"]) / len(got[f"v{i}"])) for i, c in enumerate(cols) if got[f"v{i}"]]        # one per feature
+    return spark.createDataFrame(rows, "feature string, median double")
 
 
 def target_base_rates(train: DataFrame) -> DataFrame:
