@@ -81,6 +81,17 @@ def slate_order() -> list[Column]:
     return [F.col("over_2_5_probability").desc(), F.col("match_id").asc()]
 
 
+PROBABILITY_BANDS = 1_000_000
+ID_SPAN = 1 << 16
+
+
+def slate_buckets() -> list[Column]:
+    """Buckets along :func:`slate_order` for :func:`sequence_number`: probability bands, the probabilities in a band, and
+    spans of match ids, so that equal probabilities are numbered in as many groups as their ids need."""
+    p = F.col("over_2_5_probability")
+    return [p.isNull(), F.floor((1 - p) * PROBABILITY_BANDS), -p, F.floor(F.col("match_id") / ID_SPAN)]
+
+
 def first_picks(picks: DataFrame, n: int, day: str = "match_date") -> DataFrame:
     """T-06: the first ``n`` picks per day in slate order (plans as a WindowGroupLimit,
     which keeps only ``n`` rows per day per task before the shuffle)."""
@@ -117,9 +128,7 @@ def daily_digest(picks: DataFrame, brand: str = C.DIGEST_BRAND, day: str = "matc
     """
     from .ranking import sequence_number
 
-    p = F.col("over_2_5_probability")
-    ranked = sequence_number(picks, order=slate_order(), buckets=[F.floor((1 - p) * 1_000_000)],
-                             partition=[day], name="line_no")
+    ranked = sequence_number(picks, order=slate_order(), buckets=slate_buckets(), partition=[day], name="line_no")
     lines = ranked.select(day, "line_no", digest_line("over_0_5_probability" in picks.columns).alias("text"))
     ends = picks.groupBy(day).agg(F.count(F.lit(1)).alias("n")).select(day, F.explode(F.array(
         F.struct(F.lit(0).cast("long").alias("line_no"), F.lit(C.DIGEST_HEADER.format(brand=brand)).alias("text")),

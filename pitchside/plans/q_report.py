@@ -143,9 +143,8 @@ ORACLE["high_conf_picks"] = slate_sql("SELECT match_id, over_2_5_probability, hi
 
 @query("rank_by_probability")
 def q_rank_by_probability(spark, sf_dir):
-    p = F.col("over_2_5_probability")
     return sequence_number(post(spark, sf_dir), order=R.slate_order(),
-                           buckets=[F.floor((1 - p) * 1_000_000)], partition=["match_date"],
+                           buckets=R.slate_buckets(), partition=["match_date"],
                            name="rank").select("match_date", "match_id", "rank")
 
 

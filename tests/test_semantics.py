@@ -404,3 +404,19 @@ def test_season_audit_names_what_is_not_read(spark, tmp_path):
                    ("2324/SP1.csv", "missing", None), ("2425", "missing", None)}
     assert [r.home_team for r in read_season_csv(spark, str(tmp_path)).collect()] == ["A"]
     assert season_audit(spark, str(tmp_path)).count() == 3
+
+
+def test_equal_probabilities_are_numbered_in_several_groups(spark):
+    """A third of a day's rows with one probability: numbers as row_number(), in groups bounded by the span of ids."""
+    from pitchside.operators import report as R
+    from pitchside.operators.ranking import sequence_number
+
+    rnd = random.Random(8)
+    rows = [(i * 40_000, "d1" if i % 5 else "d2", rnd.choice([0.62, 0.62, 0.5, 0.6200001, 0.0, None, rnd.random()])) for i in range(600)]
+    df = spark.createDataFrame(rows, "match_id long, day string, over_2_5_probability double").repartition(4)
+    got = {(r.match_id): r.rn for r in sequence_number(df, order=R.slate_order(), buckets=R.slate_buckets(), partition=["day"], name="rn").collect()}
+    for day in ("d1", "d2"):
+        order = sorted((r for r in rows if r[1] == day), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+        assert [got[r[0]] for r in order] == list(range(1, len(order) + 1))
+    tied = df.where("over_2_5_probability = 0.62 AND day = 'd1'")
+    assert tied.groupBy(*[b.alias(f"b{k}") for k, b in enumerate(R.slate_buckets())]).count().agg(F.max("count")).first()[0] <= 2 < tied.count() / 20
