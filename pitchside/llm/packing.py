@@ -17,7 +17,7 @@ rows.
 
 Defined cases: a null text is empty and becomes one piece holding the end id;
 repeated rows are packed each for itself; equal lengths are ranked by hash,
-document id, piece and checksum; an empty table gives an empty result; further
+document id, piece, checksum and stored row number; an empty table gives an empty result; further
 columns of the documents are dropped.
 """
 
@@ -29,18 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 from pyspark.sql.types import LongType, StructField, StructType
 
-from pitchside.llm.textops import materialise, text_slices
+from pitchside.llm.textops import held, materialise, small_batches, text_slices
 
 MAX_LEN = 2048
 END_ID = 0
 ROWS_PER_SALT = 100_000
 BATCH_BYTES = 4 << 20
-CACHE_TOKENS = 400_000
+CACHE_BYTES = 40 << 20           # of each generation of words, and of the parts
+ENTRY_BYTES = 160                # an entry of the caches, about
 
 # Texts of these characters only are split at white space and looked up word by word: for them white space never
 # joins a token, lower-casing works letter by letter and they are in composed form.  Others go to the tokenizer whole.
@@ -51,36 +53,59 @@ _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LE
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit numbers, with a bounded cache of words."""
+    """Token ids of texts as little-endian unsigned 32-bit numbers.
 
-    def __init__(self, path: str):
+    Words and their parts are remembered in two generations of bounded bytes: what was looked up since the last change is
+    in the young one; when that is full it becomes the old one and the words not asked for since are forgotten.
+    """
+
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word: dict[str, bytes] = {}
+        self.cache_bytes = cache_bytes
+        self.by_word, self.old_words, self.held = {}, {}, 0
         self.by_part: dict[str, bytes] = {}
+        self.held_parts = 0
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.by_word) > CACHE_TOKENS:
-            self.by_word.clear()
-        if len(self.by_part) > CACHE_TOKENS:
-            self.by_part.clear()
-        new = [w for w in words if w not in self.by_word]
-        split = [_SPLIT.findall(w.lower()) for w in new]
-        parts = sorted({p for s in split for p in s} - self.by_part.keys())
+    def _parts(self, parts: list[str]) -> None:
+        """Learn parts that are not known."""
+        if self.held_parts > self.cache_bytes:
+            self.by_part, self.held_parts = {}, 0
         for k in range(0, len(parts), 2000):   # many parts in one text: the tokenizer keeps white space apart
             some = parts[k:k + 2000]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, word = np.array(got.ids, dtype="<u4"), np.array(got.word_ids)
-            cut = np.searchsorted(word, np.arange(len(some) + 1))
+            ids, word = np.array(got.ids, dtype="<u4").tobytes(), np.array(got.word_ids)
+            cut = (4 * np.searchsorted(word, np.arange(len(some) + 1))).tolist()
             for j, p in enumerate(some):
-                self.by_part[p] = ids[cut[j]:cut[j + 1]].tobytes()
-        for w, s in zip(new, split):
-            self.by_word[w] = b"".join([self.by_part[p] for p in s])
+                self.by_part[p] = ids[cut[j]:cut[j + 1]]
+            self.held_parts += len(ids) + ENTRY_BYTES * len(some)
+
+    def _learn(self, words: set[str]) -> None:
+        """Have all ``words`` in the young generation."""
+        if self.held > self.cache_bytes:
+            self.old_words, self.by_word, self.held = self.by_word, {}, 0
+        by, old = self.by_word, self.old_words
+        new = words - by.keys()
+        known = new & old.keys()
+        for w in known:
+            by[w] = old[w]
+        new -= known
+        plain = [w for w in new if w.isalpha()]              # most words are one part
+        split = [(w, _SPLIT.findall(w.lower())) for w in new if not w.isalpha()]
+        wanted = {p for _, s in split for p in s}
+        wanted.update(map(str.lower, plain))
+        self._parts(sorted(wanted) if self.held_parts > self.cache_bytes else sorted(wanted - self.by_part.keys()))
+        part = self.by_part
+        for w in plain:
+            by[w] = part[w.lower()]
+        for w, s in split:
+            by[w] = part[s[0]] if len(s) == 1 else b"".join([part[p] for p in s])
+        self.held += ENTRY_BYTES * (len(new) + len(known))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
@@ -89,17 +114,13 @@ class Encoder:
         if not words <= self.by_word.keys():
             self._learn(words)
         by = self.by_word
-        try:
-            return [b"".join([by[w] for w in s]) if p else self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids)
-                    for t, p, s in zip(texts, plain, split)]
-        except KeyError:   # the cache was emptied between the test and the lookup
-            self._learn(words)
-            return self.encode(texts)
+        return [b"".join([by[w] for w in s]) if p else self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids)
+                for t, p, s in zip(texts, plain, split)]
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str | None = None, max_len: int = MAX_LEN, end_id: int = END_ID,
                      with_ids: bool = False) -> DataFrame:
-    """Pieces of every document: doc_id, piece, start, length, ids_crc32 and, on request, the ids themselves.
+    """Pieces of every document: doc_id, piece, start, length, ids_crc32, a row number and, on request, the ids themselves.
 
     ``tokenizer_path`` is read on the executors (default: ``word_bpe_49k.json`` of the public tokenizers).
     """
@@ -108,8 +129,10 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str | None = None, max_len
         if path is None:
             import public_tokenizers
             path = public_tokenizers.path("word_bpe_49k.json")
-        encoder, end = Encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        # one encoder per worker process: the vocabulary is read once, and what one task learned serves the next
+        encoder, end = held(f"encoder {path}", lambda: Encoder(path)), np.array([end_id], dtype="<u4").tobytes()
         step = 4 * max_len
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in text_slices(batch, "text", BATCH_BYTES):
                 doc, piece, start, length, crc, ids = [], [], [], [], [], []
@@ -122,7 +145,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str | None = None, max_len
                         crc.append(zlib.crc32(cut)), ids.append(cut)
                 out = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                        pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                out.append(pa.array(np.arange(row, row + len(doc)), pa.int64()))
+                row += len(doc)
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
                 if with_ids:
                     flat = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
                     offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
@@ -130,7 +155,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str | None = None, max_len
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    small_batches(docs.sparkSession)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -206,16 +232,18 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN, rows_per_salt: int = ROWS_PE
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}   # <= max_len rows
     plan = best_fit_plan(counts, max_len)
     salts = spark.createDataFrame([(k, -(-n // rows_per_salt)) for k, n in counts.items()], "length long, salts long")
-    salted = (pieces.join(F.broadcast(salts), "length")
-              .withColumn("__hash", F.xxhash64("doc_id", "piece"))
+    # the stored row number spreads repeated rows and rows without an id over the salts of their length too
+    numbered = pieces if "row" in pieces.columns else pieces.withColumn("row", F.lit(0))
+    salted = (numbered.join(F.broadcast(salts), "length")
+              .withColumn("__hash", F.xxhash64("doc_id", "piece", "ids_crc32", "row"))
               .withColumn("__salt", F.pmod("__hash", "salts")).drop("salts"))
     before = (salted.groupBy("length", "__salt").agg(F.count("*").alias("n"))
               .withColumn("__before", F.sum("n").over(W.Window.partitionBy("length").orderBy("__salt")) - F.col("n"))
               .drop("n"))
-    order = W.Window.partitionBy("length", "__salt").orderBy("__hash", "doc_id", "piece", "ids_crc32")
+    order = W.Window.partitionBy("length", "__salt").orderBy("__hash", "doc_id", "piece", "ids_crc32", "row")
     ranked = (salted.withColumn("__row", F.row_number().over(order) - 1).join(before, ["length", "__salt"])
               .withColumn("__rank", F.col("__before") + F.col("__row"))
-              .drop("__before", "__row", "__salt", "__hash"))
+              .drop("__before", "__row", "__salt", "__hash", "row"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stride = int(plan[:, 1].max(initial=0)) + 1

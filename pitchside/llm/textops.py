@@ -7,14 +7,13 @@ base, passed through a mixer that spreads the bits.
 from __future__ import annotations
 
 import functools
-import uuid
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # fixed values: the separators of the word class [^\x20\x09-\x0D]+
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -94,30 +93,6 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def sliding_min_pos(key: np.ndarray, width: int) -> np.ndarray:
-    """Position of the leftmost smallest value of every run of ``width`` neighbours.
-
-    Doubling: the minimum over 2n neighbours is the smaller of two minima over n.
-    """
-    n = len(key)
-    if n < width:
-        return np.zeros(0, dtype=np.int64)
-    pos = np.arange(n, dtype=np.int64)
-    val, span = key, 1
-    while span * 2 <= width:
-        left, right = val[:-span], val[span:]
-        take = right < left
-        val = np.where(take, right, left)
-        pos = np.where(take, pos[span:], pos[:-span])
-        span *= 2
-    rest = width - span
-    if rest:
-        left, right = val[:-rest], val[rest:]
-        take = right < left
-        pos = np.where(take, pos[rest:], pos[:-rest])
-    return pos
-
-
 def run_starts(values: np.ndarray) -> np.ndarray:
     """Index of the first entry of every run of equal neighbours."""
     if not len(values):
@@ -183,7 +158,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def text_key(column) -> object:
-    """A text identity for grouping exact copies: the length and two differently seeded hashes."""
-    return F.struct(F.octet_length(column).alias("n"), F.xxhash64(column).alias("a"),
-                    F.xxhash64(F.lit(7), column, F.lit(11)).alias("b"))
+ARROW_BYTES = 8 << 20            # bytes of one Arrow batch between Spark and its Python workers
+_ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session by ``ARROW_BYTES`` (a smaller setting stays): whole texts make large rows, and
+    a batch is held several times, in the executor and in its worker."""
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(_ARROW_SETTING))
+    if not now or int(now[1]) > ARROW_BYTES:
+        spark.conf.set(_ARROW_SETTING, str(ARROW_BYTES))
+
+
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What one operator keeps in its worker process from task to task.  Workers serve one operator after another, so there is
+    one such thing at a time: asking for another, or :func:`let_go`, frees it."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def let_go() -> None:
+    """Free what an earlier operator kept in this worker process."""
+    _HELD.clear()

@@ -87,3 +87,25 @@ def test_documents_are_packed_whole(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(docs, PATH).collect() == []
+
+
+def test_small_caches_change_no_ids():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdeé'-.1") for _ in range(rng.randint(1, 9))) for _ in range(900)]
+    tokenizer, small = Tokenizer.from_file(PATH), packing.Encoder(PATH, cache_bytes=20_000)
+    for _ in range(30):                                    # generations and parts are dropped again and again
+        texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(8)]
+        want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        assert small.encode(texts) == want
+        assert len(small.by_word) < 900 and small.held <= 20_000 + packing.ENTRY_BYTES * 320
+
+
+def test_rows_without_id_and_repeats_spread_over_salts(spark):
+    docs = spark.createDataFrame([(None, "same text of a few words")] * 300 + [(7, "same text of a few words")] * 300, "doc_id long, text string")
+    pieces = packing.materialise(packing.tokenised_pieces(docs.repartition(3), PATH), "pieces")
+    assert pieces.select("row").distinct().count() == 600
+    packed = packing.pack(pieces, rows_per_salt=50)
+    assert "row" not in packed.columns
+    rows = packed.select("sequence_id", "offset", "length").collect()
+    length = rows[0].length
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 600 and {r.offset % length for r in rows} == {0}
