@@ -12,10 +12,14 @@ Training uses the labelled pages of :mod:`html_pages` (a fixed number), on the d
 html.
 
 Text: character references are decoded, white space inside a block becomes one space,
-blocks are trimmed and joined by one line break.
+blocks are trimmed and joined by one line break.  The content of ``SKIPPED`` elements is no text; the tags of all other
+elements go and their text stays, that of ``math``, ``object`` and custom elements too.
+
+Work per block follows the different names of its open elements that the model knows, not the depth of the page.
 
 Defined cases: a null html is an empty page; a page without main text gives an empty text;
-unclosed or cut tags and elements end with the page; repeated rows are extracted each
+unclosed or cut tags and elements end with the page; an unclosed script or style swallows the rest of the page, of any
+other unclosed ``SKIPPED`` element, and of a self-closed ``svg``, the tag alone goes; repeated rows are extracted each
 for itself; an empty table gives an empty result; further columns are kept.
 """
 
@@ -24,7 +28,8 @@ from __future__ import annotations
 import functools
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,8 +41,10 @@ from pitchside.llm.html_pages import labelled_pages
 
 BATCH_ROWS = 256
 EPOCHS, RATE, DECAY = 14, 0.3, 1e-3
-# fixed values: elements whose content is no text, elements that break blocks, elements without content
-SKIPPED = "script style noscript template svg math iframe object select textarea button title".split()
+# fixed values: elements whose content is no text (the raw ones end only with their own end tag), elements that break blocks,
+# elements without content
+RAW = "script style".split()
+SKIPPED = RAW + "noscript template svg iframe select textarea button title".split()
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot "
@@ -49,11 +56,11 @@ SELF_CLOSING = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd"), "dd": ("dt",
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(" + "|".join(SKIPPED) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)/?>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|</[^>]*(?:>|\Z)", re.S | re.I)
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in SKIPPED}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME_WORD = re.compile(r"[a-z]+")
 
@@ -61,7 +68,8 @@ _NAME_WORD = re.compile(r"[a-z]+")
 @dataclass
 class Block:
     text: str
-    elements: tuple[str, ...]     # features of the open elements, outermost first
+    elements: tuple[str, ...]     # different names of the open elements, first opened first
+    leaf: str                     # the innermost open element
     linked: int                   # characters inside links
 
 
@@ -72,50 +80,93 @@ def _element(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(names)
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """Blocks of text between block-level tags, in page order."""
+class _Open:
+    """The open elements of a page, with the different names on the way down counted as they come and go."""
+
+    def __init__(self, known: Container[str] | None):
+        self.known, self.stack, self.tags, self.names = known, [], Counter(), Counter()
+        self._listed: tuple[str, ...] | None = ()
+
+    def push(self, tag: str, attributes: str) -> None:
+        names = [n for n in _element(tag, attributes) if self.known is None or n in self.known]
+        self.stack.append((tag, names))
+        self.tags[tag] += 1
+        for n in names:
+            self.names[n] += 1
+        self._listed = None
+
+    def close(self, tag: str) -> None:
+        """Close the innermost element of the kind and all inside it."""
+        if not self.tags[tag]:
+            return
+        while True:
+            top, names = self.stack.pop()
+            self.tags[top] -= 1
+            for n in names:
+                self.names[n] -= 1
+                if not self.names[n]:
+                    del self.names[n]
+            if top == tag:
+                break
+        self._listed = None
+
+    def listed(self) -> tuple[str, ...]:
+        if self._listed is None:
+            self._listed = tuple(self.names)
+        return self._listed
+
+
+def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """Blocks of text between block-level tags, in page order; of ``known`` names only, if given."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    buffer: list[str] = []
+    opened = _Open(known)
+    stack, buffer = opened.stack, []
     linked, link_depth = 0, None
+    endless: set[str] = set()          # skipped elements without a further end tag
 
     def flush() -> None:
         nonlocal linked
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
-            if text and not any(t == "head" for t, _ in stack):
-                blocks.append(Block(text, tuple(n for _, e in stack for n in e), min(linked, len(text))))
+            if text and not opened.tags["head"]:
+                blocks.append(Block(text, opened.listed(), f"<{stack[-1][0]}>" if stack else "", min(linked, len(text))))
             buffer.clear()
         linked = 0
 
     def close(tag: str) -> None:
         nonlocal link_depth
-        for j in range(len(stack) - 1, -1, -1):
-            if stack[j][0] == tag:
-                del stack[j:]
-                break
+        opened.close(tag)
         if link_depth is not None and len(stack) < link_depth:
             link_depth = None
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at:m.start()]
             buffer.append(piece)
             if link_depth is not None:
                 linked += len(piece)
         at = m.end()
-        tag = m[3] or m[6]
+        tag = m[2] or m[5]
         if tag is None:
             continue
-        tag = tag.lower()
-        if tag == "br":
+        tag, ends = tag.lower(), m[1] or m[4]
+        if tag in _END:
+            if not ends and tag not in endless and not (tag == "svg" and m[0].endswith("/>")):
+                end = _END[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in RAW:
+                    at = len(page)
+                else:
+                    endless.add(tag)
+        elif tag == "br":
             buffer.append(" ")
         elif tag == "a":
-            link_depth = None if (m[2] or m[5]) else len(stack)
+            link_depth = None if ends else len(stack)
         elif tag in BLOCK_TAGS:
             flush()
-            if m[2] or m[5]:
+            if ends:
                 close(tag)
             elif tag not in VOID:
                 for other in SELF_CLOSING.get(tag, ("p",)):
@@ -123,7 +174,7 @@ def leaf_blocks(page: str) -> list[Block]:
                         continue
                     if any(t == other for t, _ in stack[-3:]) and not (other == "li" and stack[-1][0] in ("ul", "ol", "menu")):
                         close(other)
-                stack.append((tag, _element(tag, m[4] or m[7] or "")))
+                opened.push(tag, m[3] or m[6] or "")
     rest = page[at:]
     if "<" in rest[-200:] and re.search(r"<[a-zA-Z/!][^>]*\Z", rest):
         rest = rest[:rest.rindex("<")]
@@ -139,13 +190,12 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
         text, n = b.text, len(b.text)
         words = text.count(" ") + 1
         share = b.linked / n
-        f = ["bias", *dict.fromkeys(b.elements),
+        f = ["bias", *b.elements,
              f"words={min(words.bit_length(), 8)}",
              "linked=all" if share > 0.8 else "linked=some" if share > 0.2 else "linked=no",
              "end=stop" if text[-1] in ".!?\"”»:;…" else "end=open"]
-        if b.elements:
-            last = next((e for e in reversed(b.elements) if e[0] == "<"), "")
-            f.append("leaf=" + last)
+        if b.leaf:
+            f.append("leaf=" + b.leaf)
         if "©" in text or "copyright" in text[:80].lower():
             f.append("copyright")
         f.append("first" if j == 0 else "last" if j == len(blocks) - 1 else "middle")
@@ -185,7 +235,7 @@ class Model:
         return out[::-1]
 
     def extract(self, page: str) -> str:
-        blocks = leaf_blocks(page)
+        blocks = leaf_blocks(page, self.index)
         return "\n".join(b.text for b, main in zip(blocks, self.decode(blocks)) if main)
 
 
@@ -218,7 +268,7 @@ def labelled_blocks(page: list[tuple[str, bool]]) -> tuple[list[Block], list[int
         found = re.findall("\x00([01])", b.text)
         text = " ".join(re.sub("\x00[01]", "", b.text).split())
         if found and text:
-            blocks.append(Block(text, b.elements, max(0, min(b.linked, len(text)))))
+            blocks.append(Block(text, b.elements, b.leaf, max(0, min(b.linked, len(text)))))
             labels.append(int(found[0]))
     return blocks, labels
 
