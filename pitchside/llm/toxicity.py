@@ -11,8 +11,8 @@ Training bound: at most about ``TRAIN_ROWS`` labelled rows, those with the small
 of their id; a quarter of them calibrates.  Scoring covers all rows and whole texts.
 
 Defined cases: null and empty texts are scored like any other (all densities 0);
-without labelled rows of both classes every score is the share of toxic rows (0
-without any); labels that are null are left out; repeated rows are scored each for
+without labelled rows of both classes, with fewer than ``FEWEST`` of one, or with none of
+one in the calibrating quarter, every score is the share of toxic rows (0 without any); labels that are null are left out; repeated rows are scored each for
 itself; an empty table gives an empty result; further columns are kept.
 """
 
@@ -36,6 +36,7 @@ TRAIN_ROWS = 20_000
 LEXICON_SIZE = 4_000
 MIN_Z = 4.0                  # least log odds of a lexicon entry, in standard errors
 STEMS = (4, 5)               # a stem is the first so many bytes of a word
+FEWEST = 8                   # least rows of each class to train and calibrate on
 TREES, DEPTH = 20, 4
 BATCH_BYTES = 2 << 20
 # fixed values: second-person words of four languages, and characters used in place of letters
@@ -256,6 +257,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Callab
     lexicon = learn_lexicon(rows, count[1], count[0])
     points = materialise(with_features(rows, lexicon).select("toxic", "part", "__features"), "toxic_points").select(
         F.col("toxic").cast("double").alias("label"), "part", array_to_vector("__features").alias("__vector"))
+    parts = {(r.label, r.calibrates) for r in points.select("label", (F.col("part") < 0.25).alias("calibrates")).distinct().collect()}
+    if len(parts) < 4 or min(count.values()) < FEWEST:
+        share = count[1] / (count[0] + count[1])
+        return lambda frame: frame.withColumn("score", F.lit(share))
     trees = GBTClassifier(featuresCol="__vector", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=1, maxBins=64,
                           minInstancesPerNode=2)
     model = trees.fit(points.where("part >= 0.25").coalesce(8))
