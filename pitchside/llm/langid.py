@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from pitchside.llm.textops import text_slices
+from pitchside.llm.textops import let_go, small_batches, text_slices
 
 DOCS_PER_LANG = 32
 SYMBOLS_PER_LANG = 30_000
@@ -237,11 +237,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1) and bits_per_symbol (own columns of these names are replaced)."""
     added = ("lang_pred", "score", "bits_per_symbol")
     docs = docs.drop(*added)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)   # bounded by the training bound
     schema = StructType(docs.schema.fields + [StructField(added[0], StringType()), StructField(added[1], DoubleType()),
                                               StructField(added[2], DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         m = shared.value
         for batch in batches:
             for part in text_slices(batch, "text", BATCH_BYTES):

@@ -40,7 +40,9 @@ Defined cases: null, empty and wordless texts have ``n_shingles`` 0 and are thei
 component; a row with a null ``doc_id`` belongs to no component (null) and links
 nothing; repeated rows and rows sharing an id are judged each by its text;
 an empty table gives an empty result; further columns are ignored, and kept by
-:func:`keep_one`.
+:func:`keep_one`, which keeps one row of every component and every row without words or
+id: of rows sharing an id each text stands for itself, so both stay unless they link; of
+rows repeated with id and text one stays.
 """
 
 from __future__ import annotations
@@ -53,8 +55,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchside.llm.graph import components
-from pitchside.llm.textops import (gram_hashes, lower_ascii, materialise, mix64, text_bytes, text_slices,
-                                   word_hashes, word_spans)
+from pitchside.llm.textops import (gram_hashes, let_go, lower_ascii, materialise, mix64, small_batches, text_bytes,
+                                   text_slices, word_hashes, word_spans)
 
 SHINGLE_WORDS = 4
 PERCENT = 85
@@ -62,11 +64,11 @@ STAR_ROUNDS = 1
 MAX_MATCHES = 4              # the longest l
 COST_STEP = 64               # estimated candidates of a 1-prefix from which l grows, four-fold each step
 FREQUENT_TOKENS = 250_000    # rows of the broadcast order table: the most frequent shingles of the corpus
-COUNT_CHUNK = 3_000_000      # tokens counted together inside a task
+COUNT_CHUNK = 1_500_000      # tokens counted together inside a task
 BLOCK_NODES = 500            # nodes of one block of a hub; a unit counts the pairs of two blocks
 TOKEN_CHUNK = 4096           # tokens counted together in a unit
 BROADCAST_ROWS = 1_000_000   # id lists are broadcast up to this counted size, joined by shuffle beyond
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,29 +109,34 @@ def set_keys(token: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
-def _batches(batches: Iterator[pa.RecordBatch]):
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _batches(batches: Iterator[pa.RecordBatch], *more: str):
     for batch in batches:
         for part in text_slices(batch, "text", BATCH_BYTES):
-            yield part.column("doc_id"), list(text_bytes(part.column("text")))
+            yield part.column("doc_id"), list(text_bytes(part.column("text"))), *(part.column(c) for c in more)
 
 
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
-    """One pass: rows (doc_id, n, node, check) of documents, and (token, count) of tokens seen twice in a chunk."""
+    """One pass: rows (doc_id, text_key, n, node, check) of documents, and (token, count) of tokens seen twice in a chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "node", "check", "token", "count"]
+        names = ["doc_id", "text_key", "n", "node", "check", "token", "count"]
 
         def counted(tokens: list[np.ndarray]) -> pa.RecordBatch:
             value, count = np.unique(np.concatenate(tokens), return_counts=True)
             value, count = value[count > 1].view(np.int64), count[count > 1]
             none = pa.nulls(len(value), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(value), pa.array(count)], names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(value), pa.array(count)], names)
 
+        let_go()
         held, n_held = [], 0
-        for ids, texts in _batches(batches):
+        for ids, texts, keys in _batches(batches, "text_key"):
             token, size = shingle_sets(texts, k)
             node, check = set_keys(token, size)
             none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(node), pa.array(check), none, none], names)
+            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(size), pa.array(node), pa.array(check), none, none], names)
             held.append(token)
             n_held += len(token)
             if n_held >= COUNT_CHUNK:
@@ -138,8 +145,8 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
         if n_held:
             yield counted(held)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n long, node long, check long, token long, count long")
+    return docs.select(F.col("doc_id").cast("long"), "text", _text_key().alias("text_key")).mapInArrow(
+        run, "doc_id long, text_key long, n long, node long, check long, token long, count long")
 
 
 def frequent_tokens(counts: DataFrame, limit: int = FREQUENT_TOKENS) -> tuple[np.ndarray, np.ndarray]:
@@ -308,10 +315,11 @@ def remaining_pairs(live: DataFrame, percent: int) -> DataFrame:
     hubs = live.groupBy("token").agg(F.max(F.struct("share", "node")).alias("h")).select("token", F.col("h.node").alias("hub"))
     lists = live.groupBy("node").agg(F.count("*").cast("int").alias("lists"))
     entries = live.join(hubs, "token").join(lists, "node")
-    blocks = (entries.select("hub", "node").distinct().groupBy("hub").agg(F.count("*").alias("c"))
-              .select("hub", F.ceil(F.col("c") / BLOCK_NODES).cast("int").alias("blocks")))
+    # hubs with several blocks, few: counted, so that no hub's entries have to meet in one task
+    blocks = materialise(entries.select("hub", "node").distinct().groupBy("hub").agg(F.count("*").alias("c"))
+                         .where(F.col("c") > BLOCK_NODES).select("hub", F.ceil(F.col("c") / BLOCK_NODES).cast("int").alias("blocks")), "hub_blocks")
     rest = _rest(F.col("n"), F.col("l"), percent)
-    units = (entries.join(blocks, "hub")
+    units = (entries.join(_checked(blocks), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "token", "node",
@@ -350,13 +358,14 @@ def _need(n: Column, percent: int) -> Column:
     return F.ceil(n * F.lit(percent) / F.lit(100) - F.lit(1e-9)).cast("long")
 
 
-def linked_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``."""
+def _linked_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n, component and component_id of every row of ``docs``; component is null without words or id."""
+    small_batches(docs.sparkSession)
     scan = materialise(document_sets(docs, k), "set_scan")
-    rows = scan.where("node IS NOT NULL").select("doc_id", "n", "node", "check")
+    rows = scan.where("node IS NOT NULL").select("doc_id", "text_key", "n", "node", "check")
     frequent = frequent_tokens(scan.where("token IS NOT NULL").select("token", "count"))
 
-    entries = postings(docs, frequent, k, percent)
+    entries = materialise(postings(docs, frequent, k, percent), "entries")      # read by a count and a join
     repeated = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     lists = materialise(entries.join(repeated, "token", "left_semi").distinct(), "lists")
     lists_two = lists.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
@@ -392,13 +401,18 @@ def linked_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PE
                              .otherwise(F.raise_error("two different shingle sets share a node"))).select("node", "first_id")
     of_node = sizes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = of_node.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_node = of_node.join(smallest, "component").select("node", "component_id")
+    of_node = of_node.join(smallest, "component").select("node", "component", "component_id")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return (rows.join(of_node, "node")
-            .select("doc_id", F.col("n").alias("n_shingles"),
+            .select("doc_id", "text_key", "n", F.when(~alone, F.col("component")).alias("component"),
                     F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
+def linked_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``."""
+    return _linked_rows(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def _prune(live: DataFrame, label: DataFrame) -> DataFrame:
     """List entries that can still link two components: lists with two of them, partners in budget."""
     now = live.drop("component").join(label, "node")
@@ -415,16 +429,26 @@ def _labels(label: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of every component: the one whose id names it; of repeated rows one stays."""
-    rows = materialise(linked_components(docs, k, percent), "components")
-    gone = materialise(rows.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
-    kept = docs.join(_checked(gone), "doc_id", "left_anti")
-    twice = materialise(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
-                        .select("doc_id"), "twice")
+    """``docs`` with one row of every component: of the document whose id names it, and of its texts in the component the
+    one with the smallest hash.  Rows are told apart by id and text (see the defined cases)."""
+    rows = materialise(_linked_rows(docs, k, percent), "components")
+    named = rows.where("component IS NOT NULL")
+    first = named.where("doc_id = component_id").groupBy("component").agg(F.min("text_key").alias("first_key"))
+    gone = materialise(named.join(first, "component").where("doc_id <> component_id OR text_key <> first_key")
+                       .select("doc_id", "text_key").distinct(), "gone")
+    twice = materialise(rows.where("doc_id IS NOT NULL").groupBy("doc_id", "text_key").agg(F.count("*").alias("c"))
+                        .where("c > 1").select("doc_id", "text_key"), "twice")
+
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text_key", _text_key())
+
+    def of(frame: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
+        named = _checked(pairs.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key")))
+        return frame.join(named, ["__id", "__text_key"], how)
+
+    kept = of(keyed, gone, "left_anti")
     if not twice.isEmpty():
-        alone = kept.join(_checked(twice), "doc_id", "left_anti")
-        kept = alone.unionByName(kept.join(_checked(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept
+        kept = of(kept, twice, "left_anti").unionByName(of(kept, twice, "left_semi").dropDuplicates(["__id", "__text_key"]))
+    return kept.select(*docs.columns)
 
 
 ORACLE_SQL = r"""

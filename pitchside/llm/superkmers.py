@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.llm.textops import merge_spans, ranges, run_starts, text_bytes, text_slices
+from pitchside.llm.textops import let_go, merge_spans, ranges, run_starts, small_batches, text_bytes, text_slices
 
 BATCH_BYTES = 1 << 20
 MATCH_BYTES = 2 << 20        # text a matcher gets at once, beyond the segments of one minimiser
@@ -282,6 +282,7 @@ def repeated_spans(docs: DataFrame, items_of: Callable[[list[bytes]], Items], wi
     ``first_only``: a window counts as repeated only where it occurs earlier (smaller id, then text key, or same document
     and earlier start).
     """
+    small_batches(docs.sparkSession)
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["bucket", "blob"]
 
@@ -290,6 +291,7 @@ def repeated_spans(docs: DataFrame, items_of: Callable[[list[bytes]], Items], wi
             for b, blob in rows(held):
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], names)
 
+        let_go()
         held, n_held = new(), 0
         for batch in batches:
             for part in text_slices(batch, "text", BATCH_BYTES):

@@ -103,3 +103,29 @@ def test_components_of_a_long_path(spark):
     path = spark.range(60).selectExpr("id AS u", "id + 1 AS v").union(spark.createDataFrame([(100, 101), (100, 100)], "u long, v long"))
     got = {r.node: r.component for r in graph.components(path).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_texts_under_a_shared_id_stand_for_themselves(spark):
+    """Two texts of one id: only what links, or repeats with its id, goes."""
+    long = " ".join(f"a{i}" for i in range(60))
+    other = " ".join(f"z{i}" for i in range(60))
+    for rows, want in (
+            ([(1, long), (5, long + " b"), (5, other)], [(1, long), (5, other)]),
+            ([(5, long), (5, other)], [(5, long), (5, other)]),
+            ([(5, long), (5, long), (5, other), (7, other + " q")], [(5, long), (5, other)]),
+            ([(3, None), (3, ""), (3, " "), (3, other)], [(3, None), (3, " "), (3, other)]),
+            ([(None, long), (None, long), (4, long)], [(None, long), (None, long), (4, long)])):
+        docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, text_key int")
+        got = sorted(((r.doc_id, r.text or None) for r in setjoin.keep_one(docs).collect()), key=str)
+        assert got == sorted(((i, t or None) for i, t in want), key=str), rows
+    linked = [(5, long), (5, long + " b"), (9, long + " c")]
+    kept = setjoin.keep_one(spark.createDataFrame(linked, "doc_id long, text string")).collect()
+    assert len(kept) == 1 and kept[0].doc_id == 5
+
+
+def test_very_long_text(spark):
+    body = " ".join(f"w{i % 7919} x{i}" for i in range(150_000))
+    rows = [(1, body), (2, body + " tail"), (3, "short text of a few words")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.linked_components(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (299_997, 1), 2: (299_998, 1), 3: (3, 3)}
