@@ -8,8 +8,8 @@ previous factor: the longest match that begins earlier.  A window that has a
 previous factor of its whole width is a later copy.
 
 Two readings: ``keep_first=True`` removes later copies and keeps the first;
-``keep_first=False`` removes every byte under a window that also starts anywhere else
-(the neighbour in suffix order decides).  Matches never cross documents and are
+``keep_first=False`` removes every byte under a window that also starts anywhere else:
+the places where the factors begin are marked as well.  Matches never cross documents and are
 judged on the input.
 
 Defined cases: a null text is empty; texts shorter than a window lose nothing; rows
@@ -87,8 +87,9 @@ def common_prefixes(a: np.ndarray, b: np.ndarray, levels: list[tuple[int, np.nda
     return out
 
 
-def _to_smaller(position: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """For entries in suffix order: common prefix with the nearest entry before that has a smaller position.
+def _to_smaller(position: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For entries in suffix order: common prefix with the nearest entry before that has a smaller position, and that entry
+    (-1: none).
 
     ``near`` is the common prefix with the entry just before.  Pointers jump over entries with larger positions; every
     entry between an entry and its pointer is larger than the entry itself, so pointers may be followed from
@@ -103,19 +104,49 @@ def _to_smaller(position: np.ndarray, near: np.ndarray) -> np.ndarray:
         to[todo], least[todo] = hop, low
         todo = todo[(hop >= 0) & (position[np.maximum(hop, 0)] > position[todo])]
     least[to < 0] = 0
-    return least
+    return least, to
+
+
+def _previous(position: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per entry in suffix order: longest match and entry of the next smaller position before it, and the same after it."""
+    before, b = _to_smaller(position, near)
+    after, a = _to_smaller(position[::-1], np.concatenate((near[:1] * 0, near[:0:-1])))
+    return before, b, after[::-1], np.where(a >= 0, len(a) - 1 - a, -1)[::-1]
 
 
 def longest_previous_factors(order: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """For every position the longest match (see :func:`common_prefixes`) that begins earlier."""
     near = np.concatenate(([0], common_prefixes(order[:-1], order[1:], levels)))
-    before = _to_smaller(order, near)
-    after = _to_smaller(order[::-1], np.concatenate(([0], near[:0:-1])))[::-1]
+    before, _, after, _ = _previous(order, near)
     out = np.empty(len(order), dtype=np.int64)
     out[order] = np.maximum(before, after)
     return out
 
 
+def repeated_positions(order: np.ndarray, levels: list[tuple[int, np.ndarray]], width: int, first_only: bool) -> np.ndarray:
+    """Mask of positions whose ``width`` bytes occur earlier; without ``first_only`` also of those they occur at first.
+
+    The factor arrays are taken over the entries that share ``width`` bytes with a neighbour in suffix order, as no other
+    entry has a factor that long; equal windows are neighbours, so no pair of them is parted.  Of equal windows
+    the smallest position has no earlier match, but is the next smaller position of the entry beside it: it is found as
+    the place where that entry's factor begins.
+    """
+    out = np.zeros(len(order), dtype=bool)
+    if not len(order):
+        return out
+    near = np.concatenate(([0], common_prefixes(order[:-1], order[1:], levels)))
+    able = near >= width
+    able[:-1] |= near[1:] >= width
+    some = order[able]
+    before, b, after, a = _previous(some, np.where(near[able] >= width, width, 0))
+    for match, source in ((before, b), (after, a)):
+        found = match >= width
+        out[some[found]] = True
+        if not first_only:
+            out[some[source[found]]] = True
+    return out
+
+
 def matcher(width: int):
     def match(segments: list[bytes], windows: np.ndarray, first_only: bool) -> np.ndarray:
         text = np.frombuffer(b"".join(segments), dtype=np.uint8)
@@ -123,13 +154,7 @@ def matcher(width: int):
         first = np.cumsum(size) - size
         left = np.repeat(first + size, size) - np.arange(len(text))
         order, levels = suffix_order(text, left < 8, width)
-        if first_only:
-            longest = longest_previous_factors(order, levels)
-        else:
-            near = common_prefixes(order[:-1], order[1:], levels)
-            longest = np.empty(len(order), dtype=np.int64)
-            longest[order] = np.maximum(np.concatenate(([0], near)), np.concatenate((near, [0])))
-        return longest[left >= width] >= width
+        return repeated_positions(order, levels, width, first_only)[left >= width]
 
     return match
 

@@ -76,6 +76,24 @@ def test_longest_previous_factors_against_brute_force():
             assert got[i] == want, (i, got[i], want)
 
 
+def test_repeated_positions_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(40):
+        parts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 40))) for _ in range(4)]
+        raw = "".join(rng.choice(parts) for _ in range(rng.randint(1, 6))).encode()
+        text = np.frombuffer(raw, dtype=np.uint8)
+        left = len(text) - np.arange(len(text))
+        for width in (8, 11, 16):
+            order, levels = suffix_dedup.suffix_order(text, left < 8, width)
+            at = {}
+            for i in range(len(raw) - width + 1):
+                at.setdefault(raw[i:i + width], []).append(i)
+            for first_only in (True, False):
+                got = suffix_dedup.repeated_positions(order, levels, width, first_only)
+                want = {i for places in at.values() for i in (places[1:] if first_only else places if len(places) > 1 else [])}
+                assert set(np.flatnonzero(got & (left >= width)).tolist()) == want
+
+
 def test_runs_cover_every_window_once():
     texts = [b"abcabcabc" * 60, b"", b"x" * 199, b"y" * 200, bytes(range(256)) * 4]
     items = suffix_dedup.byte_items(texts)
