@@ -6,7 +6,7 @@ blank in one pass; ``bytes.split`` cuts the terms and a ``Counter`` per document
 frequencies.  From there on everything is sparse:
 
 1. :func:`term_counts` sums occurrences and documents per (lang, source, term), first
-   inside the tasks, then with Spark's partial aggregates;
+   inside the tasks, then after the one shuffle of the job, by (lang, term);
 2. :func:`kept_cells` keeps the terms found in at least ``MIN_DOCS`` documents of their
    language;
 3. :func:`probabilities` gives every occurring cell its smoothed integer share; a term that
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchside.llm.textops import materialise, text_slices
+from pitchside.llm.textops import materialise, small_batches, text_slices
 
 MIN_DOCS = 30
 TOP_TERMS = 50
@@ -59,50 +59,56 @@ def document_terms(text: str | None) -> Counter:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents; a row with a null term names each group that occurs."""
+    """(lang, source, term, n, docs): occurrences and documents, summed per task and dealt by (lang, term); a row with a null
+    term names each group that occurs."""
     names = ["lang", "source", "term", "n", "docs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: dict[tuple[str, str], tuple[Counter, dict[bytes, int]]] = {}      # per group: documents of a term, repeats in them
 
         def handed_on() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, of) in held.items():
-                rows = len(n) + 1
+            for (lang, source), (of, again) in held.items():
+                rows = len(of) + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * rows), pa.array([source] * rows), pa.array([None, *(t.decode() for t in n)], pa.string()),
-                     pa.array([0, *n.values()], pa.int64()), pa.array([0, *map(of.__getitem__, n)], pa.int64())], names)
+                    [pa.array([lang] * rows), pa.array([source] * rows), pa.array([None, *map(bytes.decode, of)], pa.string()),
+                     pa.array([0, *[d + again.get(t, 0) for t, d in of.items()]], pa.int64()), pa.array([0, *of.values()], pa.int64())], names)
             held.clear()
 
         for batch in batches:
             for part in text_slices(batch, "text", BATCH_BYTES):
-                for lang, source, text in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "text"))):
-                    n, of = held.setdefault((lang, source), (Counter(), Counter()))
+                rows = sorted(zip(*(part.column(c).to_pylist() for c in ("lang", "source", "text"))), key=lambda r: r[:2])
+                for lang, source, text in rows:                        # group by group: its counts stay at hand
+                    of, again = held.setdefault((lang, source), (Counter(), {}))
                     terms = document_terms(text)
-                    n.update(terms)
                     of.update(terms.keys())
-                if sum(len(n) for n, _ in held.values()) + len(held) > HELD_TERMS:
+                    for t, n in [x for x in terms.items() if x[1] > 1]:
+                        again[t] = again.get(t, 0) + n - 1
+                if sum(len(of) for of, _ in held.values()) + len(held) > HELD_TERMS:
                     yield from handed_on()
         yield from handed_on()
 
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return (rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return (rows.mapInArrow(run, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
             .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
 
 
 def kept_cells(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, source, term, n, lang_n): the occurring cells of the kept terms."""
-    found = counts.where("term IS NOT NULL")
-    kept = (found.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
-            .where(F.col("docs") >= min_docs).drop("docs"))
-    return found.drop("docs").join(kept, ["lang", "term"])
+    """(lang, source, term, n, lang_n): the occurring cells of the kept terms, and the groups' rows without a term.
+
+    The counts lie by (lang, term) already, so neither the sums nor the window over a term's sources move them again.
+    """
+    of_term = Window.partitionBy("lang", "term")
+    return (counts.withColumns({"lang_n": F.sum("n").over(of_term), "lang_docs": F.sum("docs").over(of_term)})
+            .where((F.col("lang_docs") >= min_docs) | F.col("term").isNull()).drop("docs", "lang_docs"))
 
 
-def groups(counts: DataFrame, cells: DataFrame) -> DataFrame:
+def groups(kept: DataFrame) -> DataFrame:
     """(lang, source, v, total, lang_total): every group with the kept terms of its language and its occurrences of them."""
+    cells = kept.where("term IS NOT NULL")
     per_source = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     per_term = cells.groupBy("lang", "term").agg(F.max("lang_n").alias("lang_n"))
     per_lang = per_term.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
-    return (counts.where("term IS NULL").select("lang", "source").distinct()
+    return (kept.where("term IS NULL").select("lang", "source").distinct()
             .join(per_lang, "lang", "left").join(per_source, ["lang", "source"], "left").fillna(0, ["v", "total", "lang_total"]))
 
 
@@ -115,6 +121,7 @@ def share(n: Column, total: Column, v: Column) -> Column:
 
 def probabilities(cells: DataFrame, group: DataFrame) -> DataFrame:
     """Cells with their share ``p`` in the source and ``q`` in the language."""
+    cells = cells.where("term IS NOT NULL")
     return cells.join(group, ["lang", "source"]).select(
         "lang", "source", "term", share(F.col("n"), F.col("total"), F.col("v")).alias("p"),
         share(F.col("lang_n"), F.col("lang_total"), F.col("v")).alias("q"))
@@ -198,9 +205,9 @@ def top_terms(cells: DataFrame, most: int = TOP_TERMS) -> DataFrame:
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, most: int = TOP_TERMS) -> DataFrame:
     """lang, source, part (``pair`` or ``term``), item, value, rank."""
-    counts = materialise(term_counts(docs), "term_counts")
-    kept = materialise(kept_cells(counts, min_docs), "kept_cells")
-    group = materialise(groups(counts, kept), "groups")
+    small_batches(docs.sparkSession)
+    kept = materialise(kept_cells(term_counts(docs), min_docs), "kept_cells")
+    group = materialise(groups(kept), "groups")
     cells = materialise(probabilities(kept, group), "shares")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "other")
     pairs = pair_distances(cells, group).withColumn("rank", F.row_number().over(order))
