@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pitchside.llm.perfect_hash import PerfectHash, fingerprint
-from pitchside.llm.textops import materialise, mix64, run_starts, text_slices
+from pitchside.llm.textops import materialise, mix64, run_starts, small_batches, text_slices
 
 MIN_CHARS = 10
-SHARD_BYTES = 16 << 20           # text bytes whose lines make one shard
+SHARD_BYTES = 2 << 20            # text bytes whose lines make one shard
 PROBES_PER_TASK = 500_000        # lines that one copy of a shard's index answers
 MOST_HOT_SHARDS = 100_000        # shards with copies: the bound of the table sent to all tasks
 BATCH_BYTES = 8 << 20
@@ -232,6 +232,7 @@ def probe(docs: DataFrame, index: DataFrame, shards: int, min_chars: int = MIN_C
 
 def _cut(docs: DataFrame, min_chars: int, shards: int | None, per_task: int) -> DataFrame:
     """``docs`` with the kept text as ``__kept`` and its lines before and dropped as ``__lines`` and ``__dropped``."""
+    small_batches(docs.sparkSession)
     shards = shards or count_shards(docs)
     index = materialise(build_index(docs.select("doc_id", "text"), shards, min_chars), "line_index")
     marks = (probe(docs.select("doc_id", "text"), index, shards, min_chars, per_task)
