@@ -61,11 +61,15 @@ def malformed_documents(docs: DataFrame, body: str = "body") -> DataFrame:
 
 def fixture_items(docs: DataFrame, body: str = "body", request_date: str = "request_date",
                   keep=()) -> DataFrame:
-    """One row per fixture item of every response without errors (an empty response gives none)."""
+    """One row per fixture item of every response without errors (an empty response gives none).
+
+    The error test stands inside the generator: as a filter it would be pushed below the parser and parse (and, above
+    computed bodies, write) every document a second time.
+    """
     parsed = docs.select(F.col(request_date).alias("request_date"), *keep,
                          F.from_json(F.col(body), FIXTURES_SCHEMA).alias("p"))
-    return (parsed.filter(F.col("p").isNotNull() & errors_empty(F.col("p.errors")))
-            .select("request_date", *keep, F.posexplode("p.response").alias("item", "it")))
+    return parsed.select("request_date", *keep, F.posexplode(
+        F.when(errors_empty(F.col("p.errors")), F.col("p.response"))).alias("item", "it"))
 
 
 def status_of(short: Column) -> Column:
@@ -129,18 +133,19 @@ def odds_per_match(entries: DataFrame) -> DataFrame:
     first = F.try_element_at(_whitelisted(e), F.lit(1))
     h2h = F.filter(F.coalesce(first["markets"], F.array()), lambda mk: mk["key"] == C.H2H_MARKET)
     outs = F.flatten(F.transform(h2h, lambda mk: F.coalesce(mk["outcomes"], F.array())))
-    home, away = e["home_team"], e["away_team"]
+    home, away = F.col("home_team"), F.col("away_team")
     dh, dd, da = C.DEFAULT_ODDS
     is_home = lambda o: o["name"].eqNullSafe(home)
     is_away = lambda o: ~o["name"].eqNullSafe(home) & o["name"].eqNullSafe(away)
     is_draw = lambda o: (~o["name"].eqNullSafe(home) & ~o["name"].eqNullSafe(away)
                          & o["name"].eqNullSafe(F.lit(C.DRAW_OUTCOME)))
-    return entries.select(
-        "feed_date", "pos",
-        home.alias("home_team"), away.alias("away_team"),
-        F.coalesce(_last_price(outs, is_home), F.lit(dh)).alias("odds_home"),
-        F.coalesce(_last_price(outs, is_draw), F.lit(dd)).alias("odds_draw"),
-        F.coalesce(_last_price(outs, is_away), F.lit(da)).alias("odds_away"),
+    # the outcomes are cut out of the entry once, not once per price
+    found = entries.select("feed_date", "pos", e["home_team"].alias("home_team"), e["away_team"].alias("away_team"), outs.alias("outs"))
+    return found.select(
+        "feed_date", "pos", "home_team", "away_team",
+        F.coalesce(_last_price(F.col("outs"), is_home), F.lit(dh)).alias("odds_home"),
+        F.coalesce(_last_price(F.col("outs"), is_draw), F.lit(dd)).alias("odds_draw"),
+        F.coalesce(_last_price(F.col("outs"), is_away), F.lit(da)).alias("odds_away"),
     )
 
 
