@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,82 +41,101 @@ from pitchside.llm.textops import held, materialise, small_batches, text_slices
 MAX_LEN = 2048
 END_ID = 0
 ROWS_PER_SALT = 100_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 CACHE_BYTES = 40 << 20           # of each generation of words, and of the parts
 ENTRY_BYTES = 160                # an entry of the caches, about
 
 # Texts of these characters only are split at white space and looked up word by word: for them white space never
 # joins a token, lower-casing works letter by letter and they are in composed form.  Others go to the tokenizer whole.
-_PLAIN = re.compile("[\t-\r -~\xa1-įı-ž]*")
-# fixed values: the split pattern of the tokenizer file, for lower-cased plain text
+_PLAIN_CHARS = "\t-\r -~\xa1-įı-ž"
+_PLAIN = re.compile(f"[{_PLAIN_CHARS}]*")
+# fixed values: the split pattern of the tokenizer file, for lower-cased plain text; line ends part the words
 _LETTER, _NUMBER = "a-zªµºß-öø-ž", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+|\n")
+_BETWEEN = b"\xff\xff\xff\xff"   # between the ids of two words: the top byte of an id is 0
 
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers.
 
     Words and their parts are remembered in two generations of bounded bytes: what was looked up since the last change is
-    in the young one; when that is full it becomes the old one and the words not asked for since are forgotten.
+    in the young one; when that is full it becomes the old one and the words not asked for since are forgotten.  New parts
+    go to the tokenizer's BPE model by themselves, in the byte letters that its byte-level step writes.
     """
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        letters, plain = ByteLevel(add_prefix_space=False, use_regex=False), re.compile(f"[{_PLAIN_CHARS}]")
+        self.byte_letters = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x180) if plain.match(chr(c))}
         self.cache_bytes = cache_bytes
         self.by_word, self.old_words, self.held = {}, {}, 0
-        self.by_part: dict[str, bytes] = {}
+        self.by_part: dict[str, bytes] = {"\n": _BETWEEN}
         self.held_parts = 0
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _parts(self, parts: list[str]) -> None:
-        """Learn parts that are not known."""
+    def _parts(self, parts: set[str]) -> None:
+        """Have all ``parts`` among the known ones."""
         if self.held_parts > self.cache_bytes:
-            self.by_part, self.held_parts = {}, 0
-        for k in range(0, len(parts), 2000):   # many parts in one text: the tokenizer keeps white space apart
-            some = parts[k:k + 2000]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, word = np.array(got.ids, dtype="<u4").tobytes(), np.array(got.word_ids)
-            cut = (4 * np.searchsorted(word, np.arange(len(some) + 1))).tolist()
-            for j, p in enumerate(some):
-                self.by_part[p] = ids[cut[j]:cut[j + 1]]
+            self.by_part, self.held_parts = {"\n": _BETWEEN}, 0
+        part, tokenize, letters = self.by_part, self.model.tokenize, self.byte_letters
+        new = list(parts - part.keys())
+        for k in range(0, len(new), 2000):
+            some = new[k:k + 2000]
+            got = [tokenize(p if p.isascii() else p.translate(letters)) for p in some]
+            ids = self._pack([t.id for tokens in got for t in tokens])
+            at = 0
+            for p, tokens in zip(some, got):
+                to = at + 4 * len(tokens)
+                part[p] = ids[at:to]
+                at = to
             self.held_parts += len(ids) + ENTRY_BYTES * len(some)
 
-    def _learn(self, words: set[str]) -> None:
-        """Have all ``words`` in the young generation."""
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of words that are in neither generation."""
+        parts = _SPLIT.findall("\n".join(words).lower())
+        self._parts(set(parts))
+        return b"".join(map(self.by_part.__getitem__, parts)).split(_BETWEEN) if words else []
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of ``words``, each given once; all are in the young generation then."""
         if self.held > self.cache_bytes:
             self.old_words, self.by_word, self.held = self.by_word, {}, 0
-        by, old = self.by_word, self.old_words
-        new = words - by.keys()
-        known = new & old.keys()
-        for w in known:
-            by[w] = old[w]
-        new -= known
-        plain = [w for w in new if w.isalpha()]              # most words are one part
-        split = [(w, _SPLIT.findall(w.lower())) for w in new if not w.isalpha()]
-        wanted = {p for _, s in split for p in s}
-        wanted.update(map(str.lower, plain))
-        self._parts(sorted(wanted) if self.held_parts > self.cache_bytes else sorted(wanted - self.by_part.keys()))
-        part = self.by_part
-        for w in plain:
-            by[w] = part[w.lower()]
-        for w, s in split:
-            by[w] = part[s[0]] if len(s) == 1 else b"".join([part[p] for p in s])
-        self.held += ENTRY_BYTES * (len(new) + len(known))
+        ids = list(map(self.by_word.get, words))
+        gaps = [k for k, i in enumerate(ids) if i is None]
+        asked = [words[k] for k in gaps]
+        found = list(map(self.old_words.get, asked))
+        new = iter(self._learn([w for w, i in zip(asked, found) if i is None]))
+        found = [next(new) if i is None else i for i in found]
+        self.by_word.update(zip(asked, found))
+        self.held += ENTRY_BYTES * len(asked)
+        for k, i in zip(gaps, found):
+            ids[k] = i
+        return ids
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Plain texts: every distinct word is looked up once, its ids are dealt to all its places."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        coded = split.flatten().dictionary_encode()
+        if not len(coded):
+            return [b""] * len(texts)
+        ids = self._look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        dealt = pa.array(ids, pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(dealt.buffers()[1], dtype=np.int64)[split.offsets.to_numpy()].tolist()
+        data = memoryview(dealt.buffers()[2] or b"")
+        return [data[a:b].tobytes() for a, b in zip(at, at[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
-        split = [t.split() if p else () for t, p in zip(texts, plain)]
-        words = set().union(*split)
-        if not words <= self.by_word.keys():
-            self._learn(words)
-        by = self.by_word
-        return [b"".join([by[w] for w in s]) if p else self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids)
-                for t, p, s in zip(texts, plain, split)]
+        words = iter(self._encode_plain([t for t, p in zip(texts, plain) if p]))
+        return [next(words) if p else self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids)
+                for t, p in zip(texts, plain)]
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str | None = None, max_len: int = MAX_LEN, end_id: int = END_ID,

@@ -109,3 +109,38 @@ def test_rows_without_id_and_repeats_spread_over_salts(spark):
     rows = packed.select("sequence_id", "offset", "length").collect()
     length = rows[0].length
     assert len({(r.sequence_id, r.offset) for r in rows}) == 600 and {r.offset % length for r in rows} == {0}
+
+
+def test_plain_parts_need_only_the_model():
+    encoder, tokenizer = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    letters = [chr(c) for c in range(0x180) if packing._PLAIN.fullmatch(chr(c))]
+    words = [w for a in letters for w in (a, a + a, f"x{a}y", f"1{a}", f"{a}'s")]
+    texts = [" ".join(words[k:k + 50]) for k in range(0, len(words), 50)] + words
+    rng = random.Random(3)
+    texts += ["".join(rng.choices(letters, k=rng.randint(2, 12))) for _ in range(3000)]
+    texts = [t for t in texts if "<|" not in t]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    encoder.tokenizer = None                               # only texts that are not plain go through the whole tokenizer
+    assert encoder.encode(texts) == want
+
+
+def test_a_word_is_looked_up_once_a_batch():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, word):
+            self.asked += 1
+            return super().get(word)
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    encoder, tokenizer = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    text, other = "\n one two\tthree\x0b\x0cfour\r\nfive ", "six 日 one"
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in (text, other, "", " \n")]
+    assert encoder.encode([text]) == want[:1]
+    encoder.by_word = Counted(encoder.by_word)
+    assert encoder.encode([text, other, "", " \n"] * 200) == want * 200
+    assert encoder.by_word.asked <= 6                      # the words of the plain texts and the empty one between spaces
+    assert encoder.encode([]) == [] and encoder.encode([other, "", " \n"]) == want[1:]
