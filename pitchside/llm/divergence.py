@@ -205,7 +205,7 @@ def top_terms(cells: DataFrame, most: int = TOP_TERMS) -> DataFrame:
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, most: int = TOP_TERMS) -> DataFrame:
     """lang, source, part (``pair`` or ``term``), item, value, rank."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_BYTES)
     kept = materialise(kept_cells(term_counts(docs), min_docs), "kept_cells")
     group = materialise(groups(kept), "groups")
     cells = materialise(probabilities(kept, group), "shares")

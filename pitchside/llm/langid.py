@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from pitchside.llm.textops import let_go, small_batches, text_slices
+from pitchside.llm.textops import let_go, small_batches, text_slices, tidy
 
 DOCS_PER_LANG = 32
 SYMBOLS_PER_LANG = 30_000
@@ -252,7 +252,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     part.columns + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())],
                     names=part.schema.names + list(added))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -232,7 +232,7 @@ def probe(docs: DataFrame, index: DataFrame, shards: int, min_chars: int = MIN_C
 
 def _cut(docs: DataFrame, min_chars: int, shards: int | None, per_task: int) -> DataFrame:
     """``docs`` with the kept text as ``__kept`` and its lines before and dropped as ``__lines`` and ``__dropped``."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_BYTES)
     shards = shards or count_shards(docs)
     index = materialise(build_index(docs.select("doc_id", "text"), shards, min_chars), "line_index")
     marks = (probe(docs.select("doc_id", "text"), index, shards, min_chars, per_task)

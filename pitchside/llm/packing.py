@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 from pyspark.sql.types import LongType, StructField, StructType
 
-from pitchside.llm.textops import held, materialise, small_batches, text_slices
+from pitchside.llm.textops import held, let_go, materialise, small_batches, text_slices, tidy
 
 MAX_LEN = 2048
 END_ID = 0
 ROWS_PER_SALT = 100_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 CACHE_BYTES = 40 << 20           # of each generation of words, and of the parts
 ENTRY_BYTES = 160                # an entry of the caches, about
 
@@ -177,7 +177,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str | None = None, max_len
 
     small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), schema)
 
 
 class CapacityTree:
@@ -251,7 +251,9 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN, rows_per_salt: int = ROWS_PE
     spark = pieces.sparkSession
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}   # <= max_len rows
     plan = best_fit_plan(counts, max_len)
-    salts = spark.createDataFrame([(k, -(-n // rows_per_salt)) for k, n in counts.items()], "length long, salts long")
+    # from Arrow: rows given as Python objects go through Python workers of their own, which stay on every executor
+    salts = spark.createDataFrame(pa.table({"length": pa.array(counts.keys(), pa.int64()),
+                                            "salts": pa.array([-(-n // rows_per_salt) for n in counts.values()], pa.int64())}))
     # the stored row number spreads repeated rows and rows without an id over the salts of their length too
     numbered = pieces if "row" in pieces.columns else pieces.withColumn("row", F.lit(0))
     salted = (numbered.join(F.broadcast(salts), "length")
@@ -266,6 +268,7 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN, rows_per_salt: int = ROWS_PE
               .drop("__before", "__row", "__salt", "__hash", "row"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()                                        # the encoder has done its work
         stride = int(plan[:, 1].max(initial=0)) + 1
         keys = -plan[:, 0] * stride + plan[:, 1]   # ascending: longest first, then rank
         for batch in batches:
@@ -281,7 +284,7 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN, rows_per_salt: int = ROWS_PE
 
     fields = [f for f in ranked.schema.fields if f.name != "__rank"]
     schema = StructType(fields + [StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(tidy(place), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, max_len: int = MAX_LEN, end_id: int = END_ID,

@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 
 from pitchside.llm.graph import components
 from pitchside.llm.textops import (gram_hashes, let_go, lower_ascii, materialise, mix64, small_batches, text_bytes,
-                                   text_slices, word_hashes, word_spans)
+                                   text_slices, tidy, word_hashes, word_spans)
 
 SHINGLE_WORDS = 4
 PERCENT = 85
@@ -146,7 +146,7 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
             yield counted(held)
 
     return docs.select(F.col("doc_id").cast("long"), "text", _text_key().alias("text_key")).mapInArrow(
-        run, "doc_id long, text_key long, n long, node long, check long, token long, count long")
+        tidy(run), "doc_id long, text_key long, n long, node long, check long, token long, count long")
 
 
 def frequent_tokens(counts: DataFrame, limit: int = FREQUENT_TOKENS) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +210,7 @@ def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, p
                  pa.array(np.round(share[owner] * 1000).astype(np.int32)), pa.array(last[owner])],
                 ["token", "node", "n", "l", "share", "last"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "token long, node long, n int, l int, share int, last long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "token long, node long, n int, l int, share int, last long")
 
 
 def _checked(df: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ class _Sets:
                     ["node", "tokens"])
 
         found = (self.docs.join(_checked(wanted.select("doc_id")), "doc_id", "left_semi")
-                 .mapInArrow(run, "node long, tokens array<long>"))
+                 .mapInArrow(tidy(run), "node long, tokens array<long>"))
         return materialise(found.join(_checked(wanted.select("node")), "node", "left_semi"), "sets")
 
 
@@ -349,7 +349,7 @@ def remaining_pairs(live: DataFrame, percent: int) -> DataFrame:
             yield pairs(held)
 
     return (units.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-            .mapInArrow(run, "u long, v long, shared long, needed long")
+            .mapInArrow(tidy(run), "u long, v long, shared long, needed long")
             .groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))   # over all hubs
             .where("shared >= needed").select("u", "v"))
 

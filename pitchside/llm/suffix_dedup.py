@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from pitchside.llm.superkmers import Items, covered, repeated_spans, united, with_spans
-from pitchside.llm.textops import _BYTE_VALUE, mix64, odd_powers
+from pitchside.llm.textops import _BYTE_VALUE, mix64, odd_powers, tidy
 
 WIDTH = 200
 KMER = 24
@@ -67,15 +67,15 @@ def suffix_order(text: np.ndarray, unique: np.ndarray, depth: int) -> tuple[np.n
     ends = np.flatnonzero(unique)
     rank[ends] = n + np.arange(len(ends))
     _, rank = np.unique(rank, return_inverse=True)
-    levels, have = [(8, rank)], 8
+    kind = np.int32 if n < 1 << 31 else np.int64        # ranks as they are kept, of every level
+    levels, have = [(8, rank.astype(kind))], 8
     while have < depth:
         step = min(have, depth - have)                  # the last level may overlap the one before
-        after = np.full(n, -1, dtype=np.int64)
-        after[:n - step] = rank[step:]
-        _, new = np.unique(rank * (2 * n + 2) + after + 1, return_inverse=True)
+        pair = rank * (2 * n + 2)
+        pair[:n - step] += rank[step:] + 1
+        _, rank = np.unique(pair, return_inverse=True)
         have += step
-        rank = new
-        levels.append((have, rank))
+        levels.append((have, rank.astype(kind)))
     return np.argsort(rank, kind="stable"), levels
 
 
@@ -189,7 +189,7 @@ def removals(docs: DataFrame, width: int = WIDTH, keep_first: bool = True) -> Da
     schema = StructType([docs.schema["doc_id"], StructField("n_bytes", LongType()), StructField("n_removed", LongType()),
                          StructField("n_spans", LongType()), StructField("kept", BinaryType()),
                          StructField("kept_sha256", StringType())])
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(tidy(run), schema)
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, keep_first: bool = True) -> DataFrame:
@@ -224,4 +224,4 @@ def dedup(docs: DataFrame, width: int = WIDTH, keep_first: bool = True) -> DataF
                     out.append(batch.column(n))
             yield pa.RecordBatch.from_arrays(out, names).filter(pa.array(keep))
 
-    return marked.mapInArrow(run, StructType(docs.schema.fields))
+    return marked.mapInArrow(tidy(run), StructType(docs.schema.fields))

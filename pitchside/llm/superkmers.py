@@ -34,10 +34,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.llm.textops import let_go, merge_spans, ranges, run_starts, small_batches, text_bytes, text_slices
+from pitchside.llm.textops import let_go, merge_spans, ranges, run_starts, small_batches, text_bytes, text_slices, tidy
 
 BATCH_BYTES = 1 << 20
-MATCH_BYTES = 2 << 20        # text a matcher gets at once, beyond the segments of one minimiser
+MATCH_BYTES = 1 << 20        # text a matcher gets at once, beyond the segments of one minimiser
 HELD_BATCHES = 24            # slices whose hashes or segments are collapsed and packed together
 LAST_ID = (1 << 63) - 1      # order of a null document id: after every other
 KEYS = ["__doc", "__text_key"]
@@ -327,11 +327,11 @@ def repeated_spans(docs: DataFrame, items_of: Callable[[list[bytes]], Items], wi
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(start, pa.int64()),
                                                   pa.array(end, pa.int64())], [*KEYS, "start", "end"])
 
-    marks = (docs.select(*KEYS, "text").mapInArrow(scatter_anchors, "bucket int, blob binary")
-             .repartition(buckets, "bucket").mapInArrow(gather_anchors, "__doc long, __text_key long, mark long")
+    marks = (docs.select(*KEYS, "text").mapInArrow(tidy(scatter_anchors), "bucket int, blob binary")
+             .repartition(buckets, "bucket").mapInArrow(tidy(gather_anchors), "__doc long, __text_key long, mark long")
              .groupBy(*KEYS).agg(F.collect_list("mark").alias("__marks")))
-    found = (docs.join(marks, KEYS).mapInArrow(scatter_segments, "bucket int, blob binary")
-             .repartition(buckets, "bucket").mapInArrow(gather_segments, "__doc long, __text_key long, start long, end long"))
+    found = (docs.join(marks, KEYS).mapInArrow(tidy(scatter_segments), "bucket int, blob binary")
+             .repartition(buckets, "bucket").mapInArrow(tidy(gather_segments), "__doc long, __text_key long, start long, end long"))
     return found.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
 
 

@@ -7,9 +7,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pitchside.llm import packing
+from pitchside.llm import packing, textops
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -144,3 +145,27 @@ def test_a_word_is_looked_up_once_a_batch():
     assert encoder.encode([text, other, "", " \n"] * 200) == want * 200
     assert encoder.by_word.asked <= 6                      # the words of the plain texts and the empty one between spaces
     assert encoder.encode([]) == [] and encoder.encode([other, "", " \n"]) == want[1:]
+
+
+def test_no_rows_go_through_other_python_workers(spark):
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), F.col("id").cast("int")).alias("text"))
+    plan = packing.pack_documents(docs)._jdf.queryExecution().toString()
+    assert "Broadcast" in plan and "ExistingRDD" not in plan and "LogicalRDD" not in plan
+
+
+def test_memory_goes_back_at_the_end_of_a_task(monkeypatch):
+    calls = []
+    monkeypatch.setattr(textops, "give_back", lambda: calls.append(1))
+
+    def run(batches):
+        for batch in batches:
+            yield batch + 1
+
+    assert list(textops.tidy(run)(iter([1, 2]))) == [2, 3] and len(calls) == 1
+    task = textops.tidy(run)(iter([1, 2]))
+    assert next(task) == 2 and len(calls) == 1
+    task.close()                                        # a limit stops reading early
+    assert len(calls) == 2
+    textops.held("a thing", lambda: 1)
+    textops.let_go()
+    assert len(calls) == 3 and not textops._HELD

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -189,3 +190,23 @@ def test_matchers_get_whole_minimisers_in_portions(spark, monkeypatch):
     assert sorted(np.concatenate(parts).tolist()) == list(range(400)) and len(parts) > 5
     assert sum(len(set(anchor[p])) for p in parts) == len(set(anchor))
     assert all((np.diff(p) > 0).all() for p in parts)
+
+
+def test_a_portion_is_matched_in_bounded_memory():
+    rng = np.random.default_rng(3)
+    base = rng.integers(97, 110, 3000, dtype=np.uint8)
+    segments = [base[a:a + 400].tobytes() for a in rng.integers(0, 2500, superkmers.MATCH_BYTES // 400)]
+    match, windows = suffix_dedup.matcher(200), np.full(len(segments), 201)
+    tracemalloc.start()
+    try:
+        hit = match(segments, windows, True)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    seen, expected = set(), []                          # a window of the base is known by its place
+    for s in segments:
+        at = base.tobytes().find(s)
+        expected += [p in seen for p in range(at, at + 201)]
+        seen.update(range(at, at + 201))
+    assert hit.tolist() == expected
+    assert peak < 160 << 20
