@@ -17,6 +17,14 @@ most one entry per distinct segment and batch, however often a passage occurs.
 Inside a bucket a minimiser whose entries are all one text is done by counting; only
 minimisers with different texts go to the operator's own window matcher.
 
+A minimiser in a common line or passage may have any number of different segments.  The first
+round counts, and the runs of a minimiser with more than ``HOT_RUNS`` are cut by the
+minimiser's offset in the window, each piece under a hash of the items that all its windows
+share (:func:`refine`): equal windows meet again, others go to other buckets.  The more
+runs, the finer the cut, down to single windows.  The list of these minimisers goes through
+the driver, one of ``HOT_RUNS`` runs at most.  What a bucket gets of one hash beyond
+``MATCH_BYTES`` is cut the same way before the matcher sees it, so a matcher's memory is bounded.
+
 The documents are shuffled once: the exchange that brings the marks is used again when the
 spans found are applied.  A document is known by its id and a hash of its text, so spans
 never reach another text of the same id or another document without an id; places are
@@ -34,10 +42,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.llm.textops import let_go, merge_spans, ranges, run_starts, small_batches, text_bytes, text_slices, tidy
+from pitchside.llm.textops import (let_go, materialise, merge_spans, mix64, odd_powers, ranges, run_starts, small_batches, text_bytes,
+                                   text_slices, tidy)
 
 BATCH_BYTES = 1 << 20
-MATCH_BYTES = 1 << 20        # text a matcher gets at once, beyond the segments of one minimiser
+MATCH_BYTES = 1 << 20        # text a matcher gets at once
+HOT_RUNS = 4096              # runs of a minimiser beyond which they are cut before they travel
+FINER = 4                    # times as many ranges of offsets from one cut to the next
 HELD_BATCHES = 24            # slices whose hashes or segments are collapsed and packed together
 LAST_ID = (1 << 63) - 1      # order of a null document id: after every other
 KEYS = ["__doc", "__text_key"]
@@ -77,6 +88,12 @@ def sliding_minimum(key: np.ndarray, width: int) -> np.ndarray:
 
 def runs(items: Items, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First item, number of windows and minimiser hash of every run."""
+    at, windows, place = _placed_runs(items, width, k)
+    return at, windows, items.kmers[place]
+
+
+def _placed_runs(items: Items, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First item, number of windows and place of the minimiser of every run."""
     low = np.uint64(0xFFFFFFFF)
     key = (items.kmers & ~low) | np.arange(len(items.kmers), dtype=np.uint64)
     least = sliding_minimum(key, width - k + 1)
@@ -88,7 +105,39 @@ def runs(items: Items, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.n
     at = (least[window] & low).astype(np.int64)
     first = run_starts(at)
     count = np.diff(np.append(first, len(at)))
-    return window[first], count, items.kmers[at[first]]
+    return window[first], count, at[first]
+
+
+def refine(items: Items, at: np.ndarray, windows: np.ndarray, place: np.ndarray, width: int, k: int,
+           classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs cut by the offset of their minimiser in the window, into ``classes`` ranges: run, first item, number of windows and
+    hash of every piece, in their order.
+
+    The hash is of the items that all windows of such a range share.  Equal windows have their minimiser at the same offset, so
+    they get the same hash.
+    """
+    offsets = width - k + 1
+    step = -(-offsets // classes)
+    parts = []
+    for low in range(0, offsets, step):
+        high = min(low + step, offsets) - 1
+        start, stop = np.maximum(at, place - high), np.minimum(at + windows, place - low + 1)
+        run = np.flatnonzero(start < stop)
+        shared = np.full(len(run), low, dtype=np.uint64)
+        for j, p in enumerate(odd_powers(offsets - (high - low))):
+            shared += items.kmers[place[run] - low + j] * p
+        parts.append((run, start[run], (stop - start)[run], mix64(shared)))
+    run, start, count, anchor = map(np.concatenate, zip(*parts))
+    order = np.argsort(start, kind="stable")
+    return run[order], start[order], count[order], anchor[order]
+
+
+def hot_classes(times: int) -> int:
+    """Ranges of offsets for a minimiser with ``times`` runs."""
+    classes = FINER
+    while times > HOT_RUNS * FINER * FINER:
+        times, classes = times // (FINER * FINER), classes * FINER
+    return classes
 
 
 def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -119,10 +168,18 @@ class _Segments:
         self.same: list[np.ndarray] = []
         self.parts: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, ids: np.ndarray, keys: np.ndarray, items: Items, width: int, k: int, marked: np.ndarray) -> None:
-        at, windows, anchor = runs(items, width, k)
-        here = np.isin(anchor, marked)
-        at, windows, anchor = at[here], windows[here], anchor[here]
+    def add(self, ids: np.ndarray, keys: np.ndarray, items: Items, width: int, k: int, marked: np.ndarray,
+            hot: dict[int, np.ndarray]) -> None:
+        """``hot``: minimisers whose runs are cut, by the number of ranges."""
+        at, windows, place = _placed_runs(items, width, k)
+        here = np.isin(items.kmers[place], marked)
+        at, windows, place = at[here], windows[here], place[here]
+        anchor, rest, parts = items.kmers[place], np.ones(len(at), dtype=bool), []
+        for classes, some in hot.items():
+            cut = np.isin(anchor, some)
+            rest &= ~cut
+            parts.append(refine(items, at[cut], windows[cut], place[cut], width, k, classes)[1:])
+        at, windows, anchor = map(np.concatenate, zip((at[rest], windows[rest], anchor[rest]), *parts))
         owner = np.searchsorted(items.first, at, side="right") - 1
         data, seen = items.data, self.seen
         self.same.append(np.array([seen.setdefault(data[a:b], len(seen))
@@ -164,16 +221,69 @@ Matcher = Callable[[list[bytes], np.ndarray, bool], np.ndarray]
 
 
 def _by_anchor(anchor: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
-    """Texts in portions of about ``MATCH_BYTES`` with whole minimisers (equal windows share theirs), in their order."""
+    """Texts in portions of at most ``MATCH_BYTES``, or a single minimiser, with whole minimisers (equal windows share theirs), in
+    their order."""
     order = np.argsort(anchor, kind="stable")
     head = run_starts(anchor[order])
-    portion = ((np.cumsum(size[order]) - size[order])[head] // MATCH_BYTES).repeat(np.diff(np.append(head, len(order))))
-    for part in np.split(order, run_starts(portion)[1:]):
+    cuts, held = [], 0
+    for at, n in zip(head.tolist(), np.add.reduceat(size[order], head).tolist() if len(head) else ()):
+        if held and held + n > MATCH_BYTES:
+            cuts.append(at)
+            held = 0
+        held += n
+    for part in np.split(order, cuts):
         yield np.sort(part)
 
 
-def _solve(blobs: list[bytes], width: int, first_only: bool, match: Matcher):
+@dataclass
+class _Search:
+    """How equal windows are found among texts."""
+
+    items_of: Callable[[list[bytes]], Items]
+    width: int
+    k: int
+    match: Matcher
+    first_only: bool
+
+    def among(self, texts: list[bytes], windows: np.ndarray, anchor: np.ndarray, classes: int = 1) -> np.ndarray:
+        """What the matcher says of all windows of distinct texts; it gets portions of ``MATCH_BYTES``, and the texts of a
+        minimiser with more than that are cut into pieces that share more."""
+        first = np.cumsum(windows) - windows
+        hit = np.empty(int(windows.sum()), dtype=bool)
+        for some in _by_anchor(anchor, np.array([len(t) for t in texts], dtype=np.int64)):
+            got = [texts[j] for j in some.tolist()]
+            if classes <= self.width - self.k and sum(map(len, got)) > MATCH_BYTES:
+                found = self._in_pieces(got, windows[some], classes * FINER)
+            else:                                       # at the end a hash has the copies of one window
+                found = self.match(got, windows[some], self.first_only)
+            hit[ranges(first[some], windows[some])] = found
+        return hit
+
+    def _in_pieces(self, texts: list[bytes], windows: np.ndarray, classes: int) -> np.ndarray:
+        seen: dict[bytes, int] = {}
+        parts, same = [], []
+        size = np.cumsum([len(t) for t in texts])
+        for part in np.split(np.arange(len(texts)), run_starts(size // BATCH_BYTES)[1:]):
+            items = self.items_of([texts[j] for j in part.tolist()])
+            at, n, place = _placed_runs(items, self.width, self.k)      # a text is one run
+            run, start, n, anchor = refine(items, at, n, place, self.width, self.k, classes)
+            same += [seen.setdefault(items.data[a:b], len(seen)) for a, b in zip(*items.span(start, start + n + self.width - 1))]
+            parts.append((part[run], start - at[run], n, anchor))
+        of, start, n, anchor = map(np.concatenate, zip(*parts))
+        same, copies = np.array(same, dtype=np.int64), np.bincount(same)
+        head = np.full(len(seen), -1, dtype=np.int64)
+        head[same[::-1]] = np.arange(len(same))[::-1]                   # first piece of every distinct text
+        found = self.among(list(seen), n[head], anchor[head], classes)
+        known = (head[same] != np.arange(len(same))) if self.first_only else copies[same] > 1
+        first, begin = np.cumsum(windows) - windows, np.cumsum(n[head]) - n[head]
+        hit = np.empty(int(windows.sum()), dtype=bool)
+        hit[ranges(first[of] + start, n)] = found[ranges(begin[same], n)] | np.repeat(known, n)
+        return hit
+
+
+def _solve(blobs: list[bytes], search: _Search):
     """Spans (doc, text key, start, end) of repeated windows of one bucket."""
+    width, first_only = search.width, search.first_only
     parts, texts = zip(*[_unpack(b) for b in blobs])
     e = {n: np.concatenate([p[n] for p in parts]) for n, _ in _FIELDS + _DONE}
     spans = [(e["done_doc"], e["done_key"], e["done_start"].astype(np.int64), e["done_end"].astype(np.int64))]
@@ -200,9 +310,7 @@ def _solve(blobs: list[bytes], width: int, first_only: bool, match: Matcher):
         if len(mixed):
             windows = e["windows"][shared[head[mixed]]].astype(np.int64)
             first = np.cumsum(windows) - windows
-            hit = np.empty(int(windows.sum()), dtype=bool)
-            for some in _by_anchor(of_text[mixed], np.array([len(distinct[m]) for m in mixed], dtype=np.int64)):
-                hit[ranges(first[some], windows[some])] = match([distinct[m] for m in mixed[some]], windows[some], first_only)
+            hit = search.among([distinct[m] for m in mixed.tolist()], windows, of_text[mixed])
             # entries to answer: the first of each text; a text known to repeat as a whole is answered already
             entry = shared[head[mixed]]
             open_ = np.ones(len(mixed), dtype=bool) if first_only else (total[mixed] < 2)
@@ -231,38 +339,40 @@ class _Anchors:
         self.parts.append((anchor, ids[owner], keys[owner]))
 
     def rows(self, buckets: int) -> Iterator[tuple[int, bytes]]:
-        """(bucket, blob): hash, document and whether it repeats in the batch; and marks that are settled already."""
+        """(bucket, blob): hash, document and how often it occurs in the batch; and marks that are settled already."""
         anchor, doc, key = map(np.concatenate, zip(*self.parts))
         order = np.argsort(anchor, kind="stable")
         anchor, doc, key = anchor[order], doc[order], key[order]
         head = run_starts(anchor)
-        many = np.diff(np.append(head, len(anchor))) > 1
-        of = np.repeat(many, np.diff(np.append(head, len(anchor))))
+        times = np.diff(np.append(head, len(anchor)))
+        of = np.repeat(times > 1, times)
         bucket, settled = _bucket(anchor[head], buckets), (doc ^ key) % buckets   # settled marks are only passed on: by document
         for b in range(buckets):
             h = head[bucket == b]
             d = np.flatnonzero(of & (settled == b))
             if len(h) or len(d):
-                parts = (anchor[h], doc[h], key[h], many[bucket == b].astype(np.uint8), anchor[d], doc[d], key[d])
+                parts = (anchor[h], doc[h], key[h], times[bucket == b].astype(np.int32), anchor[d], doc[d], key[d])
                 sizes = np.array([len(h), len(d)], dtype=np.int64).tobytes()
                 yield b, zstandard.compress(sizes + b"".join(p.tobytes() for p in parts), 1)
 
 
-def _marks(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, text key, hash) of every minimiser of a bucket that occurs more than once."""
+def _marks(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(document, text key, hash) of every minimiser of a bucket that occurs more than once; hash and count of those with more
+    than ``HOT_RUNS`` runs."""
     parts = []
     for blob in blobs:
         raw = zstandard.decompress(blob)
         n, d = np.frombuffer(raw, dtype=np.int64, count=2).tolist()
-        cut = np.cumsum([16, 8 * n, 8 * n, 8 * n, n, 8 * d, 8 * d]).tolist()
-        kinds = (np.uint64, np.int64, np.int64, np.uint8, np.uint64, np.int64, np.int64)
+        cut = np.cumsum([16, 8 * n, 8 * n, 8 * n, 4 * n, 8 * d, 8 * d]).tolist()
+        kinds = (np.uint64, np.int64, np.int64, np.int32, np.uint64, np.int64, np.int64)
         parts.append([np.frombuffer(raw, dtype=t, count=c, offset=o) for t, c, o in zip(kinds, (n, n, n, n, d, d, d), cut)])
-    anchor, doc, key, many, done_anchor, done_doc, done_key = map(np.concatenate, zip(*parts))
-    _, group, count = np.unique(anchor, return_inverse=True, return_counts=True)
-    repeated = np.bincount(group, weights=many, minlength=len(count)) + count > 1
-    new = repeated[group] & (many == 0)
+    anchor, doc, key, times, done_anchor, done_doc, done_key = map(np.concatenate, zip(*parts))
+    value, group = np.unique(anchor, return_inverse=True)
+    total = np.bincount(group, weights=times, minlength=len(value)).astype(np.int64)
+    new = (total[group] > 1) & (times == 1)
+    hot = total > HOT_RUNS
     return (np.concatenate([doc[new], done_doc]), np.concatenate([key[new], done_key]),
-            np.concatenate([anchor[new], done_anchor]))
+            np.concatenate([anchor[new], done_anchor]), value[hot], total[hot])
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
@@ -285,6 +395,7 @@ def repeated_spans(docs: DataFrame, items_of: Callable[[list[bytes]], Items], wi
     small_batches(docs.sparkSession)
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["bucket", "blob"]
+    search = _Search(items_of, width, k, match, first_only)
 
     def packed(batches: Iterator[pa.RecordBatch], new: Callable, add: Callable, rows: Callable) -> Iterator[pa.RecordBatch]:
         def flushed(held) -> Iterator[pa.RecordBatch]:
@@ -310,26 +421,34 @@ def repeated_spans(docs: DataFrame, items_of: Callable[[list[bytes]], Items], wi
 
     def gather_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in _by_bucket(batches):
-            doc, key, anchor = _marks(blobs)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(anchor.view(np.int64))], [*KEYS, "mark"])
+            doc, key, anchor, hot, times = _marks(blobs)
+            none = pa.nulls(len(hot), pa.int64())
+            for columns in ((pa.array(doc), pa.array(key), pa.array(anchor.view(np.int64)), pa.nulls(len(doc), pa.int64())),
+                            (none, none, pa.array(hot.view(np.int64)), pa.array(times))):
+                yield pa.RecordBatch.from_arrays(list(columns), [*KEYS, "mark", "times"])
 
     def scatter_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def add(held: _Segments, part: pa.RecordBatch, ids: np.ndarray, keys: np.ndarray, items: Items) -> None:
             marked = part.column("__marks").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            held.add(ids, keys, items, width, k, np.unique(marked))
+            held.add(ids, keys, items, width, k, np.unique(marked), hot)
 
         return packed(batches, _Segments, add, lambda held: held.rows(buckets, width, first_only))
 
     def gather_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in _by_bucket(batches):
-            doc, key, start, end = _solve(blobs, width, first_only, match)
+            doc, key, start, end = _solve(blobs, search)
             if len(doc):
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(start, pa.int64()),
                                                   pa.array(end, pa.int64())], [*KEYS, "start", "end"])
 
-    marks = (docs.select(*KEYS, "text").mapInArrow(tidy(scatter_anchors), "bucket int, blob binary")
-             .repartition(buckets, "bucket").mapInArrow(tidy(gather_anchors), "__doc long, __text_key long, mark long")
-             .groupBy(*KEYS).agg(F.collect_list("mark").alias("__marks")))
+    counted = materialise(docs.select(*KEYS, "text").mapInArrow(tidy(scatter_anchors), "bucket int, blob binary")
+                          .repartition(buckets, "bucket")
+                          .mapInArrow(tidy(gather_anchors), "__doc long, __text_key long, mark long, times long"), "marks")
+    by_classes: dict[int, list[int]] = {}
+    for r in counted.where("times is not null").select("mark", "times").collect():
+        by_classes.setdefault(hot_classes(r.times), []).append(r.mark)
+    hot = {c: np.array(sorted(some), dtype=np.int64).view(np.uint64) for c, some in by_classes.items()}
+    marks = counted.where("times is null").groupBy(*KEYS).agg(F.collect_list("mark").alias("__marks"))
     found = (docs.join(marks, KEYS).mapInArrow(tidy(scatter_segments), "bucket int, blob binary")
              .repartition(buckets, "bucket").mapInArrow(tidy(gather_segments), "__doc long, __text_key long, start long, end long"))
     return found.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))

@@ -210,3 +210,117 @@ def test_a_portion_is_matched_in_bounded_memory():
         seen.update(range(at, at + 201))
     assert hit.tolist() == expected
     assert peak < 160 << 20
+
+
+def in_buckets(docs, items_of, width, k, matcher, first_only, buckets=5):
+    """doc -> removed items, by the steps of the two rounds without Spark; every two documents are a batch."""
+    batches = [docs[j:j + 2] for j in range(0, len(docs), 2)]
+    ids = [np.array([d for d, _ in b]) for b in batches]
+    items = [items_of([t for _, t in b]) for b in batches]
+
+    def dealt(rows):
+        by = {}
+        for b, blob in rows:
+            by.setdefault(b, []).append(blob)
+        return by.values()
+
+    sent = []
+    for i, it in zip(ids, items):
+        held = superkmers._Anchors()
+        held.add(i, i * 0, it, width, k)
+        sent += held.rows(buckets)
+    marks, hot = {}, {}
+    for blobs in dealt(sent):
+        doc, _, anchor, value, times = superkmers._marks(blobs)
+        for d, a in zip(doc.tolist(), anchor.tolist()):
+            marks.setdefault(d, set()).add(a)
+        for a, n in zip(value.tolist(), times.tolist()):
+            hot.setdefault(superkmers.hot_classes(n), []).append(a)
+    hot = {c: np.array(a, dtype=np.uint64) for c, a in hot.items()}
+    sent = []
+    for i, it in zip(ids, items):
+        held = superkmers._Segments()
+        marked = np.array(sorted(set().union(*(marks.get(d, set()) for d in i.tolist()))), dtype=np.uint64)
+        held.add(i, i * 0, it, width, k, marked, hot)
+        sent += held.rows(buckets, width, first_only)
+    gone = {d: set() for d, _ in docs}
+    for blobs in dealt(sent):
+        spans = superkmers._solve(blobs, superkmers._Search(items_of, width, k, matcher(width), first_only))
+        for d, _, a, b in zip(*(x.tolist() for x in spans)):
+            gone[d] |= set(range(a, b))
+    return gone, hot
+
+
+@pytest.mark.parametrize("first_only", [True, False])
+@pytest.mark.parametrize("hot_runs", [1, 6, 10_000])
+@pytest.mark.parametrize("match_bytes", [60, 400])
+def test_hot_minimisers_are_cut_exactly(monkeypatch, first_only, hot_runs, match_bytes):
+    """A line and a passage in most documents: minimisers are cut before they travel, in their bucket, or both."""
+    monkeypatch.setattr(superkmers, "HOT_RUNS", hot_runs)
+    monkeypatch.setattr(superkmers, "MATCH_BYTES", match_bytes)
+    rng = random.Random(17)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, passage = own(30), own(120)
+    docs = []
+    for d in range(30):
+        parts = [own(rng.randint(0, 60)), line, own(rng.randint(0, 9)), line, passage[rng.randint(0, 20):], own(5), "ab" * 40]
+        rng.shuffle(parts)
+        docs.append((d, "".join(parts[:rng.randint(1, 7)]).encode()))
+    docs.append((30, docs[4][1] + b"!"))
+    gone, hot = in_buckets(docs, suffix_dedup.byte_items, 48, suffix_dedup.KMER, suffix_dedup.matcher, first_only)
+    assert gone == brute_bytes(docs, 48, first_only)
+    assert bool(hot) == (hot_runs < 10_000) and (hot_runs > 1 or len(hot) > 1)
+
+    vocab = [f"w{j}" for j in range(40)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]               # noqa: E731
+    line, passage = some(7), some(40)
+    docs = [(d, " ".join(some(rng.randint(0, 9)) + line + some(rng.randint(0, 9)) + passage[rng.randint(0, 9):] + ["x"] * 30).encode())
+            for d in range(30)]
+    gone, _ = in_buckets(docs, window_dedup.word_items, 12, window_dedup.KMER, window_dedup.matcher, True)
+    assert gone == brute_words([(d, t.decode()) for d, t in docs], 12)[1]
+
+
+def test_texts_of_one_minimiser_are_matched_in_bounded_memory():
+    """A common line with a text of its own on either side, three portions in all."""
+    rng = np.random.default_rng(4)
+    line = b"the very common line in so many documents of the table"
+    texts = list({rng.integers(97, 123, 150, dtype=np.uint8).tobytes() + line + rng.integers(97, 123, 150, dtype=np.uint8).tobytes()
+                  for _ in range(3 * superkmers.MATCH_BYTES // 354)})
+    texts += [texts[5][:300], texts[9][20:]]
+    items = suffix_dedup.byte_items([line])
+    least = int((items.kmers >> np.uint64(32)).argmin())                 # the windows that hold the line's least k-mer stand in
+    cut = [t[max(0, t.find(line) + least - 100):][:224] for t in texts]
+    search = superkmers._Search(lambda some: fixed_minimiser(some, line, least), 200, suffix_dedup.KMER, suffix_dedup.matcher(200), False)
+    windows = np.array([len(t) - 199 for t in cut])
+    tracemalloc.start()
+    try:
+        hit = search.among(cut, windows, np.ones(len(cut), dtype=np.uint64))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    places = {}
+    first = np.cumsum(windows) - windows
+    for j, t in enumerate(cut):
+        for i in range(windows[j]):
+            places.setdefault(t[i:i + 200], []).append(first[j] + i)
+    assert set(np.flatnonzero(hit).tolist()) == {p for at in places.values() if len(at) > 1 for p in at}
+    assert peak < 200 << 20
+
+
+def fixed_minimiser(texts, line, least):
+    """Items whose least hash is that of a k-mer of ``line``, whatever is beside it."""
+    items = suffix_dedup.byte_items(texts)
+    items.kmers[np.isin(items.kmers, suffix_dedup.byte_items([line]).kmers[least])] = 0
+    return items
+
+
+def test_a_line_in_thousands_of_documents(spark):
+    rng = random.Random(8)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    line, passage = own(70), own(230)
+    data = [(d, own(rng.randint(0, 60)) + (passage if d % 100 == 0 else line) + own(160)) for d in range(superkmers.HOT_RUNS + 400)]
+    data += [(100_000 + d, "?" + data[d][1]) for d in range(1, 20)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.removals(docs, keep_first=False).select("doc_id", "n_removed").collect()}
+    gone = brute_bytes([(d, t.encode()) for d, t in data], 200, False)
+    assert got == {d: len(g) for d, g in gone.items()}
