@@ -41,9 +41,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from pitchside.llm.textops import (let_go, materialise, merge_spans, mix64, odd_powers, ranges, run_starts, small_batches, text_bytes,
-                                   text_slices, tidy)
+from pitchside.llm.textops import (let_go, merge_spans, mix64, odd_powers, ranges, run_starts, small_batches, text_bytes, text_slices,
+                                   tidy)
 
 BATCH_BYTES = 1 << 20
 MATCH_BYTES = 1 << 20        # text a matcher gets at once
@@ -441,16 +442,18 @@ def repeated_spans(docs: DataFrame, items_of: Callable[[list[bytes]], Items], wi
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(start, pa.int64()),
                                                   pa.array(end, pa.int64())], [*KEYS, "start", "end"])
 
-    counted = materialise(docs.select(*KEYS, "text").mapInArrow(tidy(scatter_anchors), "bucket int, blob binary")
-                          .repartition(buckets, "bucket")
-                          .mapInArrow(tidy(gather_anchors), "__doc long, __text_key long, mark long, times long"), "marks")
+    # kept on the executors' disks, not in files: Hadoop starts a process for the rights of every file it makes, which for a
+    # moment holds the executor's memory a second time
+    counted = (docs.select(*KEYS, "text").mapInArrow(tidy(scatter_anchors), "bucket int, blob binary")
+               .repartitionById(buckets, "bucket")
+               .mapInArrow(tidy(gather_anchors), "__doc long, __text_key long, mark long, times long").persist(StorageLevel.DISK_ONLY))
     by_classes: dict[int, list[int]] = {}
     for r in counted.where("times is not null").select("mark", "times").collect():
         by_classes.setdefault(hot_classes(r.times), []).append(r.mark)
     hot = {c: np.array(sorted(some), dtype=np.int64).view(np.uint64) for c, some in by_classes.items()}
     marks = counted.where("times is null").groupBy(*KEYS).agg(F.collect_list("mark").alias("__marks"))
     found = (docs.join(marks, KEYS).mapInArrow(tidy(scatter_segments), "bucket int, blob binary")
-             .repartition(buckets, "bucket").mapInArrow(tidy(gather_segments), "__doc long, __text_key long, start long, end long"))
+             .repartitionById(buckets, "bucket").mapInArrow(tidy(gather_segments), "__doc long, __text_key long, start long, end long"))
     return found.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
 
 
